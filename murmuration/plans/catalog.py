@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.operators import filters, overview
-from murmuration.operators.preprocess import posts_from_fixture
+from murmuration.operators import cluster, filters, narratives, overview, tfidf
+from murmuration.operators.preprocess import materialized_posts, posts_from_fixture
 from murmuration.sources.fixtures import raw_posts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,9 @@ def register(name: str):
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posts_from_fixture(spark, sf_dir)
+    """Canonical posts for the analyses (preprocessed once per session, see
+    ``materialized_posts``)."""
+    return materialized_posts(spark, sf_dir)
 
 
 # ---- A/B: sources and preprocessing ---------------------------------------------------------
@@ -44,7 +46,7 @@ def q_load_posts(spark, sf_dir):
 
 @register("preprocess_posts")
 def q_preprocess_posts(spark, sf_dir):
-    return posts(spark, sf_dir).select(*CANONICAL_OUT)
+    return posts_from_fixture(spark, sf_dir).select(*CANONICAL_OUT)
 
 
 @register("infer_platform")
@@ -107,4 +109,115 @@ def q_top_hashtags(spark, sf_dir):
 @register("daily_volume")
 def q_daily_volume(spark, sf_dir):
     return overview.daily_volume(posts(spark, sf_dir))
-FLAGSHIP = "top_hashtags"
+
+
+# ---- E: TF-IDF, similar pairs, narratives ---------------------------------------------------
+
+SIM_THRESHOLD = 0.85
+SIM_VOCAB = 10000
+
+
+def similarity(spark, sf_dir):
+    return narratives.find_similarities(posts(spark, sf_dir), SIM_THRESHOLD, SIM_VOCAB)
+
+
+@register("tokenize")
+def q_tokenize(spark, sf_dir):
+    inp = narratives.similarity_input(posts(spark, sf_dir))
+    groups = tfidf.text_groups(inp)
+    tf = tfidf.term_counts(groups)
+    per_text = tf.groupBy("tid").agg(F.sum("tf").alias("n_tokens"),
+                                     F.count(F.lit(1)).alias("n_terms"))
+    members = inp.join(groups.select(F.col("text").alias("original_text"), "tid"),
+                       "original_text")
+    return members.join(per_text, "tid", "left").select(
+        "post_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"),
+        F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms"))
+
+
+@register("vocabulary")
+def q_vocabulary(spark, sf_dir):
+    inp = narratives.similarity_input(posts(spark, sf_dir))
+    tf = tfidf.term_counts(tfidf.text_groups(inp))
+    return tfidf.vocabulary(tf, SIM_VOCAB).select("term", F.col("df").cast("long").alias("df"),
+                                                  F.col("total").cast("long").alias("total"))
+
+
+@register("tfidf")
+def q_tfidf(spark, sf_dir):
+    inp = narratives.similarity_input(posts(spark, sf_dir))
+    groups = tfidf.text_groups(inp)
+    postings = tfidf.tfidf_postings(groups, SIM_VOCAB)
+    members = inp.join(groups.select(F.col("text").alias("original_text"), "tid"),
+                       "original_text")
+    return members.select("post_id", "tid").join(postings, "tid").select(
+        "post_id", "term", F.round("w", 6).alias("w"))
+
+
+@register("similarity_input")
+def q_similarity_input(spark, sf_dir):
+    return narratives.similarity_input(posts(spark, sf_dir)).select(
+        "post_id", "original_text", "Influencer", "Platform")
+
+
+@register("similar_pairs")
+def q_similar_pairs(spark, sf_dir):
+    return narratives.similar_pairs(similarity(spark, sf_dir)).select(
+        "post_id1", "post_id2", *narratives.PAIR_COLUMNS)
+
+
+@register("narrative_summary")
+def q_narrative_summary(spark, sf_dir):
+    return narratives.narrative_summary(similarity(spark, sf_dir))
+
+
+@register("top_narratives")
+def q_top_narratives(spark, sf_dir):
+    return narratives.top_narratives(narratives.narrative_summary(similarity(spark, sf_dir)))
+
+
+@register("pair_links")
+def q_pair_links(spark, sf_dir):
+    return narratives.pair_links(narratives.similar_pairs(similarity(spark, sf_dir)))
+
+
+@register("high_risk_influencers")
+def q_high_risk(spark, sf_dir):
+    return narratives.high_risk_influencers(similarity(spark, sf_dir))
+
+
+# ---- F: clustering --------------------------------------------------------------------------
+
+def clustering(spark, sf_dir):
+    return cluster.cluster_posts(posts(spark, sf_dir))
+
+
+@register("neighbor_graph")
+def q_neighbor_graph(spark, sf_dir):
+    """Neighbours within eps (similarity >= 0.7, vocabulary 5000) per clustering-input post."""
+    inp = cluster.clustering_input(posts(spark, sf_dir))
+    sim = narratives.find_similarities(inp, 0.7, 5000, prefiltered=True)
+    return narratives.pair_degree(sim).select("post_id", F.col("deg").alias("neighbors"))
+
+
+@register("cluster_posts")
+def q_cluster_posts(spark, sf_dir):
+    return clustering(spark, sf_dir).posts.select("post_id", "cluster")
+
+
+@register("cluster_sizes")
+def q_cluster_sizes(spark, sf_dir):
+    return cluster.cluster_sizes(clustering(spark, sf_dir).posts)
+
+
+@register("cluster_summary")
+def q_cluster_summary(spark, sf_dir):
+    return cluster.cluster_summary(clustering(spark, sf_dir).posts)
+
+
+@register("cluster_members")
+def q_cluster_members(spark, sf_dir):
+    return cluster.cluster_members(clustering(spark, sf_dir).posts)
+
+
+FLAGSHIP = "narrative_summary"

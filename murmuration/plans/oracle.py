@@ -55,3 +55,92 @@ oracle("daily_volume", with_posts(
     "GROUP BY 1) c ON c.day = d.day"))
 
 
+
+# ---- E: TF-IDF, similar pairs, narratives ---------------------------------------------------
+from murmuration.plans.sqlparts import (  # noqa: E402
+    first_k_sql, nonblank, platforms_involved, snippet, tfidf_ctes)
+
+SIM_IN = f"""sim_in AS (SELECT * FROM posts WHERE original_text IS NOT NULL AND Influencer IS NOT NULL
+  AND "Timestamp" IS NOT NULL AND Platform IS NOT NULL AND {nonblank('original_text')})"""
+SIM = SIM_IN + "," + tfidf_ctes("sim", "sim_in", C.SIM_VOCAB, C.SIM_THRESHOLD)
+SP = f"""sp AS (SELECT a.post_id AS post_id1, b.post_id AS post_id2,
+  a.original_text AS text1, a.Influencer AS influencer1, a.Platform AS platform1,
+  a."Timestamp" AS time1, a.URL AS url1, b.original_text AS text2, b.Influencer AS influencer2,
+  b.Platform AS platform2, b."Timestamp" AS time2, b.URL AS url2,
+  round(round(p.sim, 9), 3) AS similarity, {snippet('a.original_text')} AS shared_narrative,
+  {platforms_involved('a.Platform', 'b.Platform')} AS platforms_involved
+  FROM sim_pairs p JOIN sim_in a ON a.post_id = p.id1 JOIN sim_in b ON b.post_id = p.id2)"""
+NARR = SP + f""",
+narr_infl AS ({first_k_sql('sp', 'shared_narrative', 'influencer1', 'post_id1', 5,
+                           'influencers_involved')}),
+narr_plat AS (SELECT shared_narrative,
+    array_to_string(list_sort(list_distinct(list(p))), ', ') AS platforms_involved
+  FROM (SELECT shared_narrative, trim(unnest(string_split(platforms_involved, ','))) AS p FROM sp)
+  WHERE p <> '' GROUP BY shared_narrative),
+narr AS (SELECT c.shared_narrative, c.share_count, i.influencers_involved,
+    coalesce(pl.platforms_involved, '') AS platforms_involved
+  FROM (SELECT shared_narrative, count(*) AS share_count FROM sp GROUP BY shared_narrative) c
+  LEFT JOIN narr_infl i ON i.shared_narrative = c.shared_narrative
+  LEFT JOIN narr_plat pl ON pl.shared_narrative = c.shared_narrative)"""
+
+
+def _anchor(c: str) -> str:
+    esc = c
+    for ch, rep in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"),
+                    ("'", "&#x27;")):
+        esc = f"replace({esc}, {q(ch)}, {q(rep)})"
+    return (f"CASE WHEN {c} IS NULL THEN '' ELSE '<a href=\"' || {esc} || "
+            f"'\" target=\"_blank\">' || {esc} || '</a>' END")
+
+
+oracle("tokenize", with_posts(
+    "SELECT s.post_id, coalesce(sum(t.tf), 0) AS n_tokens, count(t.tf) AS n_terms "
+    "FROM sim_in s LEFT JOIN sim_tf t ON t.post_id = s.post_id GROUP BY s.post_id", SIM))
+oracle("vocabulary", with_posts("SELECT term, df, total FROM sim_vocab", SIM))
+oracle("tfidf", with_posts("SELECT post_id, term, round(w, 6) AS w FROM sim_vec", SIM))
+oracle("similarity_input", with_posts(
+    "SELECT post_id, original_text, Influencer, Platform FROM sim_in", SIM_IN))
+oracle("similar_pairs", with_posts("SELECT * FROM sp", SIM + "," + SP))
+oracle("narrative_summary", with_posts("SELECT * FROM narr", SIM + "," + NARR))
+oracle("top_narratives", with_posts(
+    "SELECT * FROM narr ORDER BY share_count DESC, shared_narrative LIMIT 10", SIM + "," + NARR))
+oracle("pair_links", with_posts(
+    "SELECT post_id1, post_id2, text1, influencer1, platform1, time1, "
+    f"{_anchor('url1')} AS url1, text2, influencer2, platform2, time2, {_anchor('url2')} AS url2, "
+    "similarity FROM sp", SIM + "," + SP))
+oracle("high_risk_influencers", with_posts(
+    "SELECT Influencer, count(*) AS coordination_instances FROM (SELECT influencer1 AS Influencer "
+    "FROM sp UNION ALL SELECT influencer2 FROM sp) GROUP BY Influencer HAVING count(*) >= 3",
+    SIM + "," + SP))
+
+# ---- F: clustering --------------------------------------------------------------------------
+CLU_IN = f"clu_in AS (SELECT * FROM posts WHERE text IS NOT NULL AND {nonblank('text')})"
+CLU = CLU_IN + "," + tfidf_ctes("clu", "clu_in", 5000, 0.7) + """,
+clu_edges AS (SELECT id1 AS a, id2 AS b FROM clu_pairs UNION ALL SELECT id2, id1 FROM clu_pairs),
+reach(node, comp) AS (SELECT a, a FROM clu_edges
+                      UNION SELECT e.b, r.comp FROM reach r JOIN clu_edges e ON e.a = r.node),
+comp AS (SELECT node, min(comp) AS comp FROM reach GROUP BY node),
+lab AS (SELECT comp, dense_rank() OVER (ORDER BY comp) - 1 AS cluster
+        FROM (SELECT DISTINCT comp FROM comp)),
+clustered AS (SELECT c.*, coalesce(l.cluster, -1) AS cluster FROM clu_in c
+              LEFT JOIN comp m ON m.node = c.post_id LEFT JOIN lab l ON l.comp = m.comp)"""
+
+oracle("neighbor_graph", with_posts(
+    "SELECT c.post_id, count(e.b) AS neighbors FROM clu_in c LEFT JOIN clu_edges e "
+    "ON e.a = c.post_id GROUP BY c.post_id", CLU, recursive=True))
+oracle("cluster_posts", with_posts("SELECT post_id, cluster FROM clustered", CLU,
+                                   recursive=True))
+oracle("cluster_sizes", with_posts(
+    "SELECT cluster, count(*) AS posts FROM clustered GROUP BY cluster", CLU, recursive=True))
+oracle("cluster_summary", with_posts(
+    "SELECT b.cluster, b.num_posts, b.num_influencers, e.example_influencers, "
+    "coalesce(p.platforms, '') AS platforms FROM "
+    "(SELECT cluster, count(*) AS num_posts, count(DISTINCT Influencer) AS num_influencers "
+    " FROM clustered WHERE cluster <> -1 GROUP BY cluster) b "
+    f"JOIN ({first_k_sql('(SELECT * FROM clustered WHERE cluster <> -1)', 'cluster', 'Influencer', 'post_id', 3, 'example_influencers')}) e "
+    "ON e.cluster = b.cluster LEFT JOIN (SELECT cluster, array_to_string(list_sort(list_distinct("
+    "list(Platform))), ', ') AS platforms FROM clustered WHERE cluster <> -1 AND Platform IS NOT NULL "
+    "GROUP BY cluster) p ON p.cluster = b.cluster", CLU, recursive=True))
+oracle("cluster_members", with_posts(
+    'SELECT post_id, Influencer, Platform, text, "Timestamp", cluster FROM clustered', CLU,
+    recursive=True))

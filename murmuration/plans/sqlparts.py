@@ -94,7 +94,47 @@ posts AS (
 )"""
 
 
-def with_posts(body: str, extra_ctes: str = "") -> str:
-    """``WITH <posts CTEs>[, extra] <body>``."""
+def with_posts(body: str, extra_ctes: str = "", recursive: bool = False) -> str:
+    """``WITH [RECURSIVE] <posts CTEs>[, extra] <body>``."""
     ctes = POSTS_CTE + ((",\n" + extra_ctes) if extra_ctes else "")
-    return f"WITH {ctes}\n{body}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"
+
+
+def tfidf_ctes(n: str, inp: str, vocab: int, threshold: float | None) -> str:
+    """CTEs ``{n}_tf, {n}_vocab, {n}_vec`` (and ``{n}_pairs`` at ``threshold``): brute-force
+    TF-IDF and all-pairs cosine over post ids (post order = post_id on the fixture)."""
+    stop = stop_words_list()
+    ctes = f"""
+{n}_toks AS (SELECT post_id, unnest({tokens('original_text')}) AS term FROM {inp}),
+{n}_tf AS (SELECT post_id, term, count(*) AS tf FROM {n}_toks
+           WHERE NOT list_contains({stop}, term) GROUP BY post_id, term),
+{n}_vocab AS (SELECT term, count(*) AS df, sum(tf) AS total FROM {n}_tf GROUP BY term
+              ORDER BY total DESC, term LIMIT {vocab}),
+{n}_n AS (SELECT count(*) AS n FROM {inp}),
+{n}_raw AS (SELECT t.post_id, t.term, t.tf * (ln((1 + c.n) / (1 + v.df)) + 1) AS w
+            FROM {n}_tf t JOIN {n}_vocab v ON v.term = t.term CROSS JOIN {n}_n c),
+{n}_vec AS (SELECT post_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY post_id)) AS w
+            FROM {n}_raw)"""
+    if threshold is not None:
+        ctes += f""",
+{n}_pairs AS (SELECT a.post_id AS id1, b.post_id AS id2, sum(a.w * b.w) AS sim
+              FROM {n}_vec a JOIN {n}_vec b ON a.term = b.term AND a.post_id < b.post_id
+              GROUP BY a.post_id, b.post_id HAVING sum(a.w * b.w) >= {threshold})"""
+    return ctes
+
+
+def platforms_involved(p1: str, p2: str) -> str:
+    return (f"array_to_string(list_sort(list_distinct(list_filter([{p1}, {p2}], "
+            f"lambda x: x IS NOT NULL AND {nonblank('x')}))), ', ')")
+
+
+def first_k_sql(table: str, group: str, value: str, order: str, k: int, out: str) -> str:
+    """SELECT group, '<first k distinct values by order>[...]' AS out FROM table."""
+    return f"""SELECT {group}, string_agg({value}, ', ' ORDER BY o)
+        || CASE WHEN max(nd) > {k} THEN '...' ELSE '' END AS {out}
+      FROM (SELECT {group}, {value}, o,
+                   row_number() OVER (PARTITION BY {group} ORDER BY o) AS rn,
+                   count(*) OVER (PARTITION BY {group}) AS nd
+            FROM (SELECT {group}, {value}, min({order}) AS o FROM {table}
+                  WHERE {value} IS NOT NULL GROUP BY {group}, {value}))
+      WHERE rn <= {k} GROUP BY {group}"""

@@ -23,9 +23,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
     On a cluster, leave ``master`` unset and let spark-submit decide; tests pass ``local[N]``.
     """
-    builder = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
+    builder = (SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false"))
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode runs every task in the driver JVM; only takes effect before it starts
+            builder = builder.config("spark.driver.memory",
+                                     os.environ.get("MURMURATION_DRIVER_MEMORY", "16g"))
     for k, v in REQUIRED_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
