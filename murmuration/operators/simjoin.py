@@ -1,19 +1,23 @@
 """Exact all-pairs cosine similarity join over unit-length sparse vectors (postings).
 
-Plan (all DataFrame joins/aggregations, no driver loop):
-
-1. Order the terms of every vector globally by ``(df asc, term asc)`` (rare terms first) and
-   split each vector into a *prefix* and a *suffix*: the suffix is the longest tail whose L2 norm
-   ``r`` is below ``tau`` (``tau <= t``). Any pair with cosine >= t shares a prefix term
-   (Cauchy-Schwarz), so joining prefix postings on ``term`` yields every candidate.
-2. For a candidate, ``p`` = sum of ``w1*w2`` over shared prefix terms. This covers every shared
-   term up to the earlier of the two prefix ends, so ``cos <= p + r_early``; pairs below
-   ``t`` by that bound are dropped.
-3. Exact value: ``cos = p + R`` where ``R`` sums the shared terms in the early-ending vector's
-   suffix (joined against the other vector's postings on ``(tid, term)``).
+Plan (DataFrame joins and aggregations only):
+
+1. Re-key: texts get dense ``long`` ids and terms get ``int`` ranks in the global order
+   ``(df asc, term asc)`` (rare terms first), so every shuffle below moves a few primitives.
+2. Prefix/suffix split per vector: the suffix is the longest tail whose L2 norm ``r`` is below
+   ``tau`` (``tau <= t``). Any pair with cosine >= t shares a prefix term (Cauchy-Schwarz), so a
+   self-join of *prefix* postings on the term rank yields every candidate.
+3. Bound: for a candidate, ``p`` = sum of ``w1*w2`` over shared prefix terms covers every shared
+   term up to the earlier prefix end; the rest lies in the early-ending vector's suffix (norm
+   ``r_e``) and in the other vector beyond that point, whose norm is at most ``sqrt(1 - s)``
+   where ``s`` is its mass on the shared prefix terms. So ``cos <= p + r_e * sqrt(1 - s)``;
+   candidates below ``t`` by this bound are dropped (exact, no false negatives).
+4. Verify: ``cos = p + R``, ``R`` = shared terms in the early vector's suffix, joined against the
+   other vector's postings on ``(id, term)``.
 
 Rare-first ordering keeps frequent (hot) terms out of prefixes, so the candidate join does not
-square the largest posting lists; AQE's skew join splits what remains.
+square the longest posting lists; AQE's skew join splits what remains. Intermediate tables are
+written to the shared checkpoint folder (lineage cut, reused, executor-loss safe).
 """
 
 from __future__ import annotations
@@ -21,59 +25,84 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmuration.operators.ranking import dense_index
+from murmuration.session import cut_lineage
+
 EPS = 1e-9
 
 
-def split_prefix(postings: DataFrame, tau: float) -> DataFrame:
-    """Annotate postings with ``in_prefix``, the vector's tail norm ``r`` and prefix end ``pend``."""
-    w = Window.partitionBy("tid")
-    key = F.struct(F.col("df"), F.col("term"))
-    # suffix mass from this term to the end, in (df, term) ascending order
-    suf = Window.partitionBy("tid").orderBy(F.col("df").desc(), F.col("term").desc()) \
+def default_tau(threshold: float) -> float:
+    """Tail bound used for the prefix split (measured sweet spot: t - 0.15, at least 0.5)."""
+    return min(threshold, max(0.5, threshold - 0.15))
+
+
+def rekey(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(tix, rk, w)`` postings plus the ``(tid, tix)`` id map."""
+    ids = cut_lineage(dense_index(postings.select("tid").distinct(), "tid", "tix"))
+    terms = dense_index(postings.select(F.struct("df", "term").alias("k")).distinct(), "k", "rk")
+    terms = terms.select(F.col("k.term").alias("term"), F.col("rk").cast("int").alias("rk"))
+    slim = postings.join(ids, "tid").join(terms, "term").select("tix", "rk", "w")
+    return cut_lineage(slim), ids
+
+
+def split_prefix(slim: DataFrame, tau: float) -> DataFrame:
+    """Annotate ``(tix, rk, w)`` with ``pre`` (in prefix), tail mass ``r2`` and prefix end ``pend``."""
+    suf = Window.partitionBy("tix").orderBy(F.col("rk").desc()) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    x = postings.withColumn("suf2", F.sum(F.col("w") * F.col("w")).over(suf))
-    x = x.withColumn("in_prefix", F.col("suf2") >= F.lit(tau * tau))
-    x = (x.withColumn("r", F.sqrt(F.coalesce(
-            F.max(F.when(~F.col("in_prefix"), F.col("suf2"))).over(w), F.lit(0.0))))
-         .withColumn("pend", F.max(F.when(F.col("in_prefix"), key)).over(w)))
-    return x.select("tid", "term", "df", "w", "in_prefix", "r", "pend")
+    per_vec = Window.partitionBy("tix")
+    x = slim.withColumn("suf2", F.sum(F.col("w") * F.col("w")).over(suf))
+    x = x.withColumn("pre", F.col("suf2") >= F.lit(tau * tau))
+    return (x.withColumn("r2", F.coalesce(F.max(F.when(~F.col("pre"), F.col("suf2")))
+                                          .over(per_vec), F.lit(0.0)))
+             .withColumn("pend", F.max(F.when(F.col("pre"), F.col("rk"))).over(per_vec))
+             .select("tix", "rk", "w", "pre", "r2", "pend"))
 
 
-def cosine_pairs(postings: DataFrame, threshold: float, tau: float | None = 0.5) -> DataFrame:
+def cosine_pairs_slim(slim: DataFrame, threshold: float, tau: float | None = None) -> DataFrame:
+    """Pairs ``(i < j, similarity)`` of dense ids with cosine >= ``threshold``."""
+    t = float(threshold)
+    tau = default_tau(t) if tau is None else min(float(tau), t)
+    x = cut_lineage(split_prefix(slim, tau))
+    pre = x.where("pre")
+    a = pre.select(F.col("tix").alias("i"), "rk", F.col("w").alias("wi"),
+                   F.col("r2").alias("r2i"), F.col("pend").alias("pi"))
+    b = pre.select(F.col("tix").alias("j"), "rk", F.col("w").alias("wj"),
+                   F.col("r2").alias("r2j"), F.col("pend").alias("pj"))
+    cand = (a.join(b, "rk").where(F.col("i") < F.col("j")).groupBy("i", "j")
+            .agg(F.sum(F.col("wi") * F.col("wj")).alias("p"),
+                 F.sum(F.col("wi") * F.col("wi")).alias("si"),
+                 F.sum(F.col("wj") * F.col("wj")).alias("sj"),
+                 F.max("r2i").alias("r2i"), F.max("r2j").alias("r2j"),
+                 F.max("pi").alias("pi"), F.max("pj").alias("pj")))
+    i_early = F.col("pi") <= F.col("pj")
+    cand = (cand.select("i", "j", "p",
+                        F.when(i_early, F.col("i")).otherwise(F.col("j")).alias("e"),
+                        F.when(i_early, F.col("j")).otherwise(F.col("i")).alias("l"),
+                        F.sqrt(F.when(i_early, F.col("r2i")).otherwise(F.col("r2j"))).alias("re"),
+                        F.when(i_early, F.col("sj")).otherwise(F.col("si")).alias("sl"))
+            .where(F.col("p") + F.col("re") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("sl")))
+                   >= F.lit(t - EPS)))
+    cand = cut_lineage(cand)
+    suffix = x.where(~F.col("pre")).select(F.col("tix").alias("e"), "rk", F.col("w").alias("we"))
+    full = slim.select(F.col("tix").alias("l"), "rk", F.col("w").alias("wl"))
+    rem = (cand.select("e", "l").join(suffix, "e").join(full, ["l", "rk"])
+           .groupBy("e", "l").agg(F.sum(F.col("we") * F.col("wl")).alias("rem")))
+    out = (cand.join(rem, ["e", "l"], "left")
+           .select("i", "j", (F.col("p") + F.coalesce(F.col("rem"), F.lit(0.0))).alias("similarity")))
+    return out.where(F.col("similarity") >= F.lit(t))
+
+
+def cosine_pairs(postings: DataFrame, threshold: float, tau: float | None = None) -> DataFrame:
     """All unordered vector pairs ``(tid1 < tid2)`` with cosine >= ``threshold``.
 
-    Columns: ``tid1, tid2, similarity``. ``postings`` = ``(tid, term, df, w)`` with unit norm.
-    ``tau`` (tail bound, clipped to ``threshold``) trades candidate count against prefix size.
+    ``postings`` = ``(tid, term, df, w)`` with unit norm per ``tid``. Columns out:
+    ``tid1, tid2, similarity``.
     """
-    t = float(threshold)
-    tau = t if tau is None else min(float(tau), t)
-    x = split_prefix(postings, tau)
-    pre = x.where("in_prefix").select("tid", "term", "w", "r", "pend")
-    a = pre.select(F.col("tid").alias("tid1"), "term", F.col("w").alias("w1"),
-                   F.col("r").alias("r1"), F.col("pend").alias("pend1"))
-    b = pre.select(F.col("tid").alias("tid2"), "term", F.col("w").alias("w2"),
-                   F.col("r").alias("r2"), F.col("pend").alias("pend2"))
-    cand = (a.join(b, "term").where(F.col("tid1") < F.col("tid2"))
-            .groupBy("tid1", "tid2")
-            .agg(F.sum(F.col("w1") * F.col("w2")).alias("p"),
-                 F.first("r1").alias("r1"), F.first("r2").alias("r2"),
-                 F.first("pend1").alias("pend1"), F.first("pend2").alias("pend2")))
-    first_early = F.col("pend1") <= F.col("pend2")
-    cand = (cand.withColumn("early", F.when(first_early, F.col("tid1")).otherwise(F.col("tid2")))
-            .withColumn("late", F.when(first_early, F.col("tid2")).otherwise(F.col("tid1")))
-            .withColumn("r_early", F.when(first_early, F.col("r1")).otherwise(F.col("r2")))
-            .where(F.col("p") + F.col("r_early") >= F.lit(t - EPS)))
-    # Remainder: shared terms in the early vector's suffix.
-    suffix = x.where(~F.col("in_prefix")).select(F.col("tid").alias("early"), "term",
-                                                 F.col("w").alias("we"))
-    full = postings.select(F.col("tid").alias("late"), "term", F.col("w").alias("wl"))
-    rem = (cand.select("early", "late").join(suffix, "early")
-           .join(full, ["late", "term"])
-           .groupBy("early", "late").agg(F.sum(F.col("we") * F.col("wl")).alias("rem")))
-    out = (cand.join(rem, ["early", "late"], "left")
-           .select("tid1", "tid2",
-                   (F.col("p") + F.coalesce(F.col("rem"), F.lit(0.0))).alias("similarity")))
-    return out.where(F.col("similarity") >= F.lit(t))
+    slim, ids = rekey(postings)
+    pairs = cosine_pairs_slim(slim, threshold, tau)
+    a = ids.select(F.col("tix").alias("i"), F.col("tid").alias("tid1"))
+    b = ids.select(F.col("tix").alias("j"), F.col("tid").alias("tid2"))
+    return pairs.join(a, "i").join(b, "j").select("tid1", "tid2", "similarity")
 
 
 def naive_cosine_pairs(postings: DataFrame, threshold: float) -> DataFrame:
