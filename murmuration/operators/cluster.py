@@ -78,13 +78,14 @@ def cluster_posts(posts: DataFrame, eps: float = 0.3, min_samples: int = 2,
     numbered = dense_index(core_comp.select("comp").distinct(), "comp", "cluster")
     labels = assigned.join(numbered, "comp").select("tid", "cluster")
     # reference guard: an empty vocabulary puts every post in cluster 0
-    empty_vocab = postings.agg((F.count(F.lit(1)) == 0).alias("empty_vocab"))
-    texts_out = (texts.join(labels, "tid", "left").crossJoin(F.broadcast(empty_vocab))
-                 .withColumn("cluster", F.when(F.col("empty_vocab"), F.lit(0))
-                             .otherwise(F.coalesce(F.col("cluster"), F.lit(NOISE))))
-                 .drop("empty_vocab"))
+    empty_vocab = postings.agg(F.count(F.lit(1)) == 0).scalar()
+    texts_out = (texts.join(labels, "tid", "left")
+                 .withColumn("cluster", F.when(empty_vocab, F.lit(0))
+                             .otherwise(F.coalesce(F.col("cluster"), F.lit(NOISE)))))
+    texts_out = cut_lineage(texts_out)
     members = inp.join(groups.select(F.col("text").alias("original_text"), "tid"), "original_text")
-    out = members.join(texts_out.select("tid", "cluster"), "tid").drop("tid")
+    # the labelled posts feed several reports (sizes, summary, members, network): write once
+    out = cut_lineage(members.join(texts_out.select("tid", "cluster"), "tid").drop("tid"))
     return Clustering(out, texts_out)
 
 

@@ -64,3 +64,29 @@ def dense_index(df: DataFrame, order_col: str, out_col: str = "idx",
     return (local.join(F.broadcast(offsets), "_pid")
             .withColumn(out_col, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local"))
             .drop("_pid", "_local", "_off"))
+
+
+def previous_in_group(df: DataFrame, key: str, order_col: str, cols: list[str],
+                      num_partitions: int | None = None) -> DataFrame:
+    """Add ``prev`` = struct of (``order_col``, ``cols``) of the previous row in the same ``key``.
+
+    ``lag`` over ``Window.partitionBy(key)`` would put a hot key (a URL in a third of all posts)
+    in one task. Instead rows are range-partitioned on (key, order), which splits a hot key
+    across partitions; a window per (key, partition) gives the local previous row, and the first
+    row of each piece takes the last row of the piece before it from a table with one row per
+    piece. ``order_col`` must be unique within a key (e.g. the post order struct).
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    rec = F.struct(F.col(order_col).alias("o"), *[F.col(c) for c in cols])
+    parted = (df.repartitionByRange(n, F.col(key), F.col(order_col))
+              .withColumn("_pid", F.spark_partition_id()).withColumn("_rec", rec))
+    local = parted.withColumn(
+        "_prev", F.lag("_rec").over(Window.partitionBy(key, "_pid").orderBy(order_col)))
+    pieces = parted.groupBy(key, "_pid").agg(F.max("_rec").alias("_last"))
+    boundary = pieces.withColumn(
+        "_bprev", F.lag("_last").over(Window.partitionBy(key).orderBy("_pid"))) \
+        .select(key, "_pid", "_bprev")
+    return (local.join(boundary, [key, "_pid"])
+            .withColumn("prev", F.coalesce("_prev", "_bprev"))
+            .drop("_pid", "_rec", "_prev", "_bprev"))

@@ -112,3 +112,38 @@ def naive_cosine_pairs(postings: DataFrame, threshold: float) -> DataFrame:
     return (a.join(b, "term").where(F.col("tid1") < F.col("tid2"))
             .groupBy("tid1", "tid2").agg(F.sum(F.col("w1") * F.col("w2")).alias("similarity"))
             .where(F.col("similarity") >= F.lit(float(threshold))))
+
+
+def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "key",
+                  item: str = "item") -> DataFrame:
+    """Exact set-similarity join: pairs ``(key1 < key2)`` with Jaccard >= ``threshold``.
+
+    ``sets`` holds one row per (key, item), duplicates ignored. Prefix filtering: items ordered
+    rare-first; a set of size n keeps its first ``n - ceil(t*n) + 1`` items as prefix; two sets
+    with Jaccard >= t share a prefix item. Candidates pass a size filter
+    (``t*|x| <= |y| <= |x|/t``) and are verified with exact overlap counts.
+    """
+    t = float(threshold)
+    s = sets.select(F.col(key).alias("k"), F.col(item).alias("it")).distinct()
+    freq = s.groupBy("it").agg(F.count(F.lit(1)).alias("f"))
+    order = dense_index(freq.select("it", F.struct("f", "it").alias("o")), "o", "r").select("it", "r")
+    ranked = s.join(order, "it")
+    w = Window.partitionBy("k").orderBy("r")
+    ranked = ranked.withColumn("pos", F.row_number().over(w)) \
+        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k")))
+    ranked = cut_lineage(ranked)
+    pre = ranked.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * F.lit(t - EPS)) + 1)
+    a = pre.select(F.col("k").alias("k1"), "r", F.col("n").alias("n1"))
+    b = pre.select(F.col("k").alias("k2"), "r", F.col("n").alias("n2"))
+    cand = (a.join(b, "r").where(F.col("k1") < F.col("k2"))
+            .where((F.col("n2") >= F.col("n1") * F.lit(t - EPS))
+                   & (F.col("n1") >= F.col("n2") * F.lit(t - EPS)))
+            .select("k1", "k2", "n1", "n2").distinct())
+    full1 = ranked.select(F.col("k").alias("k1"), "r")
+    full2 = ranked.select(F.col("k").alias("k2"), "r")
+    shared = (cand.select("k1", "k2").join(full1, "k1").join(full2, ["k2", "r"])
+              .groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("shared")))
+    out = cand.join(shared, ["k1", "k2"]).select(
+        "k1", "k2", "shared",
+        (F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).alias("jaccard"))
+    return out.where(F.col("jaccard") >= F.lit(t))

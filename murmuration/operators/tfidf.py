@@ -63,16 +63,15 @@ def tfidf_postings(groups: DataFrame, max_features: int | None = 10000,
                    stop_words=None) -> DataFrame:
     """Unit-length postings ``(tid, term, df, w)``.
 
-    Joins: the vocabulary (bounded by ``max_features`` rows) and the one-row document count are
-    broadcast; without a cap the vocabulary is joined by shuffle.
+    The vocabulary (bounded by ``max_features`` rows) is broadcast; without a cap it is joined
+    by shuffle. The document count enters as a scalar subquery.
     """
     tf = term_counts(groups, stop_words)
     vocab = vocabulary(tf, max_features).select("term", "df")
     vocab = F.broadcast(vocab) if max_features and max_features <= 1_000_000 else vocab
-    n = F.broadcast(n_documents(groups))
-    raw = (tf.join(vocab, "term").crossJoin(n)
+    n = n_documents(groups).scalar()  # scalar subquery: the number of posts
+    raw = (tf.join(vocab, "term")
            .select("tid", "term", "df",
-                   (F.col("tf") * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1))
-                   .alias("w_raw")))
+                   (F.col("tf") * (F.log((n + 1) / (F.col("df") + 1)) + 1)).alias("w_raw")))
     norm = F.sqrt(F.sum(F.col("w_raw") * F.col("w_raw")).over(Window.partitionBy("tid")))
     return raw.select("tid", "term", "df", (F.col("w_raw") / norm).alias("w"))

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.operators import cluster, filters, narratives, overview, tfidf
+from murmuration.operators import (cluster, embeddings, filters, narratives, network,
+                                   overview, signals, tfidf)
+from murmuration.sources.fixtures import table
 from murmuration.operators.preprocess import materialized_posts, posts_from_fixture
 from murmuration.sources.fixtures import raw_posts
 
@@ -117,8 +119,23 @@ SIM_THRESHOLD = 0.85
 SIM_VOCAB = 10000
 
 
+_MEMO: dict[tuple, object] = {}
+
+
+def _memo(spark, key: tuple, build):
+    """Session-scoped reuse of an eagerly materialised analysis (the reference caches its
+    similarity and clustering results the same way); keyed by application id and inputs."""
+    from murmuration.operators.preprocess import _input_stamp
+
+    k = (spark.sparkContext.applicationId, *key, _input_stamp(key[1]))
+    if k not in _MEMO:
+        _MEMO[k] = build()
+    return _MEMO[k]
+
+
 def similarity(spark, sf_dir):
-    return narratives.find_similarities(posts(spark, sf_dir), SIM_THRESHOLD, SIM_VOCAB)
+    return _memo(spark, ("similarity", sf_dir), lambda: narratives.find_similarities(
+        posts(spark, sf_dir), SIM_THRESHOLD, SIM_VOCAB))
 
 
 @register("tokenize")
@@ -189,7 +206,7 @@ def q_high_risk(spark, sf_dir):
 # ---- F: clustering --------------------------------------------------------------------------
 
 def clustering(spark, sf_dir):
-    return cluster.cluster_posts(posts(spark, sf_dir))
+    return _memo(spark, ("clustering", sf_dir), lambda: cluster.cluster_posts(posts(spark, sf_dir)))
 
 
 @register("neighbor_graph")
@@ -220,4 +237,140 @@ def q_cluster_members(spark, sf_dir):
     return cluster.cluster_members(clustering(spark, sf_dir).posts)
 
 
+
+# ---- G: account network ---------------------------------------------------------------------
+
+N_CLUSTERS, MAX_ACCOUNTS = 5, 50
+
+
+def net(spark, sf_dir):
+    return network.interaction_network(clustering(spark, sf_dir).posts, N_CLUSTERS, MAX_ACCOUNTS)
+
+
+@register("top_clusters")
+def q_top_clusters(spark, sf_dir):
+    return network.top_clusters(clustering(spark, sf_dir).posts, N_CLUSTERS)
+
+
+@register("posts_of_top_clusters")
+def q_posts_of_top_clusters(spark, sf_dir):
+    return net(spark, sf_dir).before_limit.select("post_id", "Influencer", "cluster")
+
+
+@register("top_active_subset")
+def q_top_active_subset(spark, sf_dir):
+    return net(spark, sf_dir).subset.select("post_id", "Influencer", "cluster")
+
+
+@register("co_cluster_edges")
+def q_co_cluster_edges(spark, sf_dir):
+    return net(spark, sf_dir).edges
+
+
+@register("co_cluster_edges_by_post")
+def q_co_cluster_edges_by_post(spark, sf_dir):
+    return network.co_cluster_edges_by_post(net(spark, sf_dir).subset)
+
+
+@register("graph_nodes")
+def q_graph_nodes(spark, sf_dir):
+    return net(spark, sf_dir).nodes
+
+
+@register("graph_coverage")
+def q_graph_coverage(spark, sf_dir):
+    n = net(spark, sf_dir)
+    return network.graph_coverage(n.before_limit, n.nodes)
+
+
+# ---- H: embeddings --------------------------------------------------------------------------
+
+EMBED_DIM = 64
+
+
+def _long_form(df, id_col, vec_col, id_alias):
+    return df.select(F.col(id_col).alias(id_alias), F.posexplode(vec_col).alias("dim", "value")) \
+        .where(F.col("value") != 0).select(id_alias, F.col("dim").cast("long").alias("dim"),
+                                           F.round("value", 6).alias("value"))
+
+
+@register("embed_text")
+def q_embed_text(spark, sf_dir):
+    e = embeddings.hashed_embedding(posts(spark, sf_dir), "post_id", "original_text", EMBED_DIM)
+    return _long_form(e, "post_id", "embedding", "post_id")
+
+
+@register("normalize_vectors")
+def q_normalize_vectors(spark, sf_dir):
+    v = embeddings.normalize_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return _long_form(v, "vec_id", "embedding", "vec_id")
+
+
+@register("vector_cosine")
+def q_vector_cosine(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    a = e.select(F.col("vec_id").alias("vec_id1"), F.col("embedding").alias("e1"))
+    b = e.select(F.col("vec_id").alias("vec_id2"), F.col("embedding").alias("e2"))
+    return a.join(b, F.col("vec_id2") == F.col("vec_id1") + 1).select(
+        "vec_id1", "vec_id2", F.round(embeddings.vector_cosine(F.col("e1"), F.col("e2")), 6)
+        .alias("cosine"))
+
+
+# ---- I: README signals ----------------------------------------------------------------------
+
+RAPID_WINDOW_HOURS = 6.0
+HASHTAG_JACCARD = 0.5
+CONTENT_JACCARD = 0.5
+
+
+@register("top_shared_urls")
+def q_top_shared_urls(spark, sf_dir):
+    return signals.top_shared_urls(posts(spark, sf_dir))
+
+
+@register("posting_spikes")
+def q_posting_spikes(spark, sf_dir):
+    return signals.posting_spikes(posts(spark, sf_dir))
+
+
+@register("repeated_url_sharing")
+def q_repeated_url_sharing(spark, sf_dir):
+    return signals.repeated_url_sharing(posts(spark, sf_dir))
+
+
+@register("repeated_text_sharing")
+def q_repeated_text_sharing(spark, sf_dir):
+    return signals.repeated_text_sharing(posts(spark, sf_dir))
+
+
+@register("rapid_co_sharing")
+def q_rapid_co_sharing(spark, sf_dir):
+    return signals.rapid_co_sharing(posts(spark, sf_dir), RAPID_WINDOW_HOURS)
+
+
+@register("hashtag_overlap")
+def q_hashtag_overlap(spark, sf_dir):
+    return signals.hashtag_overlap(posts(spark, sf_dir), HASHTAG_JACCARD)
+
+
+@register("content_overlap")
+def q_content_overlap(spark, sf_dir):
+    return signals.content_overlap(posts(spark, sf_dir), CONTENT_JACCARD)
+
+
+@register("mention_edges")
+def q_mention_edges(spark, sf_dir):
+    return signals.mention_edges(posts(spark, sf_dir))
+
+
+@register("retweet_edges")
+def q_retweet_edges(spark, sf_dir):
+    return signals.retweet_edges(posts(spark, sf_dir))
+
+
+@register("account_cadence")
+def q_account_cadence(spark, sf_dir):
+    return signals.account_cadence(posts(spark, sf_dir))
+
+
 FLAGSHIP = "narrative_summary"

@@ -144,3 +144,148 @@ oracle("cluster_summary", with_posts(
 oracle("cluster_members", with_posts(
     'SELECT post_id, Influencer, Platform, text, "Timestamp", cluster FROM clustered', CLU,
     recursive=True))
+
+# ---- G: account network ---------------------------------------------------------------------
+NET = CLU + f""",
+top AS (SELECT cluster, count(*) AS posts FROM clustered WHERE cluster <> -1 GROUP BY cluster
+        ORDER BY posts DESC, cluster LIMIT {C.N_CLUSTERS}),
+before AS (SELECT * FROM clustered WHERE Influencer IN
+             (SELECT DISTINCT Influencer FROM clustered WHERE cluster IN (SELECT cluster FROM top))
+           OR NOT EXISTS (SELECT 1 FROM top)),
+subset AS (SELECT * FROM before WHERE Influencer IN
+             (SELECT Influencer FROM before GROUP BY Influencer
+              ORDER BY count(*) DESC, Influencer LIMIT {C.MAX_ACCOUNTS})),
+ca AS (SELECT cluster, Influencer, count(*) AS n FROM subset
+       WHERE cluster <> -1 AND Influencer IS NOT NULL AND cluster IN
+         (SELECT cluster FROM subset WHERE cluster <> -1 GROUP BY cluster HAVING count(*) >= 2)
+       GROUP BY cluster, Influencer),
+nb AS (SELECT Influencer, count(*) AS posts, arg_max(cluster, post_id) AS cluster FROM subset
+       WHERE Influencer IS NOT NULL GROUP BY Influencer),
+np AS (SELECT Influencer, Platform FROM (SELECT Influencer, Platform, count(*) AS c FROM subset
+       WHERE Platform IS NOT NULL GROUP BY Influencer, Platform)
+       QUALIFY row_number() OVER (PARTITION BY Influencer ORDER BY c DESC, Platform) = 1),
+nodes AS (SELECT nb.Influencer AS influencer, coalesce(np.Platform, 'Unknown') AS platform,
+            nb.cluster, nb.posts,
+            round(CASE WHEN max(nb.posts) OVER () = min(nb.posts) OVER () THEN 17.5
+                  ELSE 10 + 15.0 * (nb.posts - min(nb.posts) OVER ())
+                       / (max(nb.posts) OVER () - min(nb.posts) OVER ()) END, 6) AS node_size,
+            dense_rank() OVER (ORDER BY nb.cluster) - 1 AS color_index
+          FROM nb LEFT JOIN np ON np.Influencer = nb.Influencer)"""
+
+oracle("top_clusters", with_posts("SELECT * FROM top", NET, recursive=True))
+oracle("posts_of_top_clusters", with_posts("SELECT post_id, Influencer, cluster FROM before", NET,
+                                           recursive=True))
+oracle("top_active_subset", with_posts("SELECT post_id, Influencer, cluster FROM subset", NET,
+                                       recursive=True))
+oracle("co_cluster_edges", with_posts(
+    "SELECT a.Influencer AS src, b.Influencer AS dst, count(*) AS weight FROM ca a JOIN ca b "
+    "ON a.cluster = b.cluster AND a.Influencer < b.Influencer GROUP BY 1, 2", NET, recursive=True))
+oracle("co_cluster_edges_by_post", with_posts(
+    "SELECT src, dst, weight FROM (SELECT a.Influencer AS src, b.Influencer AS dst, "
+    "sum(CASE WHEN a.Influencer = b.Influencer THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END) "
+    "AS weight FROM ca a JOIN ca b ON a.cluster = b.cluster AND a.Influencer <= b.Influencer "
+    "GROUP BY 1, 2) WHERE weight > 0", NET, recursive=True))
+oracle("graph_nodes", with_posts("SELECT * FROM nodes", NET, recursive=True))
+oracle("graph_coverage", with_posts(
+    "SELECT (SELECT count(*) FROM nodes) AS nodes_shown, "
+    "(SELECT count(DISTINCT Influencer) FROM before) AS total_influencers", NET, recursive=True))
+
+# ---- H: embeddings --------------------------------------------------------------------------
+from murmuration.plans.sqlparts import tokens as tok_sql  # noqa: E402
+
+EMB = f"""etok AS (SELECT post_id, unnest({tok_sql('original_text')}) AS t FROM posts),
+ecnt AS (SELECT post_id, CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % {C.EMBED_DIM} AS dim,
+         count(*) AS n FROM etok GROUP BY 1, 2)"""
+oracle("embed_text", with_posts(
+    "SELECT post_id, dim, round(n / sqrt(sum(n * n) OVER (PARTITION BY post_id)), 6) AS value "
+    "FROM ecnt", EMB))
+oracle("normalize_vectors", """
+SELECT vec_id, dim, value FROM (
+  SELECT vec_id, i - 1 AS dim,
+         round(CAST(embedding[i] AS DOUBLE) / sqrt(list_sum(list_transform(embedding,
+               lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS value
+  FROM embeddings, range(1, len(embedding) + 1) r(i)) WHERE value <> 0""")
+oracle("vector_cosine", """
+SELECT a.vec_id AS vec_id1, b.vec_id AS vec_id2,
+       round(list_sum(list_transform(list_zip(a.embedding, b.embedding),
+             lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))
+             / (sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))
+                * sqrt(list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 6)
+       AS cosine
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+
+# ---- I: README signals ----------------------------------------------------------------------
+from murmuration.plans.sqlparts import stop_words_list  # noqa: E402
+from murmuration.operators.signals import MENTION_RE, RETWEET_RE  # noqa: E402
+
+oracle("top_shared_urls", with_posts(
+    "SELECT URL, count(*) AS posts, count(DISTINCT Influencer) AS accounts FROM posts "
+    "WHERE URL IS NOT NULL GROUP BY URL ORDER BY posts DESC, URL LIMIT 10"))
+oracle("posting_spikes", with_posts("""
+SELECT day, posts, round(m, 6) AS baseline_mean, round(s, 6) AS baseline_std,
+       coalesce(h >= 3 AND posts > m + 2 * s, false) AS is_spike
+FROM (SELECT day, posts,
+        avg(posts) OVER (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS m,
+        stddev_pop(posts) OVER (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS s,
+        count(posts) OVER (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS h
+      FROM (SELECT CAST(d.day AS DATE) AS day, coalesce(c.posts, 0) AS posts FROM
+        (SELECT unnest(generate_series(date_trunc('day', min("Timestamp")),
+                date_trunc('day', max("Timestamp")), INTERVAL 1 DAY)) AS day FROM posts) d
+        LEFT JOIN (SELECT date_trunc('day', "Timestamp") AS day, count(*) AS posts FROM posts
+                   GROUP BY 1) c ON c.day = d.day))"""))
+oracle("repeated_url_sharing", with_posts(
+    'SELECT Influencer, URL, count(*) AS posts, min("Timestamp") AS first_time, '
+    'max("Timestamp") AS last_time FROM posts WHERE URL IS NOT NULL GROUP BY Influencer, URL '
+    "HAVING count(*) >= 2"))
+oracle("repeated_text_sharing", with_posts(
+    f"SELECT Influencer, {snippet('original_text')} AS text_snippet, count(*) AS posts, "
+    'min("Timestamp") AS first_time, max("Timestamp") AS last_time FROM posts '
+    f"WHERE {nonblank('original_text')} GROUP BY Influencer, original_text HAVING count(*) >= 2"))
+oracle("rapid_co_sharing", with_posts(f"""
+SELECT least(pi, Influencer) AS src, greatest(pi, Influencer) AS dst, count(*) AS co_shares,
+       count(DISTINCT URL) AS urls
+FROM (SELECT URL, Influencer, "Timestamp",
+        lag(Influencer) OVER (PARTITION BY URL ORDER BY "Timestamp", post_id) AS pi,
+        lag("Timestamp") OVER (PARTITION BY URL ORDER BY "Timestamp", post_id) AS pt
+      FROM posts WHERE URL IS NOT NULL)
+WHERE pi IS NOT NULL AND pi <> Influencer
+  AND date_diff('microsecond', pt, "Timestamp") <= {int(C.RAPID_WINDOW_HOURS * 3600 * 1_000_000)}
+GROUP BY 1, 2"""))
+
+
+def _jaccard_sql(sets: str, t: float) -> str:
+    return f"""WITH RECURSIVE {POSTS_CTE.strip()},
+sets AS ({sets}),
+sz AS (SELECT k, count(*) AS n FROM sets GROUP BY k),
+sh AS (SELECT a.k AS k1, b.k AS k2, count(*) AS shared FROM sets a JOIN sets b
+       ON a.it = b.it AND a.k < b.k GROUP BY 1, 2)
+SELECT k1 AS src, k2 AS dst, shared, round(j, 6) AS jaccard FROM (
+  SELECT sh.*, shared / (s1.n + s2.n - shared) AS j FROM sh
+  JOIN sz s1 ON s1.k = sh.k1 JOIN sz s2 ON s2.k = sh.k2) WHERE j >= {t}"""
+
+
+from murmuration.plans.sqlparts import POSTS_CTE  # noqa: E402
+
+oracle("hashtag_overlap", _jaccard_sql(
+    f"SELECT DISTINCT Influencer AS k, unnest({hashtags('text')}) AS it FROM posts",
+    C.HASHTAG_JACCARD))
+oracle("content_overlap", _jaccard_sql(
+    f"SELECT DISTINCT k, it FROM (SELECT Influencer AS k, unnest({tok_sql('original_text')}) AS it "
+    f"FROM posts) WHERE NOT list_contains({stop_words_list()}, it)", C.CONTENT_JACCARD))
+oracle("mention_edges", with_posts(
+    f"SELECT src, dst, count(*) AS posts FROM (SELECT post_id, Influencer AS src, "
+    f"unnest(list_distinct(regexp_extract_all(text, {q(MENTION_RE)}, 1))) AS dst FROM posts) "
+    "WHERE dst <> '' GROUP BY src, dst"))
+oracle("retweet_edges", with_posts(
+    f"SELECT src, dst, count(*) AS posts FROM (SELECT Influencer AS src, "
+    f"regexp_extract(text, {q(RETWEET_RE)}, 1) AS dst FROM posts) "
+    "WHERE dst IS NOT NULL AND dst <> '' GROUP BY src, dst"))
+oracle("account_cadence", with_posts("""
+SELECT Influencer, count(*) AS posts, count(DISTINCT CAST("Timestamp" AS DATE)) AS active_days,
+       round(count(*) / count(DISTINCT CAST("Timestamp" AS DATE)), 6) AS posts_per_day,
+       round(min(gap), 3) AS min_gap_s, round(avg(gap), 3) AS mean_gap_s,
+       round(1 - count(DISTINCT original_text) / count(*), 6) AS dup_text_share
+FROM (SELECT *, date_diff('microsecond',
+        lag("Timestamp") OVER (PARTITION BY Influencer ORDER BY "Timestamp", post_id),
+        "Timestamp") / 1e6 AS gap FROM posts)
+GROUP BY Influencer"""))

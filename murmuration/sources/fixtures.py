@@ -70,10 +70,9 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # event_id is unique, so the oracle's GROUP BY event_id is an identity; no shuffle needed here.
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    n_pages = pages.agg(F.count(F.lit(1)).alias("n_pages"))  # one row
+    n_pages = pages.agg(F.count(F.lit(1))).scalar()  # scalar subquery
     joined = (docs.join(events, events.event_id == docs.doc_id * 5)
-              .crossJoin(F.broadcast(n_pages))
-              .join(pages, pages.page_id == F.col("doc_id") % F.col("n_pages")))
+              .join(pages, pages.page_id == F.col("doc_id") % n_pages))
     return joined.selectExpr(
         "doc_id AS post_id",
         "concat('user_', CAST(user_id AS STRING)) AS author",
