@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmuration.session import cut_lineage
+
 
 def first_k_distinct(df: DataFrame, group_cols: list[str], value_col: str, order_col: str,
                      k: int, out_col: str = "first_values", count_col: str = "n_distinct"
@@ -53,9 +55,11 @@ def dense_index(df: DataFrame, order_col: str, out_col: str = "idx",
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     parted = (df.repartitionByRange(n, F.col(order_col))
               .withColumn("_pid", F.spark_partition_id()))
-    local = parted.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_pid").orderBy(order_col)) - 1)
-    sizes = parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # Written once: range bounds come from sampling, so two evaluations of the exchange could
+    # place rows differently; numbering and partition sizes must see the same placement.
+    local = cut_lineage(parted.withColumn(
+        "_local", F.row_number().over(Window.partitionBy("_pid").orderBy(order_col)) - 1))
+    sizes = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a bounded table, so the un-partitioned window here is fine
     offsets = sizes.select(
         "_pid",
@@ -79,8 +83,9 @@ def previous_in_group(df: DataFrame, key: str, order_col: str, cols: list[str],
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     rec = F.struct(F.col(order_col).alias("o"), *[F.col(c) for c in cols])
-    parted = (df.repartitionByRange(n, F.col(key), F.col(order_col))
-              .withColumn("_pid", F.spark_partition_id()).withColumn("_rec", rec))
+    # written once so the local and boundary branches see the same range placement
+    parted = cut_lineage(df.repartitionByRange(n, F.col(key), F.col(order_col))
+                         .withColumn("_pid", F.spark_partition_id()).withColumn("_rec", rec))
     local = parted.withColumn(
         "_prev", F.lag("_rec").over(Window.partitionBy(key, "_pid").orderBy(order_col)))
     pieces = parted.groupBy(key, "_pid").agg(F.max("_rec").alias("_last"))
