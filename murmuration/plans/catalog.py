@@ -46,6 +46,19 @@ def q_load_posts(spark, sf_dir):
     return raw_posts(spark, sf_dir)
 
 
+@register("union_dedupe")
+def q_union_dedupe(spark, sf_dir):
+    """A2 + B1: two extracts of the raw posts with different column sets, unioned by name
+    (missing columns null) and de-duplicated on the full row."""
+    raw = raw_posts(spark, sf_dir)
+    full = raw
+    partial = raw.where(F.col("post_id") % 2 == 0).select("link", "content", "post_id", "author",
+                                                          "created_at")
+    no_link = raw.where(F.col("post_id") % 3 == 0).drop("link")
+    return full.unionByName(partial, allowMissingColumns=True) \
+        .unionByName(no_link, allowMissingColumns=True).dropDuplicates()
+
+
 @register("preprocess_posts")
 def q_preprocess_posts(spark, sf_dir):
     return posts_from_fixture(spark, sf_dir).select(*CANONICAL_OUT)
