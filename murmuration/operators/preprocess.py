@@ -46,12 +46,14 @@ def preprocess_posts(df: DataFrame, text_col: str | None = None, influencer_col:
     parse timestamps (UTC) and drop unparsable rows; URL; Platform (kept, inferred from the
     URL, or 'Unknown'); clean the text; strip a leading retweet marker into ``original_text``.
     """
-    if dedupe:
-        df = df.dropDuplicates()
     df = strip_names(df)
     if roles is None:
+        # "blank in every row" does not change when exact duplicate rows are removed, so the
+        # role check scans the input directly instead of waiting for the de-duplication shuffle
         roles = resolve_roles(df, text_col, influencer_col, timestamp_col, url_col, outlet_col,
                               day_first, epoch_unit)
+    if dedupe:
+        df = df.dropDuplicates()
     source_cols = df.columns
     if id_col:
         post_id = _c(id_col)

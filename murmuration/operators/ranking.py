@@ -95,3 +95,30 @@ def previous_in_group(df: DataFrame, key: str, order_col: str, cols: list[str],
     return (local.join(boundary, [key, "_pid"])
             .withColumn("prev", F.coalesce("_prev", "_bprev"))
             .drop("_pid", "_rec", "_prev", "_bprev"))
+
+
+def count_before(df: DataFrame, keys: list[str], order_col: str, flag_col: str | None = None,
+                 out_col: str = "before", num_partitions: int | None = None) -> DataFrame:
+    """Per row: how many rows of the same ``keys`` group (with ``flag_col`` true, if given) come
+    strictly before it in ``order_col`` order (unique within a group).
+
+    A running count over ``Window.partitionBy(keys)`` would give a hot group a single task.
+    Here rows are range-partitioned on (keys, order) so a hot group spans several partitions;
+    each piece counts locally and adds the totals of the earlier pieces of its group (a table
+    with one row per piece).
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    flag = F.col(flag_col).cast("long") if flag_col else F.lit(1).cast("long")
+    parted = cut_lineage(df.repartitionByRange(n, *[F.col(k) for k in keys], F.col(order_col))
+                         .withColumn("_pid", F.spark_partition_id()).withColumn("_f", flag))
+    w = Window.partitionBy(*keys, "_pid").orderBy(order_col) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = parted.withColumn("_loc", F.sum("_f").over(w) - F.col("_f"))
+    pieces = parted.groupBy(*keys, "_pid").agg(F.sum("_f").alias("_s"))
+    pw = Window.partitionBy(*keys).orderBy("_pid") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = pieces.select(*keys, "_pid", (F.sum("_s").over(pw) - F.col("_s")).alias("_off"))
+    return (local.join(offsets, [*keys, "_pid"])
+            .withColumn(out_col, F.col("_loc") + F.col("_off"))
+            .drop("_pid", "_f", "_loc", "_off"))

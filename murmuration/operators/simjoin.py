@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmuration.operators.ranking import dense_index
+from murmuration.operators.ranking import count_before, dense_index
 from murmuration.session import cut_lineage
 
 EPS = 1e-9
@@ -63,8 +63,14 @@ def split_prefix(slim: DataFrame, tau: float) -> DataFrame:
              .select("tix", "rk", "w", "pre", "r2", "pend"))
 
 
-def cosine_pairs_slim(slim: DataFrame, threshold: float, tau: float | None = None) -> DataFrame:
-    """Pairs ``(i < j, similarity)`` of dense ids with cosine >= ``threshold``."""
+def cosine_pairs_slim(slim: DataFrame, threshold: float, tau: float | None = None,
+                      exact_values: bool = True) -> DataFrame:
+    """Pairs ``(i < j, similarity)`` of dense ids with cosine >= ``threshold``.
+
+    With ``exact_values=False`` (membership only, e.g. a neighbour graph) candidates whose shared
+    prefix mass alone reaches ``t`` are accepted without verification and report that lower
+    bound as ``similarity``; only the undecided ones are verified.
+    """
     t = float(threshold)
     tau = default_tau(t) if tau is None else min(float(tau), t)
     x = cut_lineage(split_prefix(slim, tau))
@@ -88,23 +94,29 @@ def cosine_pairs_slim(slim: DataFrame, threshold: float, tau: float | None = Non
             .where(F.col("p") + F.col("re") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("sl")))
                    >= F.lit(t - EPS)))
     cand = cut_lineage(cand)
+    certain = None
+    if not exact_values:
+        certain = cand.where(F.col("p") >= F.lit(t)).select("i", "j", F.col("p").alias("similarity"))
+        cand = cand.where(F.col("p") < F.lit(t))
     suffix = x.where(~F.col("pre")).select(F.col("tix").alias("e"), "rk", F.col("w").alias("we"))
     full = slim.select(F.col("tix").alias("l"), "rk", F.col("w").alias("wl"))
     rem = (cand.select("e", "l").join(suffix, "e").join(full, ["l", "rk"])
            .groupBy("e", "l").agg(F.sum(F.col("we") * F.col("wl")).alias("rem")))
     out = (cand.join(rem, ["e", "l"], "left")
-           .select("i", "j", (F.col("p") + F.coalesce(F.col("rem"), F.lit(0.0))).alias("similarity")))
-    return out.where(F.col("similarity") >= F.lit(t))
+           .select("i", "j", (F.col("p") + F.coalesce(F.col("rem"), F.lit(0.0))).alias("similarity"))
+           .where(F.col("similarity") >= F.lit(t)))
+    return out if certain is None else out.unionByName(certain)
 
 
-def cosine_pairs(postings: DataFrame, threshold: float, tau: float | None = None) -> DataFrame:
+def cosine_pairs(postings: DataFrame, threshold: float, tau: float | None = None,
+                 exact_values: bool = True) -> DataFrame:
     """All unordered vector pairs ``(tid1 < tid2)`` with cosine >= ``threshold``.
 
     ``postings`` = ``(tid, term, df, w)`` with unit norm per ``tid``. Columns out:
-    ``tid1, tid2, similarity``.
+    ``tid1, tid2, similarity`` (see ``cosine_pairs_slim`` for ``exact_values``).
     """
     slim, ids = rekey(postings)
-    pairs = cosine_pairs_slim(slim, threshold, tau)
+    pairs = cosine_pairs_slim(slim, threshold, tau, exact_values)
     a = ids.select(F.col("tix").alias("i"), F.col("tid").alias("tid1"))
     b = ids.select(F.col("tix").alias("j"), F.col("tid").alias("tid2"))
     return pairs.join(a, "i").join(b, "j").select("tid1", "tid2", "similarity")
@@ -133,10 +145,10 @@ def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "key",
     freq = s.groupBy("it").agg(F.count(F.lit(1)).alias("f"))
     order = dense_index(freq.select("it", F.struct("f", "it").alias("o")), "o", "r").select("it", "r")
     ranked = s.join(order, "it")
-    w = Window.partitionBy("k").orderBy("r")
-    ranked = ranked.withColumn("pos", F.row_number().over(w)) \
-        .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k")))
-    ranked = cut_lineage(ranked)
+    sizes = ranked.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    # position of each item in its set (rare first) without one window over a huge set
+    ranked = cut_lineage(count_before(ranked, ["k"], "r", out_col="before")
+                         .withColumn("pos", F.col("before") + 1).drop("before").join(sizes, "k"))
     pre = ranked.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * F.lit(t - EPS)) + 1)
     a = pre.select(F.col("k").alias("k1"), "r", F.col("n").alias("n1"))
     b = pre.select(F.col("k").alias("k2"), "r", F.col("n").alias("n2"))

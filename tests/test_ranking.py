@@ -40,3 +40,18 @@ def test_previous_in_group_matches_lag(spark):
     exp = {r["o"]: (r["po"], r["pv"]) for r in df.select(
         "o", F.lag("o").over(w).alias("po"), F.lag("val").over(w).alias("pv")).collect()}
     assert got == exp
+
+
+def test_count_before(spark):
+    from murmuration.operators.ranking import count_before
+
+    rnd = random.Random(11)
+    rows = [("hot" if rnd.random() < 0.7 else f"k{rnd.randrange(9)}", i, rnd.random() < 0.4)
+            for i in range(1500)]
+    df = spark.createDataFrame(rows, "key string, o long, flag boolean")
+    got = {r["o"]: r["before"] for r in count_before(df, ["key"], "o", "flag", num_partitions=5).collect()}
+    exp, seen = {}, {}
+    for k, o, f in sorted(rows, key=lambda r: r[1]):
+        exp[o] = seen.get(k, 0)
+        seen[k] = seen.get(k, 0) + (1 if f else 0)
+    assert got == exp
