@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from murmuration.operators import (cluster, embeddings, filters, narratives, network,
                                    overview, signals, tfidf)
 from murmuration.sources.fixtures import table
-from murmuration.operators.preprocess import materialized_posts, posts_from_fixture
-from murmuration.sources.fixtures import raw_posts
+from murmuration.operators.preprocess import (materialized_posts, posts_from_fixture,
+                                              preprocess_posts)
+from murmuration.sources.fixtures import FIXTURE_ROLES, raw_posts
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -110,6 +111,17 @@ def q_platform_counts(spark, sf_dir):
     return overview.platform_counts(posts(spark, sf_dir))
 
 
+@register("top_outlets")
+def q_top_outlets(spark, sf_dir):
+    """D4: the raw posts carry an outlet column (each document's ``source``), mapped with the
+    outlet role; the 10 outlets with most posts."""
+    raw = raw_posts(spark, sf_dir).join(
+        table(spark, sf_dir, "documents").select(F.col("doc_id").alias("post_id"),
+                                                 F.col("source").alias("outlet_name")), "post_id")
+    p = preprocess_posts(raw, outlet_col="outlet_name", **FIXTURE_ROLES)
+    return overview.top_outlets(p)
+
+
 @register("extract_hashtags")
 def q_extract_hashtags(spark, sf_dir):
     p = overview.with_hashtags(posts(spark, sf_dir))

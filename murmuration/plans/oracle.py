@@ -46,6 +46,10 @@ oracle("top_influencers", with_posts(
     "ORDER BY posts DESC, Influencer LIMIT 10"))
 oracle("platform_counts", with_posts(
     "SELECT Platform, count(*) AS posts FROM posts WHERE Platform IS NOT NULL GROUP BY Platform"))
+oracle("top_outlets", with_posts(
+    "SELECT d.source AS Outlet, count(*) AS posts FROM posts p JOIN documents d "
+    "ON d.doc_id = p.post_id WHERE d.source IS NOT NULL GROUP BY d.source "
+    "ORDER BY posts DESC, Outlet LIMIT 10"))
 oracle("extract_hashtags", with_posts(
     f"SELECT post_id, array_to_string({hashtags('text')}, ' ') AS hashtags FROM posts"))
 oracle("top_hashtags", with_posts(
