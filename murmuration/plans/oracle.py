@@ -103,9 +103,9 @@ def _anchor(c: str) -> str:
 
 
 oracle("tokenize", with_posts(
-    "SELECT s.post_id, coalesce(sum(t.tf), 0) AS n_tokens, count(t.tf) AS n_terms "
+    "SELECT s.post_id, CAST(coalesce(sum(t.tf), 0) AS BIGINT) AS n_tokens, count(t.tf) AS n_terms "
     "FROM sim_in s LEFT JOIN sim_tf t ON t.post_id = s.post_id GROUP BY s.post_id", SIM))
-oracle("vocabulary", with_posts("SELECT term, df, total FROM sim_vocab", SIM))
+oracle("vocabulary", with_posts("SELECT term, df, CAST(total AS BIGINT) AS total FROM sim_vocab", SIM))
 oracle("tfidf", with_posts("SELECT post_id, term, round(w, 6) AS w FROM sim_vec", SIM))
 oracle("similarity_input", with_posts(
     "SELECT post_id, original_text, Influencer, Platform FROM sim_in", SIM_IN))
@@ -190,7 +190,7 @@ oracle("co_cluster_edges", with_posts(
     "SELECT a.Influencer AS src, b.Influencer AS dst, count(*) AS weight FROM ca a JOIN ca b "
     "ON a.cluster = b.cluster AND a.Influencer < b.Influencer GROUP BY 1, 2", NET, recursive=True))
 oracle("co_cluster_edges_by_post", with_posts(
-    "SELECT src, dst, weight FROM (SELECT a.Influencer AS src, b.Influencer AS dst, "
+    "SELECT src, dst, CAST(weight AS BIGINT) AS weight FROM (SELECT a.Influencer AS src, b.Influencer AS dst, "
     "sum(CASE WHEN a.Influencer = b.Influencer THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END) "
     "AS weight FROM ca a JOIN ca b ON a.cluster = b.cluster AND a.Influencer <= b.Influencer "
     "GROUP BY 1, 2) WHERE weight > 0", NET, recursive=True))
