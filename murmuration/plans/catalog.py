@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from murmuration.operators import (cluster, embeddings, filters, narratives, network,
                                    overview, signals, tfidf)
-from murmuration.sources.fixtures import table
 from murmuration.operators.preprocess import (materialized_posts, posts_from_fixture,
                                               preprocess_posts)
-from murmuration.sources.fixtures import FIXTURE_ROLES, raw_posts
+from murmuration.sources.fixtures import FIXTURE_ROLES, raw_posts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -49,14 +48,12 @@ def q_load_posts(spark, sf_dir):
 
 @register("union_dedupe")
 def q_union_dedupe(spark, sf_dir):
-    """A2 + B1: two extracts of the raw posts with different column sets, unioned by name
-    (missing columns null) and de-duplicated on the full row."""
+    """A2 + B1: the raw posts, a column-reordered copy and a copy without ``link``, unioned by
+    name (missing columns null) and de-duplicated on the full row."""
     raw = raw_posts(spark, sf_dir)
-    full = raw
-    partial = raw.where(F.col("post_id") % 2 == 0).select("link", "content", "post_id", "author",
-                                                          "created_at")
-    no_link = raw.where(F.col("post_id") % 3 == 0).drop("link")
-    return full.unionByName(partial, allowMissingColumns=True) \
+    reordered = raw.select("link", "content", "post_id", "author", "created_at")
+    no_link = raw.drop("link")
+    return raw.unionByName(reordered, allowMissingColumns=True) \
         .unionByName(no_link, allowMissingColumns=True).dropDuplicates()
 
 

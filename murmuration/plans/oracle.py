@@ -17,8 +17,8 @@ oracle("load_posts", RAW_POSTS_SQL)
 oracle("union_dedupe", f"""WITH raw AS ({RAW_POSTS_SQL})
 SELECT DISTINCT * FROM (
   SELECT post_id, author, created_at, content, link FROM raw
-  UNION ALL SELECT post_id, author, created_at, content, link FROM raw WHERE post_id % 2 = 0
-  UNION ALL SELECT post_id, author, created_at, content, NULL AS link FROM raw WHERE post_id % 3 = 0)""")
+  UNION ALL SELECT post_id, author, created_at, content, link FROM raw
+  UNION ALL SELECT post_id, author, created_at, content, NULL AS link FROM raw)""")
 oracle("preprocess_posts", with_posts(
     'SELECT post_id, text, original_text, Influencer, "Timestamp", URL, Platform FROM posts'))
 oracle("infer_platform", with_posts(
