@@ -75,16 +75,19 @@ def cosine_pairs_slim(slim: DataFrame, threshold: float, tau: float | None = Non
     tau = default_tau(t) if tau is None else min(float(tau), t)
     x = cut_lineage(split_prefix(slim, tau))
     pre = x.where("pre")
-    a = pre.select(F.col("tix").alias("i"), "rk", F.col("w").alias("wi"),
-                   F.col("r2").alias("r2i"), F.col("pend").alias("pi"))
-    b = pre.select(F.col("tix").alias("j"), "rk", F.col("w").alias("wj"),
-                   F.col("r2").alias("r2j"), F.col("pend").alias("pj"))
+    a = pre.select(F.col("tix").alias("i"), "rk", F.col("w").alias("wi"))
+    b = pre.select(F.col("tix").alias("j"), "rk", F.col("w").alias("wj"))
+    # the join rows carry only ids and weights (the largest shuffle); per-vector constants
+    # (tail mass, prefix end) are attached after the aggregation, one row per vector
+    vec = pre.groupBy("tix").agg(F.max("r2").alias("r2"), F.max("pend").alias("pend"))
     cand = (a.join(b, "rk").where(F.col("i") < F.col("j")).groupBy("i", "j")
             .agg(F.sum(F.col("wi") * F.col("wj")).alias("p"),
                  F.sum(F.col("wi") * F.col("wi")).alias("si"),
-                 F.sum(F.col("wj") * F.col("wj")).alias("sj"),
-                 F.max("r2i").alias("r2i"), F.max("r2j").alias("r2j"),
-                 F.max("pi").alias("pi"), F.max("pj").alias("pj")))
+                 F.sum(F.col("wj") * F.col("wj")).alias("sj"))
+            .join(vec.select(F.col("tix").alias("i"), F.col("r2").alias("r2i"),
+                             F.col("pend").alias("pi")), "i")
+            .join(vec.select(F.col("tix").alias("j"), F.col("r2").alias("r2j"),
+                             F.col("pend").alias("pj")), "j"))
     i_early = F.col("pi") <= F.col("pj")
     cand = (cand.select("i", "j", "p",
                         F.when(i_early, F.col("i")).otherwise(F.col("j")).alias("e"),
