@@ -89,12 +89,37 @@ def rapid_co_sharing(posts: DataFrame, window_hours: float = 6.0) -> DataFrame:
 
 
 def hashtag_overlap(posts: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Account pairs whose sets of used hashtags have Jaccard similarity >= ``threshold``."""
-    sets = posts.select(F.col("Influencer").alias("key"),
-                        F.explode(hashtags(F.col("text"))).alias("item"))
-    p = jaccard_pairs(sets, threshold)
-    return p.select(F.col("k1").alias("src"), F.col("k2").alias("dst"), "shared",
-                    F.round("jaccard", 6).alias("jaccard"))
+    """Groups of accounts with overlapping hashtag sets (Jaccard >= ``threshold``).
+
+    Accounts with an identical set of used hashtags are one *set group* (a hashtag used by a
+    third of all accounts makes many identical one-tag sets); the exact Jaccard join runs over
+    distinct sets only and the result is reported per set pair, with account counts and the
+    number of account pairs it stands for -- never one row per account pair. A set shared by
+    several accounts appears as its own pair (Jaccard 1).
+    """
+    used = posts.select(F.col("Influencer").alias("account"),
+                        F.explode(hashtags(F.col("text"))).alias("tag")).distinct()
+    acct = used.groupBy("account").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    groups = acct.groupBy(F.array_join("tags", " ").alias("set")) \
+        .agg(F.count(F.lit(1)).alias("accounts"), F.min("account").alias("example"),
+             F.first("tags").alias("tags"))
+    items = groups.select(F.col("set").alias("key"), F.explode("tags").alias("item"))
+    p = jaccard_pairs(items, threshold)
+    g1 = groups.select(F.col("set").alias("k1"), F.col("accounts").alias("accounts1"),
+                       F.col("example").alias("example1"))
+    g2 = groups.select(F.col("set").alias("k2"), F.col("accounts").alias("accounts2"),
+                       F.col("example").alias("example2"))
+    cross = p.join(g1, "k1").join(g2, "k2").select(
+        F.col("k1").alias("hashtags1"), F.col("k2").alias("hashtags2"), "accounts1", "accounts2",
+        "example1", "example2", "shared", F.round("jaccard", 6).alias("jaccard"),
+        (F.col("accounts1") * F.col("accounts2")).alias("account_pairs"))
+    same = groups.where(F.col("accounts") >= 2).select(
+        F.col("set").alias("hashtags1"), F.col("set").alias("hashtags2"),
+        F.col("accounts").alias("accounts1"), F.col("accounts").alias("accounts2"),
+        F.col("example").alias("example1"), F.col("example").alias("example2"),
+        F.size("tags").cast("long").alias("shared"), F.lit(1.0).alias("jaccard"),
+        (F.col("accounts") * (F.col("accounts") - 1) / 2).cast("long").alias("account_pairs"))
+    return cross.unionByName(same)
 
 
 def content_overlap(posts: DataFrame, threshold: float = 0.5, stop_words=None) -> DataFrame:

@@ -275,9 +275,24 @@ SELECT k1 AS src, k2 AS dst, shared, round(j, 6) AS jaccard FROM (
 
 from murmuration.plans.sqlparts import POSTS_CTE  # noqa: E402
 
-oracle("hashtag_overlap", _jaccard_sql(
-    f"SELECT DISTINCT Influencer AS k, unnest({hashtags('text')}) AS it FROM posts",
-    C.HASHTAG_JACCARD))
+oracle("hashtag_overlap", with_posts(f"""
+SELECT hashtags1, hashtags2, accounts1, accounts2, example1, example2, shared, jaccard,
+       account_pairs FROM (
+  SELECT a.s AS hashtags1, b.s AS hashtags2, a.n AS accounts1, b.n AS accounts2,
+         a.ex AS example1, b.ex AS example2, x.shared,
+         round(x.shared / (len(a.tags) + len(b.tags) - x.shared), 6) AS jaccard,
+         a.n * b.n AS account_pairs
+  FROM (SELECT a.s AS s1, b.s AS s2, count(*) AS shared FROM gi a JOIN gi b
+        ON a.t = b.t AND a.s < b.s GROUP BY 1, 2) x
+  JOIN g a ON a.s = x.s1 JOIN g b ON b.s = x.s2)
+WHERE jaccard >= {C.HASHTAG_JACCARD}
+UNION ALL
+SELECT s, s, n, n, ex, ex, len(tags), 1.0, n * (n - 1) // 2 FROM g WHERE n >= 2""", f"""
+used AS (SELECT DISTINCT Influencer AS account, unnest({hashtags('text')}) AS tag FROM posts),
+acct AS (SELECT account, list_sort(list(tag)) AS tags FROM used GROUP BY account),
+g AS (SELECT array_to_string(tags, ' ') AS s, count(*) AS n, min(account) AS ex,
+             first(tags) AS tags FROM acct GROUP BY 1),
+gi AS (SELECT s, unnest(tags) AS t FROM g)"""))
 oracle("content_overlap", _jaccard_sql(
     f"SELECT DISTINCT k, it FROM (SELECT Influencer AS k, unnest({tok_sql('original_text')}) AS it "
     f"FROM posts) WHERE NOT list_contains({stop_words_list()}, it)", C.CONTENT_JACCARD))
