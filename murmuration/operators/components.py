@@ -34,7 +34,9 @@ def _both_ways(e: DataFrame) -> DataFrame:
 def large_star(e: DataFrame) -> DataFrame:
     """Connect every larger neighbour of u to the minimum of u's closed neighbourhood."""
     d = _both_ways(e)
-    m = d.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # Written, so that the join below has a plain shuffle on both sides and Spark can split the
+    # edges of a hub (the centre of a giant component) over several tasks.
+    m = cut_lineage(d.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
     out = (d.where(F.col("v") > F.col("u")).join(m, "u")
            .select(F.col("v").alias("src"), F.col("m").alias("dst")))
     return _canonical(out)
@@ -43,7 +45,7 @@ def large_star(e: DataFrame) -> DataFrame:
 def small_star(e: DataFrame) -> DataFrame:
     """Connect u and its smaller neighbours to the minimum of that set."""
     d = _both_ways(e).where(F.col("v") < F.col("u"))
-    m = d.groupBy("u").agg(F.min("v").alias("m"))
+    m = cut_lineage(d.groupBy("u").agg(F.min("v").alias("m")))
     out = (d.join(m, "u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
            .unionByName(m.select(F.col("u").alias("src"), F.col("m").alias("dst"))))
     return _canonical(out)

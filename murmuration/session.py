@@ -56,8 +56,9 @@ def ensure_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    Uses ``spark.checkpoint.dir`` as the cluster names it. Only when the setting is absent
-    (local tests) a fresh folder under the system temp dir is created and registered.
+    Uses ``spark.checkpoint.dir`` as the cluster names it. Only in local mode, where all tasks
+    share the machine, a fresh temporary folder stands in for a missing setting; on a cluster
+    executors could not see it, so there the setting is required.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -65,6 +66,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
         d = tempfile.mkdtemp(prefix="murmuration-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
