@@ -166,7 +166,10 @@ def _walk_subtrees(budget: int):
 # ---------------------------------------------------------------- walk of the top, as DataFrames
 
 def _node(depth: int) -> Column:
-    return F.lit(0).cast("long") if depth == 0 else F.shiftrightunsigned("fp", BITS - depth)
+    """The first ``depth`` bits; in two shifts, as one by 64 would be none. Never a constant, so
+    that joins on it stay equi-joins at the root as well."""
+    return F.shiftrightunsigned(F.shiftrightunsigned("fp", (BITS - depth) // 2),
+                                BITS - depth - (BITS - depth) // 2)
 
 
 def trie_links(fps: DataFrame, budget: int = 2, subtree_rows: int = SUBTREE_ROWS) -> DataFrame:
