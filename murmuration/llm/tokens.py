@@ -2,17 +2,17 @@
 
 The vocabulary file splits a text into words before it merges bytes, so a word's ids do not
 depend on its neighbours. Documents repeat words far more often than they bring new ones, so
-each Python worker keeps the ids of words it has met (a bounded memo) and asks the tokenizer
-only for new ones. A text with two adjacent white-space characters, where the split looks
+each Python worker keeps the ids of words it has met (two generations of at most about
+``MEMO_WORDS`` words) and asks the tokenizer only for new ones. A text with longer white-space runs, where the vocabulary's split looks
 further than one character, is given to the tokenizer whole.
 """
 
 from __future__ import annotations
 
-import re
+import sys
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,8 @@ from tokenizers import Tokenizer
 
 MEMO_WORDS = 400_000
 END_ID = 2
-WIDE_SPACE = re.compile(r"\s\s|\0")
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("token ids are kept as native 32-bit little-endian arrays")
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"   # no apostrophe: it may begin a word part
 
 
@@ -31,60 +32,74 @@ def _visible_bytes() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(hidden)}
 
 
-class WordTokenizer:
-    """``encode`` gives the ids of a text, little-endian unsigned 32-bit, as bytes."""
+class WideSpace(Exception):
+    """A white-space run that the split into words may cut."""
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.model = self.whole.model
-        self.model._resize_cache(0)       # every question is a new word
+
+class WordMemo(dict):
+    """Ids of words met, as bytes; a word not yet met is encoded on its first use."""
+
+    def __init__(self, whole: Tokenizer, size: int):
+        super().__init__()
+        self.whole, self.model, self.size = whole, whole.model, size
+        self.model._resize_cache(0)       # this memo is the cache
         self.visible = _visible_bytes()
-        self.memo: dict[str, bytes] = {}
-        self.memo_words = memo_words
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        got = self.whole.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def _word(self, word: str) -> bytes:
-        sign = word.encode().decode("latin-1").translate(self.visible)
-        return np.array([t.id for t in self.model.tokenize(sign)], dtype="<u4").tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        memo = self.memo
-        if len(memo) + len(new) > self.memo_words:
-            memo.clear()
-        rest = []
-        for x in new:
+        self.space = chr(self.visible[32])
+        self.old: dict[str, bytes] = {}
+
+    def renew(self) -> None:
+        """Between texts: when full, start a new generation; words in use come back from the old."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+    def _letters(self, word: str) -> bytes:
+        """A run of letters, with or without a space in front: one unit of the vocabulary."""
+        if word.isascii():
+            sign = self.space + word[1:] if word[0] == " " else word
+        else:
+            sign = word.encode().decode("latin-1").translate(self.visible)
+        return array("I", [t.id for t in self.model.tokenize(sign)]).tobytes()
+
+    def ask(self, text: str) -> bytes:
+        (got,) = self.whole.encode_batch_fast([text], add_special_tokens=False)
+        return array("I", got.ids).tobytes()
+
+    def __missing__(self, x: str) -> bytes:
+        ids = self.old.get(x)
+        if ids is None:
             stem = x.rstrip(TAIL)
             if (stem[1:] if stem[:1] == " " else stem).isalpha():
-                ids = memo.get(stem)
-                if ids is None:
-                    ids = memo[stem] = self._word(stem)
                 if len(stem) < len(x):
-                    end = x[len(stem):]
-                    mark = memo.get(end)
-                    if mark is None:
-                        mark = memo[end] = self._ask([end])[0]
-                    memo[x] = ids + mark
+                    ids = self[stem] + self[x[len(stem):]]
+                else:
+                    ids = self._letters(x)
             else:
-                rest.append(x)
-        memo.update(zip(rest, self._ask(rest), strict=True))
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        parts = [None if WIDE_SPACE.search(x) else
-                 x.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for x in texts]
-        words = set().union(*[p for p in parts if p])
-        missing = words.difference(self.memo)
-        if missing:
-            self._learn(missing)
-            if len(self.memo) < len(words):            # the memo was emptied for this batch
-                self._learn(words.difference(self.memo))
-        wide = self._ask([x for x, p in zip(texts, parts, strict=True) if p is None])
-        at = iter(wide)
-        get = self.memo.__getitem__
-        return [next(at) if p is None else b"".join(map(get, p)) for p in parts]
+                body = x[1:] if x[:1] == " " else x
+                if x != "\n" and (not body or body[0].isspace() or body[-1].isspace()):
+                    raise WideSpace
+                ids = self.ask(x)
+        self[x] = ids
+        return ids
+
+
+class WordTokenizer:
+    """``encode`` gives the ids of a text, little-endian unsigned 32-bit, as bytes."""
+
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True
+        self.memo = WordMemo(whole, memo_words)
+
+    def encode(self, text: str) -> bytes:
+        self.memo.renew()
+        if "\0" not in text:
+            words = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+            try:
+                return b"".join(map(self.memo.__getitem__, words))
+            except WideSpace:
+                pass
+        return self.memo.ask(text)
 
 
 _LOADED: dict[str, WordTokenizer] = {}     # one per Python worker and file
@@ -111,7 +126,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, id_col:
 
     Null text counts as empty (its only id is ``end_id``).
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = end_id.to_bytes(4, "little")
     id_type = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +134,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, id_col:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                encoded = tok.encode_batch(part.column(1).to_pylist())
+                encoded = map(tok.encode, part.column(1).to_pylist())
                 row, piece, start, length, ids = [], [], [], [], []
                 for r, body in enumerate(encoded):
                     body += end
