@@ -29,18 +29,15 @@ from murmuration.llm.common import written
 from murmuration.llm.vectors import (best_of, block_rows, finite_vectors, padded, squared_norm,
                                      unpack)
 
-SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 2048, 64, 256
-FACTOR = 1.1
+MIN_SHARDS, SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 8, 16384, 512, 256
+FACTOR = 4.0      # recall of the 20 nearest at least 0.99 in tests; 1 is exact
 NODE = 7      # columns of a node: begin, end, vantage, inner child, outer child, inner max, outer min
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of all rows, each summed component by component: equal vectors get equal
-    scores wherever they stand."""
-    out = np.zeros((len(a), len(b)))
-    for k in range(a.shape[1]):
-        out += a[:, k, None] * b[None, :, k]
-    return out
+def exact_products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products row by row, always summed alike: equal vectors get equal scores, which a
+    matrix product does not promise."""
+    return np.einsum("ij,ij->i", np.ascontiguousarray(q), np.ascontiguousarray(v))
 
 
 @dataclass
@@ -97,10 +94,15 @@ class VPTree:
                 return
             a, b, vantage, near, far = self.nodes[node, :5].astype(int)
             if vantage < 0:
-                s = products(q[at], self.vectors[a:b])
-                s[query_ids[at][:, None] == self.ids[a:b][None]] = -np.inf
-                better = s.max(1) >= best[at, -1]
-                at, s = at[better], s[better]
+                rough = q[at] @ self.vectors[a:b].T
+                rough[query_ids[at][:, None] == self.ids[a:b][None]] = -np.inf
+                may = rough >= best[at, -1][:, None] - slack * np.sqrt(q2[at])[:, None]
+                may &= rough > -np.inf
+                better = may.any(1)
+                at, may = at[better], may[better]
+                r, c = np.nonzero(may)
+                s = np.full(may.shape, -np.inf)
+                s[r, c] = exact_products(q[at[r]], self.vectors[a + c])
                 ids = np.concatenate([who[at], np.broadcast_to(self.ids[a:b], s.shape)], 1)
                 s = np.concatenate([best[at], s], 1)
                 by = np.argsort(ids, axis=1, kind="stable")
@@ -156,10 +158,11 @@ def _search(pairs: DataFrame, k: int, factor: float, top: float) -> DataFrame:
 
 def nearest(df: DataFrame, is_query: Column, k: int = 20, factor: float = FACTOR,
             id_col: str = "vec_id", vec_col: str = "embedding",
-            shard_rows: int = SHARD_ROWS) -> DataFrame:
+            shard_rows: int = SHARD_ROWS, min_shards: int = MIN_SHARDS) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k nearest found.
 
-    ``is_query`` is a condition on ``vec_id``; ``factor`` 1 is exact.
+    ``is_query`` is a condition on ``vec_id``; ``factor`` 1 is exact. There are ``min_shards``
+    trees, or more once they would be larger than ``shard_rows``.
     """
     spark = df.sparkSession
     if factor < 1:
@@ -171,7 +174,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, factor: float = FACTOR
     if not n:
         return best_of(spark.createDataFrame([], "query_id long, vec_id long, score double"), k)
     vectors = padded(vectors, dim)
-    shards = max(1, -(-n // shard_rows))
+    shards = max(min_shards, -(-n // shard_rows))
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     trees = written(dealt.groupBy("shard").applyInPandas(
         _build_shard(top), "shard int, ids binary, vectors binary, nodes binary"))
