@@ -27,6 +27,16 @@ def nonnull_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def boxed(df: DataFrame, **derived: Column) -> DataFrame:
+    """The rows of ``df`` as one struct ``_in`` beside derived columns, so that no helper column
+    can clash with a column of the input. ``unboxed`` gives the rows back."""
+    return df.select(F.struct("*").alias("_in"), *[c.alias(n) for n, c in derived.items()])
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("_in.*")
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD_RE)).cast("long")
 

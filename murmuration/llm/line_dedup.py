@@ -7,7 +7,7 @@ to one earlier document are then aligned by patience diff over the shared lines:
 in both, longest increasing run of them, the same again between the anchors. Maximal runs of
 aligned lines that are consecutive in both documents are blocks; a block of ``min_words`` or
 more words is evidence (rarer than chance words such as a one-word line) and is deleted from
-the later document.
+the later document. What is left of the pair is aligned again, so moved blocks go as well.
 
 Documents are ordered by id (nulls last), then by a hash of their text. Rows with equal id and
 text are one document here: all are edited alike, and none is later than the other. Null text
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import word_count, written
+from murmuration.llm.common import boxed, word_count, written
 
 MIN_WORDS = 5
 
@@ -92,8 +92,24 @@ def patience(x: list, y: list) -> list[tuple[int, int]]:
 
 def aligned_blocks(later: list[tuple[int, int, int]], earlier: list[tuple[int, int]],
                    min_words: int) -> list[int]:
-    """Positions to delete. ``later``: (position, line, words), ``earlier``: (position, line)."""
+    """Positions to delete. ``later``: (position, line, words), ``earlier``: (position, line).
+
+    What is left is aligned again until nothing more is deleted, which finds moved blocks.
+    """
     later, earlier = sorted(later), sorted(earlier)
+    out: list[int] = []
+    while later:
+        gone = _blocks(later, earlier, min_words)
+        if not gone:
+            break
+        out += gone
+        taken = set(gone)
+        later = [x for x in later if x[0] not in taken]
+    return out
+
+
+def _blocks(later: list[tuple[int, int, int]], earlier: list[tuple[int, int]],
+            min_words: int) -> list[int]:
     pairs = patience([x[1] for x in later], [x[1] for x in earlier])
     out: list[int] = []
     run: list[int] = []
@@ -176,11 +192,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = written(removed_lines(docs, id_col, text_col, min_words)) \
         .select(F.col("doc").alias("_doc"), F.col("mask").alias("_mask"))
-    keyed = docs.withColumn("_key", document_key(docs, id_col, text_col))
+    keyed = boxed(docs, _key=document_key(docs, id_col, text_col), _text=F.col(text_col))
     # shuffled hash: the few masks are the build side, and long texts need no sort
     out = keyed.join(gone.hint("shuffle_hash"), F.col("_key") == F.col("_doc"), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.coalesce(
+    kept = F.array_join(F.filter(F.split("_text", "\n", -1), lambda x, i: ~F.coalesce(
         F.get(F.col("_mask"), i), F.lit(False))), "\n")
-    text = F.when(F.col("_mask").isNull(), F.col(text_col)).otherwise(kept)
-    cols = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    text = F.when(F.col("_mask").isNull(), F.col("_text")).otherwise(kept)
+    cols = [text.alias(c) if c == text_col else F.col(f"_in.`{c}`") for c in docs.columns]
     return out.select(*cols, *([F.col("_mask").alias(mask_col)] if mask_col else []))

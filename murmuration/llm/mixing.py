@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import word_count, written
+from murmuration.llm.common import boxed, unboxed, word_count, written
 from murmuration.operators.ranking import dense_index
 
 SEED = 7
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rates = (source_targets(per_source, weights, max_rate)
              .select(F.col("source").alias("_s"), F.col("rate").alias("_rate")))
-    joined = docs.join(rates, F.col(source_col).eqNullSafe(F.col("_s")))
-    times = copies(F.col("_rate"), F.col(id_col), seed)
-    return (joined.withColumn("_n", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
-            .select(*[f"`{c}`" for c in docs.columns]))
+    joined = boxed(docs, _source=F.col(source_col), _id=F.col(id_col)).join(
+        rates, F.col("_source").eqNullSafe(F.col("_s")))
+    times = copies(F.col("_rate"), F.col("_id"), seed)
+    return unboxed(joined.select("_in", F.explode(F.array_repeat(F.lit(0), times.cast("int")))))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmuration.llm.common import written
+from murmuration.llm.common import boxed, written
 
 CHUNK_ROWS = 8192
 
@@ -85,12 +85,14 @@ def _packer(capacity, weights, rule) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def pack(pieces: DataFrame, tokens: int = 1024, max_docs: int | None = None,
          max_cost: int | None = None, weights: Sequence[float] = (1.0, 0.01, 0.01),
          rule: str = "norm", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``pieces`` (any columns, with ``length``) plus ``sequence_id`` and ``offset``.
+    """``pieces`` (any columns, with ``length``) plus ``sequence_id`` and ``offset``, in place of
+    any columns of these names.
 
     ``max_docs`` and ``max_cost`` default to values no sequence of ``tokens`` tokens exceeds.
     """
     capacity = (tokens, max_docs or tokens, max_cost or tokens * tokens)
-    rows = written(pieces.withColumn("_row", F.monotonically_increasing_id()))
+    rows = written(boxed(pieces.drop("sequence_id", "offset"), length=F.col("length"),
+                         _row=F.monotonically_increasing_id()))
     chunks = max(1, -(-rows.count() // chunk_rows))
     dealt = (rows.select("_row", "length")
              .withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.lit(chunks)).cast("int")))
@@ -99,7 +101,7 @@ def pack(pieces: DataFrame, tokens: int = 1024, max_docs: int | None = None,
         T.StructType([*dealt.drop("_chunk").schema.fields,
                       T.StructField("sequence_id", T.LongType()),
                       T.StructField("offset", T.LongType())])).drop("length"))
-    return rows.join(placed, "_row").drop("_row")
+    return rows.join(placed, "_row").select("_in.*", "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmuration.llm.common import written
+from murmuration.llm.common import boxed, unboxed, written
 
 FEATURES = ("log_bytes", "log_words", "word_bytes", "distinct_words", "commonest_word",
             "upper", "digits", "marks", "word_ends", "single_mark_words", "repeated_lines",
@@ -179,5 +179,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                                 .alias("stats")))
     model = fit(stats, labels, id_col, label_col)
     # texts stay where they are: statistics are computed again rather than joined back
-    return (docs.withColumn("_score", score(document_statistics(F.col(text_col)), model))
-            .where("_score >= 0.5").drop("_score"))
+    return unboxed(boxed(docs, _score=score(document_statistics(F.col(text_col)), model))
+                   .where("_score >= 0.5"))

@@ -62,7 +62,8 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), mask_col="mask")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs, mask_col="mask")
     gone = F.filter(F.transform("mask", lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
     return out.select("doc_id", F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
                       F.coalesce(F.array_join(gone.cast("array<string>"), ","), F.lit(""))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmuration.llm.common import nonnull_text, written
+from murmuration.llm.common import boxed, nonnull_text, written
 
 # Fixed values of the published generator.
 MULTIPLIER = 2862933555777941757
@@ -64,14 +64,17 @@ def shard_key(docs: DataFrame, id_col: str) -> Column:
 
 
 def assign(docs: DataFrame, shards: int = 16, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``shard`` and ``grown_shard`` (its shard when one more is appended)."""
+    """``docs`` with ``shard`` and ``grown_shard`` (its shard when one more is appended), in place
+    of any columns of these names."""
     seen = jumps(shard_key(docs, id_col), shards + 1)
-    return (docs.withColumn("_seen", seen).withColumn("shard", shard_of(F.col("_seen"), shards))
-            .withColumn("grown_shard", shard_of(F.col("_seen"), shards + 1)).drop("_seen"))
+    return (boxed(docs.drop("shard", "grown_shard"), _seen=seen)
+            .select("_in.*", shard_of(F.col("_seen"), shards).alias("shard"),
+                    shard_of(F.col("_seen"), shards + 1).alias("grown_shard")))
 
 
 def with_slots(rows: DataFrame, order: list[str], out_col: str = "slot") -> DataFrame:
-    """Number the rows of each ``shard`` from 0 without gaps, in ``order``."""
+    """Number the rows of each ``shard`` from 0 without gaps, in ``order``. For rows of this
+    module's own columns; names with a leading underscore are taken."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     keys = ["shard", *order]
     placed = written(rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmuration.llm.common import row_hash, written
+from murmuration.llm.common import boxed, row_hash, unboxed, written
 from murmuration.operators.components import connected_components
 
 SEED = 42
@@ -239,20 +239,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
              budget: int = 2) -> DataFrame:
     """``docs`` with one row of each component: the smallest id (nulls last), then the smallest
     row hash. Rows equal in every column count once."""
-    keyed = docs.withColumn("_row", row_hash(docs))
-    prints = written(keyed.select(F.col(id_col).alias("id"), "_row",
-                                  fingerprint(F.col(text_col), width).alias("fp")))
+    prints = written(docs.select(F.col(id_col).alias("id"), row_hash(docs).alias("row"),
+                                 fingerprint(F.col(text_col), width).alias("fp")))
     roots = written(link_components(prints, budget))
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("_row"))
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
     first = prints.groupBy("fp").agg(F.min(order).alias("first")).join(roots, "fp")
     kept = first.groupBy("root").agg(F.min("first").alias("first"))
-    rows = prints.groupBy("_row", "id").agg(F.count(F.lit(1)).alias("_times"))
-    kept = (kept.select(F.col("first._row").alias("_row"), F.col("first.id").alias("id"))
-            .join(rows.withColumnRenamed("id", "_rid"),
-                  ["_row"]).where(F.col("id").eqNullSafe(F.col("_rid")))
-            .select("_row", "_times", F.col("id").alias("_rid")))
-    out = (keyed.join(kept, "_row").where(F.col(id_col).eqNullSafe(F.col("_rid")))
-           .select(*[f"`{c}`" for c in docs.columns], "_times"))
-    once = out.where("_times = 1").drop("_times")
-    again = out.where("_times > 1").drop("_times").dropDuplicates()
-    return once.unionByName(again)
+    rows = prints.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")) \
+        .agg(F.count(F.lit(1)).alias("_times"))
+    kept = kept.join(rows, (F.col("first.row") == F.col("_row"))
+                     & F.col("first.id").eqNullSafe(F.col("_id")))
+    out = boxed(docs, _key=F.col(id_col), _hash=row_hash(docs)).join(
+        kept.select("_id", "_row", "_times"),
+        (F.col("_hash") == F.col("_row")) & F.col("_key").eqNullSafe(F.col("_id")))
+    again = out.where("_times > 1").select("_in").dropDuplicates()
+    return unboxed(out.where("_times = 1")).unionByName(unboxed(again))
