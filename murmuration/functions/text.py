@@ -27,6 +27,7 @@ EDGE_WS_RE = rf"^{WS}+|{WS}+$"
 HASHTAG_RE = rf"#{WORD}+"
 TOKEN_RE = rf"{WORD}{{2,}}"                    # maximal runs of >= 2 word characters
 MENTION_RE = rf"@({WORD}+)"
+RETWEET_FROM_RE = rf"(?i)^{WS}*rt{WS}+@({WORD}+)"
 # Literal strings that the reference treats as missing when it stringifies a column.
 NAN_LITERAL = "nan"
 
@@ -73,9 +74,27 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN_RE), 0)
 
 
+def handle(c: Column) -> Column:
+    """The form in which accounts are compared: lower case, no leading ``@``."""
+    return F.lower(F.regexp_replace(strip_ws(c), "^@", ""))
+
+
 def mentions(c: Column) -> Column:
-    """``@handle`` occurrences (without the ``@``), order kept."""
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(MENTION_RE), 1)
+    """Distinct ``@handle``s of a raw text, lower-cased, in order of first appearance."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(MENTION_RE), 1)
+    return F.array_distinct(F.transform(found, lambda x: F.lower(x)))
+
+
+def listed_handles(c: Column) -> Column:
+    """Distinct handles of a comma- or space-separated list."""
+    parts = F.transform(F.split(F.coalesce(c, F.lit("")), r"[,\s]+"), handle)
+    return F.array_distinct(F.filter(parts, lambda x: x != ""))
+
+
+def retweet_from(c: Column) -> Column:
+    """The account a raw text retweets (leading ``RT @user``, any case), else null."""
+    found = F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), RETWEET_FROM_RE, 1))
+    return F.when(found != "", found)
 
 
 def snippet(c: Column, n: int = SNIPPET_CHARS) -> Column:

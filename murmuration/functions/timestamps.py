@@ -5,38 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The reference's explicit formats, as Spark datetime patterns, in the order they
-# are tried. Month-first variants precede day-first ones (flipped by ``day_first=True``).
-MONTH_FIRST = ["M/d/yyyy HH:mm:ss", "d/M/yyyy HH:mm:ss"]
+# The formats read, as Spark datetime patterns, in the order they are tried. Brackets
+# are optional parts. Slash dates are tried month-first, then day-first (the other way round with
+# ``day_first``), for dates and date-times alike.
+MONTH_FIRST, DAY_FIRST = "M/d/yyyy", "d/M/yyyy"
+SLASH_TIMES = ["[ H:mm[:ss[.SSSSSS]]]", " h:mm[:ss] a"]
 DATE_PATTERNS = [
     "MMM d, yyyy '@' HH:mm:ss.SSSSSS",
     "d-MMM-yyyy h:mma",
-    "yyyy-MM-dd HH:mm:ss",
-    "<slash-date-time>",
-    "yyyy-MM-dd'T'HH:mm:ssX",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "d MMM yyyy HH:mm:ss",
-    "<weekday> d MMM yyyy HH:mm:ss",
-    "MMM d, yyyy h:mma",
-    "d MMM yyyy h:mma",
-    "yyyy-MM-dd HH:mm:ss[XXX][xx]",
-    "yyyy-MM-dd",
-    "M/d/yyyy",
-    "d MMM yyyy",
+    "d-MMM-yyyy[ H:mm[:ss]]",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS][ XXX][ xx][XXX][xx]",
+    "yyyy/M/d[ H:mm[:ss[.SSSSSS]]]",
+    "yyyyMMdd['T'HHmmss]",
+    "MMM d HH:mm:ss xx yyyy",
+    "d MMM yyyy[ H:mm[:ss]][ xx]",
+    "d MMMM yyyy[ H:mm[:ss]][ xx]",
+    "MMM d, yyyy[ H:mm[:ss]]",
+    "MMMM d, yyyy[ H:mm[:ss]]",
+    "MMM d, yyyy h:mm[:ss][ ]a",
+    "MMMM d, yyyy h:mm[:ss][ ]a",
+    "d MMM yyyy h:mm[:ss][ ]a",
+    "d MMMM yyyy h:mm[:ss][ ]a",
 ]
-WEEKDAY_PREFIX_RE = r"^[A-Za-z]+, "
-HAS_YEAR_RE = r"[0-9]{4}"
+WEEKDAY_PREFIX_RE = r"^(?i:mon|tues?|wed(nes)?|thu(rs)?|fri|sat(ur)?|sun)(day)?,?[ ]+"
+ZONE_NAME_RE = r"[ ]+(GMT|UTC|UT|Z)$"
+ISO_RE = r"^[0-9]{4}(-[0-9]{1,2}){0,2}([T ].*)?$"   # Spark's own parser; never a time alone
 EPOCH_RE = r"^-?[0-9]+$"
 
 
 def parse_timestamp(c: Column, day_first: bool = False, epoch_unit: str | None = None) -> Column:
-    """Parse a string column into a UTC timestamp.
+    """Parse a string column into a UTC timestamp; null where no format fits.
 
-    * free-form ISO-like parsing first (only when a 4-digit year is present, so a bare time
-      never turns into "today");
-    * then each explicit pattern in order; a leading weekday name (``Tuesday, ``) is removed
-      before the weekday pattern because Spark cannot parse full weekday names;
-    * ``epoch_unit`` in {"s", "ms", "us"} reads integer strings as epoch offsets.
+    * ISO-like values first (a four-digit year must come first, so a bare time never turns into
+      today);
+    * then each pattern in order, after a leading weekday name (which Spark cannot parse) is
+      removed and a trailing GMT/UTC becomes an offset;
+    * ``epoch_unit`` in {"s", "ms", "us"} reads integer strings as epoch offsets, before all else.
     Naive values are taken as UTC (the session time zone is UTC); values with an offset are
     converted to UTC.
     """
@@ -44,15 +48,10 @@ def parse_timestamp(c: Column, day_first: bool = False, epoch_unit: str | None =
     candidates = []
     if epoch_unit:
         fn = {"s": F.timestamp_seconds, "ms": F.timestamp_millis, "us": F.timestamp_micros}[epoch_unit]
-        candidates.append(F.when(s.rlike(EPOCH_RE), fn(s.cast("long"))))
-    candidates.append(F.when(s.rlike(HAS_YEAR_RE), F.try_to_timestamp(s)))
-    slash = MONTH_FIRST[::-1] if day_first else MONTH_FIRST
-    no_weekday = F.regexp_replace(s, WEEKDAY_PREFIX_RE, "")
-    for p in DATE_PATTERNS:
-        if p == "<slash-date-time>":
-            candidates.extend(F.try_to_timestamp(s, F.lit(q)) for q in slash)
-        elif p.startswith("<weekday> "):
-            candidates.append(F.try_to_timestamp(no_weekday, F.lit(p[len("<weekday> "):])))
-        else:
-            candidates.append(F.try_to_timestamp(s, F.lit(p)))
+        candidates.append(F.when(s.rlike(EPOCH_RE), fn(s.try_cast("long"))))
+    candidates.append(F.when(s.rlike(ISO_RE), F.try_to_timestamp(s)))
+    plain = F.regexp_replace(F.regexp_replace(s, WEEKDAY_PREFIX_RE, ""), ZONE_NAME_RE, " +0000")
+    slash = [DAY_FIRST, MONTH_FIRST] if day_first else [MONTH_FIRST, DAY_FIRST]
+    patterns = DATE_PATTERNS + [d + t for d in slash for t in SLASH_TIMES]
+    candidates.extend(F.try_to_timestamp(plain, F.lit(p)) for p in patterns)
     return F.coalesce(*candidates)

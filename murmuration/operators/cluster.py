@@ -42,7 +42,7 @@ def clustering_input(posts: DataFrame) -> DataFrame:
 
 
 def cluster_posts(posts: DataFrame, eps: float = 0.3, min_samples: int = 2,
-                  max_features: int | None = 5000, tau: float | None = None, stop_words=None,
+                  max_features: int | None = None, tau: float | None = None, stop_words=None,
                   prefiltered: bool = False) -> Clustering:
     inp = posts if prefiltered else clustering_input(posts)
     groups = cut_lineage(text_groups(inp, "original_text"))

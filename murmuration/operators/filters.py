@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from murmuration.functions.text import is_nonblank
 
 # Above this many values an ``isin`` list becomes a broadcast semi join instead of a literal set.
-ISIN_LITERAL_LIMIT = 1000
 
 
 def _as_date(d) -> dt.date:
@@ -40,18 +39,13 @@ def filter_platforms(df: DataFrame, platforms, col: str = "Platform") -> DataFra
     """Keep rows whose platform is in ``platforms`` (nulls drop out).
 
     ``platforms`` may be a Python collection (literal set, pushed down) or a one-column DataFrame
-    (left-semi join; broadcast only when the list is a bounded literal set).
+    (left-semi join), the form for lists that grow with the data.
     """
     if isinstance(platforms, DataFrame):
         key = platforms.columns[0]
         return df.join(platforms.select(F.col(key).alias("__p")).distinct(),
                        F.col(col) == F.col("__p"), "left_semi")
-    values = list(platforms)
-    if len(values) <= ISIN_LITERAL_LIMIT:
-        return df.where(F.col(col).isin(values))
-    spark = df.sparkSession
-    small = spark.createDataFrame([(v,) for v in values], "__p string")
-    return df.join(F.broadcast(small), F.col(col) == F.col("__p"), "left_semi")
+    return df.where(F.col(col).isin(list(platforms)))
 
 
 def filter_nonblank(df: DataFrame, col: str = "original_text") -> DataFrame:

@@ -1,11 +1,8 @@
 """Account interaction network built from clustered posts: edges and node attributes.
 
-The reference draws the graph for the accounts in the largest clusters, limited to the most active
-accounts (sliders, defaults 5 clusters and 50 accounts). Those limits are the feature (a top-k
-report), and they also bound the account pairs: edges come from a self-join of *distinct*
-(cluster, account) rows of that subset, at most M^2/2 pairs per cluster. Without the account
-limit, ``max_accounts_per_cluster`` turns a runaway cluster into an error instead of silently
-emitting a quadratic edge list.
+The graph of all clusters and accounts is an incidence table (``account_clusters``) and a node
+table (``graph_nodes``), both linear in the posts. Expanded account edges are for drawing a
+selection: the accounts of the largest clusters, most active first.
 """
 
 from __future__ import annotations
@@ -19,13 +16,10 @@ from murmuration.operators.cluster import NOISE
 from murmuration.operators.preprocess import ORDER
 from murmuration.operators.ranking import dense_index
 
+# The node sizes drawn.
 MIN_NODE_SIZE, MAX_NODE_SIZE = 10.0, 25.0
 
 
-class ClusterTooLarge(RuntimeError):
-    pass
-
-
 def top_clusters(clustered: DataFrame, n: int = 5) -> DataFrame:
     """The ``n`` largest non-noise clusters (``cluster, posts``); ties by cluster id."""
     return (clustered.where(F.col("cluster") != NOISE).groupBy("cluster")
@@ -64,31 +58,35 @@ def _cluster_accounts(subset: DataFrame) -> DataFrame:
         .groupBy("cluster", "Influencer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _guard(ca: DataFrame, max_accounts_per_cluster: int | None) -> None:
-    if max_accounts_per_cluster is None:
-        return
-    worst = ca.groupBy("cluster").agg(F.count(F.lit(1)).alias("u")) \
-        .agg(F.max("u").alias("u")).collect()[0]["u"]
-    if worst is not None and worst > max_accounts_per_cluster:
-        raise ClusterTooLarge(f"a cluster has {worst} accounts (> {max_accounts_per_cluster})")
+def account_clusters(subset: DataFrame) -> DataFrame:
+    """The account graph as an incidence table ``(cluster, influencer, posts, co_accounts)``.
+
+    Two accounts are connected when they share a row's cluster, so the table holds the whole
+    graph at one row per account and cluster, however large a cluster is; ``co_accounts`` is how
+    many other accounts the cluster connects this one with."""
+    ca = _cluster_accounts(subset)
+    size = ca.groupBy("cluster").agg(F.count(F.lit(1)).alias("_accounts"))
+    return ca.join(size, "cluster").select("cluster", F.col("Influencer").alias("influencer"),
+                                           F.col("n").alias("posts"),
+                                           (F.col("_accounts") - 1).alias("co_accounts"))
+
 
+def co_cluster_edges(subset: DataFrame) -> DataFrame:
+    """Undirected account edges ``(src < dst, weight)``: weight = number of shared clusters.
 
-def co_cluster_edges(subset: DataFrame, max_accounts_per_cluster: int | None = None) -> DataFrame:
-    """Undirected account edges ``(src < dst, weight)``: weight = number of shared clusters."""
+    The expanded form, for a selection of accounts to draw (see ``top_active_subset``); the
+    whole graph is ``account_clusters``."""
     ca = _cluster_accounts(subset)
-    _guard(ca, max_accounts_per_cluster)
     a = ca.select("cluster", F.col("Influencer").alias("src"))
     b = ca.select("cluster", F.col("Influencer").alias("dst"))
     return (a.join(b, "cluster").where(F.col("src") < F.col("dst"))
             .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight")))
 
 
-def co_cluster_edges_by_post(subset: DataFrame,
-                             max_accounts_per_cluster: int | None = None) -> DataFrame:
+def co_cluster_edges_by_post(subset: DataFrame) -> DataFrame:
     """Variant counting post pairs: weight = sum over clusters of n_u * n_v; an account with
     n posts in a cluster gets a self-loop of n(n-1)/2. No post pairs are materialised."""
     ca = _cluster_accounts(subset)
-    _guard(ca, max_accounts_per_cluster)
     a = ca.select("cluster", F.col("Influencer").alias("src"), F.col("n").alias("na"))
     b = ca.select("cluster", F.col("Influencer").alias("dst"), F.col("n").alias("nb"))
     w = F.when(F.col("src") == F.col("dst"), F.col("na") * (F.col("na") - 1) / 2) \
@@ -127,16 +125,17 @@ def graph_coverage(before_limit: DataFrame, nodes: DataFrame) -> DataFrame:
 class Network:
     nodes: DataFrame
     edges: DataFrame
+    incidence: DataFrame
     subset: DataFrame
     before_limit: DataFrame
 
 
-def interaction_network(clustered: DataFrame, n_clusters: int = 5,
-                        max_accounts: int | None = 50,
-                        max_accounts_per_cluster: int | None = None) -> Network:
-    """The reference's network tab: top clusters -> their accounts' posts -> most active
-    accounts -> edges and nodes."""
-    before = posts_of_top_clusters(clustered, n_clusters)
+def interaction_network(clustered: DataFrame, n_clusters: int | None = None,
+                        max_accounts: int | None = None) -> Network:
+    """The network tab: (top clusters ->) their accounts' posts (-> most active accounts) ->
+    nodes, edges and incidence. Without limits it covers every cluster and account; then use
+    ``incidence``, which is linear, rather than ``edges``."""
+    before = clustered if n_clusters is None else posts_of_top_clusters(clustered, n_clusters)
     subset = top_active_subset(before, max_accounts)
-    return Network(graph_nodes(subset), co_cluster_edges(subset, max_accounts_per_cluster),
+    return Network(graph_nodes(subset), co_cluster_edges(subset), account_clusters(subset),
                    subset, before)

@@ -2,8 +2,9 @@
 
 Canonical columns: ``post_id, text, original_text, Influencer, Timestamp, URL, Platform`` plus a
 ``post_order`` struct used wherever the reference relies on row order (first-k lists, pair
-orientation, cluster numbering, last-row-wins), optional ``Outlet`` and optional pass-through
-columns. One lazy projection after the single role-resolution aggregate.
+orientation, cluster numbering, last-row-wins), ``mentions`` and ``retweet_from`` (handles from
+source columns of these names, else from the raw text, before cleaning removes them), the source's
+``hashtags``, optional ``Outlet`` and optional pass-through columns. One lazy projection after the single role-resolution aggregate.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.functions.platform import infer_platform
-from murmuration.functions.text import clean_text, is_nonblank, nan_to_null, strip_retweet
+from murmuration.functions.text import (clean_text, handle, is_nonblank, listed_handles, mentions,
+                                        nan_to_null, retweet_from, strip_retweet)
 from murmuration.functions.timestamps import parse_timestamp
 from murmuration.operators.roles import UNKNOWN_USER, NoDataError, Roles, resolve_roles, strip_names
 
 CANONICAL = ["post_id", "text", "original_text", "Influencer", "Timestamp", "URL", "Platform"]
 ORDER = "post_order"
+SOCIAL = ["mentions", "retweet_from", "hashtags"]
 
 
 def _c(name: str):
@@ -79,7 +82,7 @@ def preprocess_posts(df: DataFrame, text_col: str | None = None, influencer_col:
 
     extras = []
     if keep_extra:
-        produced = set(CANONICAL) | {ORDER, "Outlet", "cleaned_text"}
+        produced = set(CANONICAL) | {ORDER, "Outlet", "cleaned_text", *SOCIAL}
         extras = [_c(c) for c in source_cols if c not in produced]
     if roles.outlet:
         extras.append(nan_to_null(_c(roles.outlet).cast("string")).alias("Outlet"))
@@ -88,12 +91,13 @@ def preprocess_posts(df: DataFrame, text_col: str | None = None, influencer_col:
     if "Channel" in source_cols and "Outlet" not in source_cols and not roles.outlet \
             and not keep_extra:
         extras.append(_c("Channel"))
+    social = [_c(c).cast("string").alias(f"_{c}_src") for c in SOCIAL if c in source_cols]
     plat_src = _c("Platform").cast("string") if "Platform" in source_cols else None
 
     staged = (df.select(post_id.alias("post_id"), text_raw.alias("_text_raw"),
                         infl.alias("Influencer"), ts.alias("Timestamp"), url.alias("URL"),
                         *([plat_src.alias("_platform_src")] if plat_src is not None else []),
-                        *extras)
+                        *social, *extras)
               .where(F.col("_text_raw").isNotNull() & is_nonblank(F.col("_text_raw")))
               .where(F.col("Timestamp").isNotNull()))
     if roles.platform_mode == "keep":
@@ -103,18 +107,37 @@ def preprocess_posts(df: DataFrame, text_col: str | None = None, influencer_col:
     else:
         platform = F.lit("Unknown")
     text = clean_text(F.col("_text_raw"))
+    raw = F.col("_text_raw")
+    handles = [listed_handles(F.col("_mentions_src")) if "mentions" in source_cols
+               else mentions(raw),
+               handle(F.col("_retweet_from_src")) if "retweet_from" in source_cols
+               else retweet_from(raw)]
     out = staged.select(
         "post_id",
         text.alias("text"),
         "Influencer", "Timestamp", "URL",
         platform.alias("Platform"),
+        *[h.alias(n) for h, n in zip(handles, SOCIAL, strict=False)],
+        *([F.col("_hashtags_src").alias("hashtags")] if "hashtags" in source_cols else []),
         *[c for c in staged.columns if c not in
-          ("post_id", "_text_raw", "Influencer", "Timestamp", "URL", "_platform_src")],
+          ("post_id", "_text_raw", "Influencer", "Timestamp", "URL", "_platform_src",
+           *[f"_{c}_src" for c in SOCIAL])],
     ).withColumn("original_text", strip_retweet(F.col("text")))
     out = out.select(*CANONICAL, *[c for c in out.columns if c not in CANONICAL])
     return with_post_order(out, order_cols)
 
 
+def unparsed_timestamps(df: DataFrame, timestamp_col: str, day_first: bool = False,
+                        epoch_unit: str | None = None) -> DataFrame:
+    """One row: ``rows``, ``missing`` (null or blank) and ``unparsed`` timestamp values, that is
+    how many rows preprocessing drops for their time."""
+    c = _c(timestamp_col).cast("string")
+    blank = c.isNull() | ~is_nonblank(c)
+    bad = ~blank & parse_timestamp(c, day_first, epoch_unit).isNull()
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(blank).alias("missing"),
+                  F.count_if(bad).alias("unparsed"))
+
+
 def require_nonempty(df: DataFrame, stage: str) -> DataFrame:
     """Opt-in guard (it runs a job): raise ``NoDataError`` when ``df`` has no rows."""
     if df.isEmpty():
@@ -122,31 +145,32 @@ def require_nonempty(df: DataFrame, stage: str) -> DataFrame:
     return df
 
 
-def posts_from_fixture(spark, sf_dir: str) -> DataFrame:
-    """Canonical posts over the ``raw_posts`` fixture (roles as a user would map them)."""
-    from murmuration.sources.fixtures import FIXTURE_ROLES, raw_posts
+def posts_from_fixture(spark, sf_dir: str, events: bool = False) -> DataFrame:
+    """Canonical posts over a fixture (roles as a user would map them): one post per document,
+    or with ``events`` one per event."""
+    from murmuration.sources.fixtures import FIXTURE_ROLES, event_posts, raw_posts
 
-    return preprocess_posts(raw_posts(spark, sf_dir), **FIXTURE_ROLES)
+    raw = event_posts(spark, sf_dir) if events else raw_posts(spark, sf_dir)
+    return preprocess_posts(raw, **FIXTURE_ROLES)
 
 
 _MATERIALIZED: dict[tuple, str] = {}
 
 
-def _input_stamp(sf_dir: str) -> tuple:
-    import os
-
+def _input_stamp(spark, sf_dir: str) -> tuple:
+    """Names, sizes and times of all files of the inputs, asked of the store they are in."""
+    jvm, sc = spark._jvm, spark.sparkContext
     out = []
     for name in ("documents", "events", "pages"):
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        try:
-            st = os.stat(p)
-            out.append((name, st.st_size, int(st.st_mtime)))
-        except OSError:
-            out.append((name, None, None))
-    return tuple(out)
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
-def materialized_posts(spark, sf_dir: str) -> DataFrame:
+def materialized_posts(spark, sf_dir: str, events: bool = False) -> DataFrame:
     """Canonical fixture posts, preprocessed once per session and written as parquet.
 
     Several analyses read the same canonical posts (as the reference's tabs share one
@@ -158,10 +182,10 @@ def materialized_posts(spark, sf_dir: str) -> DataFrame:
 
     from murmuration.session import scratch_path
 
-    key = (spark.sparkContext.applicationId, sf_dir, _input_stamp(sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, events, _input_stamp(spark, sf_dir))
     path = _MATERIALIZED.get(key)
     if path is None:
         path = scratch_path(spark, f"canonical-posts-{uuid.uuid4().hex}")
-        posts_from_fixture(spark, sf_dir).write.mode("overwrite").parquet(path)
+        posts_from_fixture(spark, sf_dir, events).write.mode("overwrite").parquet(path)
         _MATERIALIZED[key] = path
     return spark.read.parquet(path)

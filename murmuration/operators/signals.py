@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmuration.functions.stopwords import default_stop_words
-from murmuration.functions.text import WORD, hashtags, is_nonblank, snippet, tokens
+from murmuration.functions.text import handle, hashtags, is_nonblank, tokens
 from murmuration.operators.overview import daily_volume
-from murmuration.operators.ranking import previous_in_group
+from murmuration.operators.ranking import count_before, previous_in_group
 from murmuration.operators.simjoin import jaccard_pairs
 
 TIME_ORDER = "time_order"
@@ -51,6 +51,25 @@ def posting_spikes(posts: DataFrame, lookback: int = 7, z: float = 2.0,
                     F.coalesce(spike, F.lit(False)).alias("is_spike"))
 
 
+def platform_spikes(posts: DataFrame, lookback: int = 7, z: float = 2.0,
+                    min_history: int = 3) -> DataFrame:
+    """``posting_spikes`` per platform, over each platform's own range of days."""
+    p = posts.where(F.col("Platform").isNotNull())
+    day = F.to_date("Timestamp")
+    counts = p.groupBy("Platform", day.alias("day")).agg(F.count(F.lit(1)).alias("posts"))
+    calendar = (counts.groupBy("Platform").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+                .select("Platform", F.explode(F.sequence("lo", "hi")).alias("day")))
+    vol = (calendar.join(counts, ["Platform", "day"], "left")
+           .select("Platform", "day", F.coalesce("posts", F.lit(0)).cast("long").alias("posts")))
+    # one row per platform and day
+    w = Window.partitionBy("Platform").orderBy("day").rowsBetween(-lookback, -1)
+    mean, std = F.avg("posts").over(w), F.stddev_pop("posts").over(w)
+    spike = (F.count("posts").over(w) >= min_history) & (F.col("posts") > mean + F.lit(z) * std)
+    return vol.select("Platform", "day", "posts", F.round(mean, 6).alias("baseline_mean"),
+                      F.round(std, 6).alias("baseline_std"),
+                      F.coalesce(spike, F.lit(False)).alias("is_spike"))
+
+
 def repeated_url_sharing(posts: DataFrame, min_posts: int = 2) -> DataFrame:
     """(account, URL) pairs shared at least ``min_posts`` times, with first/last time."""
     return (posts.where(F.col("URL").isNotNull()).groupBy("Influencer", "URL")
@@ -60,45 +79,54 @@ def repeated_url_sharing(posts: DataFrame, min_posts: int = 2) -> DataFrame:
 
 
 def repeated_text_sharing(posts: DataFrame, min_posts: int = 2) -> DataFrame:
-    """(account, text) pairs posted at least ``min_posts`` times; text shown as a snippet."""
+    """(account, text) pairs posted at least ``min_posts`` times, with the whole text."""
     return (posts.where(is_nonblank(F.col("original_text")))
-            .groupBy("Influencer", "original_text")
+            .groupBy("Influencer", F.col("original_text").alias("text"))
             .agg(F.count(F.lit(1)).alias("posts"), F.min("Timestamp").alias("first_time"),
                  F.max("Timestamp").alias("last_time"))
-            .where(F.col("posts") >= min_posts)
-            .select("Influencer", snippet(F.col("original_text")).alias("text_snippet"),
-                    "posts", "first_time", "last_time"))
+            .where(F.col("posts") >= min_posts))
 
 
 def rapid_co_sharing(posts: DataFrame, window_hours: float = 6.0) -> DataFrame:
-    """Account pairs that posted the same URL in quick succession.
+    """Bursts: several accounts posting one URL in quick succession.
 
-    Posts of each URL are ordered by time; every post whose *previous* post of that URL came from
-    another account at most ``window_hours`` earlier gives one co-share to that account pair.
-    One row per post at most, so a URL shared by millions does not become millions squared.
+    The posts of a URL, in time order, belong to one burst while each follows the one before it
+    by at most ``window_hours``. One row per burst of two or more accounts, so a burst of k
+    accounts is one row and not k^2/2 pairs. Bursts of a URL are numbered from 1.
     """
-    x = _time_order(posts.where(F.col("URL").isNotNull()))
-    x = previous_in_group(x, "URL", TIME_ORDER, ["Influencer"])
+    x = _time_order(posts.where(F.col("URL").isNotNull())
+                    .select("URL", "Influencer", "Timestamp", "post_id"))
+    x = previous_in_group(x, "URL", TIME_ORDER, [])
     gap = F.col("Timestamp").cast("double") - F.col("prev.o.ts").cast("double")
-    hits = x.where(F.col("prev").isNotNull() & (F.col("prev.Influencer") != F.col("Influencer"))
-                   & (gap <= F.lit(window_hours * 3600.0)))
-    a, b = F.col("prev.Influencer"), F.col("Influencer")
-    return (hits.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), "URL")
-            .groupBy("src", "dst").agg(F.count(F.lit(1)).alias("co_shares"),
-                                       F.countDistinct("URL").alias("urls")))
-
-
-def hashtag_overlap(posts: DataFrame, threshold: float = 0.5) -> DataFrame:
+    x = x.select("URL", "Influencer", "Timestamp", TIME_ORDER,
+                 (F.col("prev").isNull() | (gap > F.lit(window_hours * 3600.0))).alias("starts"))
+    x = count_before(x, ["URL"], TIME_ORDER, "starts", "earlier")
+    return (x.groupBy("URL", (F.col("earlier") + F.col("starts").cast("long")).alias("burst"))
+            .agg(F.count(F.lit(1)).alias("posts"),
+                 F.countDistinct("Influencer").alias("accounts"),
+                 F.min("Timestamp").alias("first_time"), F.max("Timestamp").alias("last_time"))
+            .where(F.col("accounts") >= 2))
+
+
+def hashtag_overlap(posts: DataFrame, threshold: float = 0.5,
+                    hashtags_col: str | None = None) -> DataFrame:
     """Groups of accounts with overlapping hashtag sets (Jaccard >= ``threshold``).
 
     Accounts with an identical set of used hashtags are one *set group* (a hashtag used by a
     third of all accounts makes many identical one-tag sets); the exact Jaccard join runs over
     distinct sets only and the result is reported per set pair, with account counts and the
     number of account pairs it stands for -- never one row per account pair. A set shared by
-    several accounts appears as its own pair (Jaccard 1).
+    several accounts appears as its own pair (Jaccard 1). Tags come from the text, or from
+    ``hashtags_col`` (a comma- or space-separated list, with or without ``#``).
     """
+    if hashtags_col:
+        listed = F.split(F.lower(F.coalesce(F.col(hashtags_col), F.lit(""))), r"[,\s]+")
+        tags = F.transform(F.filter(listed, lambda t: F.length(F.ltrim(t, F.lit("#"))) > 0),
+                           lambda t: F.concat(F.lit("#"), F.ltrim(t, F.lit("#"))))
+    else:
+        tags = hashtags(F.col("text"))
     used = posts.select(F.col("Influencer").alias("account"),
-                        F.explode(hashtags(F.col("text"))).alias("tag")).distinct()
+                        F.explode(tags).alias("tag")).distinct()
     acct = used.groupBy("account").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
     groups = acct.groupBy(F.array_join("tags", " ").alias("set")) \
         .agg(F.count(F.lit(1)).alias("accounts"), F.min("account").alias("example"),
@@ -135,49 +163,54 @@ def content_overlap(posts: DataFrame, threshold: float = 0.5, stop_words=None) -
                     F.round("jaccard", 6).alias("jaccard"))
 
 
-RETWEET_RE = rf"(?i)^rt @({WORD}+):"
-MENTION_RE = rf"@({WORD}+)"
-
-
-def mention_edges(posts: DataFrame, mentions_col: str | None = None) -> DataFrame:
+def mention_edges(posts: DataFrame) -> DataFrame:
     """Directed author -> mentioned-account edges; weight = posts mentioning (once per post).
 
-    Uses a ``mentions`` column when given (comma/space separated handles), else ``@handle``s
-    found in the post text."""
-    if mentions_col:
-        handles = F.split(F.regexp_replace(F.col(mentions_col), "@", ""), r"[,\s]+")
-    else:
-        handles = F.regexp_extract_all(F.col("text"), F.lit(MENTION_RE), 1)
-    x = posts.select("post_id", F.col("Influencer").alias("src"),
-                     F.explode(F.array_distinct(handles)).alias("dst")).where(F.col("dst") != "")
+    Handles come from preprocessing (the raw text or a ``mentions`` column); both ends are in
+    the compared form (lower case, no ``@``), so they join with each other."""
+    x = posts.select(handle(F.col("Influencer")).alias("src"), F.explode("mentions").alias("dst"))
     return x.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("posts"))
 
 
-def retweet_edges(posts: DataFrame, retweet_col: str | None = None) -> DataFrame:
-    """Directed author -> retweeted-account edges from a leading ``RT @user:``."""
-    if retweet_col:
-        dst = F.regexp_replace(F.col(retweet_col), "^@", "")
-    else:
-        dst = F.regexp_extract(F.col("text"), RETWEET_RE, 1)
-    x = posts.select(F.col("Influencer").alias("src"), dst.alias("dst")) \
-        .where(F.col("dst").isNotNull() & (F.col("dst") != ""))
+def retweet_edges(posts: DataFrame) -> DataFrame:
+    """Directed author -> retweeted-account edges, from the raw text's leading ``RT @user`` in
+    any case or a ``retweet_from`` column."""
+    x = (posts.select(handle(F.col("Influencer")).alias("src"), F.col("retweet_from").alias("dst"))
+         .where(F.col("dst") != ""))
     return x.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("posts"))
 
 
 def account_cadence(posts: DataFrame) -> DataFrame:
-    """Per account: posts, active days, posts per active day, shortest and mean gap between
-    consecutive posts (seconds), and the share of posts repeating one of its earlier texts."""
-    x = _time_order(posts)
-    x = previous_in_group(x, "Influencer", TIME_ORDER, [])
+    """Per account: posts, active days, posts per active day, shortest, mean and median gap
+    between consecutive posts (seconds), and the share of posts repeating an earlier text.
+
+    Only hashes of texts are shuffled. The median is exact: the middle gaps are found by their
+    rank, which is counted over range partitions, so a hot account spans many tasks."""
+    lean = posts.select("Influencer", "Timestamp", "post_id",
+                        F.sha2(F.coalesce("original_text", F.lit("")), 256).alias("text_hash"))
+    x = previous_in_group(_time_order(lean.drop("text_hash")), "Influencer", TIME_ORDER, [])
     gap = F.col("Timestamp").cast("double") - F.col("prev.o.ts").cast("double")
-    agg = (x.groupBy("Influencer")
-           .agg(F.count(F.lit(1)).alias("posts"),
-                F.countDistinct(F.to_date("Timestamp")).alias("active_days"),
-                F.min(gap).alias("min_gap_s"), F.avg(gap).alias("mean_gap_s"),
-                F.countDistinct("original_text").alias("distinct_texts")))
-    return agg.select("Influencer", "posts", "active_days",
+    x = x.select("Influencer", gap.alias("gap"), "post_id")
+    base = x.groupBy("Influencer").agg(
+        F.count(F.lit(1)).alias("posts"), F.count("gap").alias("gaps"),
+        F.min("gap").alias("min_gap_s"), F.avg("gap").alias("mean_gap_s"))
+    days = (lean.select("Influencer", F.to_date("Timestamp").alias("day")).distinct()
+            .groupBy("Influencer").agg(F.count(F.lit(1)).alias("active_days")))
+    texts = (lean.select("Influencer", "text_hash").distinct()
+             .groupBy("Influencer").agg(F.count(F.lit(1)).alias("distinct_texts")))
+    ranked = count_before(x.where(F.col("gap").isNotNull())
+                          .withColumn("gap_order", F.struct("gap", "post_id")),
+                          ["Influencer"], "gap_order", None, "rank")
+    middle = (ranked.join(base.select("Influencer", "gaps"), "Influencer")
+              .where(F.col("rank").between(F.floor((F.col("gaps") - 1) / 2),
+                                           F.floor(F.col("gaps") / 2)))
+              .groupBy("Influencer").agg(F.avg("gap").alias("median_gap_s")))
+    out = (base.join(days, "Influencer").join(texts, "Influencer")
+           .join(middle, "Influencer", "left"))
+    return out.select("Influencer", "posts", "active_days",
                       F.round(F.col("posts") / F.col("active_days"), 6).alias("posts_per_day"),
                       F.round("min_gap_s", 3).alias("min_gap_s"),
                       F.round("mean_gap_s", 3).alias("mean_gap_s"),
+                      F.round("median_gap_s", 3).alias("median_gap_s"),
                       F.round(1 - F.col("distinct_texts") / F.col("posts"), 6)
                       .alias("dup_text_share"))

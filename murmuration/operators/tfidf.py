@@ -43,10 +43,8 @@ def term_counts(groups: DataFrame, stop_words=None) -> DataFrame:
 
 
 def vocabulary(tf: DataFrame, max_features: int | None) -> DataFrame:
-    """``(term, df, total)``; limited to the top ``max_features`` by total frequency.
-
-    The result has at most ``max_features`` rows (a parameter), which bounds what is broadcast.
-    """
+    """``(term, df, total)``; all terms, or the top ``max_features`` by total frequency (the
+    vectoriser's feature)."""
     stats = tf.groupBy("term").agg(F.sum(F.col("tf") * F.col("c")).alias("total"),
                                    F.sum("c").alias("df"))
     if max_features:
@@ -59,16 +57,15 @@ def n_documents(groups: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_docs"))
 
 
-def tfidf_postings(groups: DataFrame, max_features: int | None = 10000,
+def tfidf_postings(groups: DataFrame, max_features: int | None = None,
                    stop_words=None) -> DataFrame:
     """Unit-length postings ``(tid, term, df, w)``.
 
-    The vocabulary (bounded by ``max_features`` rows) is broadcast; without a cap it is joined
-    by shuffle. The document count enters as a scalar subquery.
+    The vocabulary is an ordinary join side (Spark broadcasts it only when its size is below the
+    session's threshold). The document count enters as a scalar subquery.
     """
     tf = term_counts(groups, stop_words)
     vocab = vocabulary(tf, max_features).select("term", "df")
-    vocab = F.broadcast(vocab) if max_features and max_features <= 1_000_000 else vocab
     n = n_documents(groups).scalar()  # scalar subquery: the number of posts
     raw = (tf.join(vocab, "term")
            .select("tid", "term", "df",

@@ -44,12 +44,12 @@ def overview_report(posts: DataFrame, f: Filters | None = None, k: int = 10) ->
 
 
 def coordination_report(posts: DataFrame, f: Filters | None = None, threshold: float = 0.85,
-                 max_posts: int | None = None, platforms: list | None = None) -> dict:
+                 platforms: list | None = None) -> dict:
     """Similar pairs and narratives (eager: the similarity join runs here)."""
     p = filtered(posts, f)
     if platforms is not None:
         p = filters.filter_platforms(p, platforms)
-    sim = narratives.find_similarities(p, threshold, max_posts=max_posts)
+    sim = narratives.find_similarities(p, threshold)
     summary = narratives.narrative_summary(sim)
     return {
         "similarity": sim,

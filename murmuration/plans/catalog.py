@@ -1,7 +1,7 @@
 """Registered queries: one per operator of the inventory, each ``(spark, sf_dir) -> DataFrame``.
 
-Every query reads the whole driver tables (through the ``raw_posts`` fixture or directly) and
-returns named, aliased columns that match the oracle SQL in ``plans.oracle``.
+Queries over posts read a fixture built from the driver tables: one post per document, or for the
+signals (shared links, repeats, bursts, edges, cadence) one post per event. They return named, aliased columns that match the oracle SQL in ``plans.oracle``.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmuration.functions.platform import infer_platform
+from murmuration.functions.timestamps import parse_timestamp
 from murmuration.operators import (cluster, embeddings, filters, narratives, network,
                                    overview, signals, tfidf)
 from murmuration.operators.preprocess import (materialized_posts, posts_from_fixture,
@@ -39,6 +41,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized_posts(spark, sf_dir)
 
 
+def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical posts, one per event: all of ``events``, ``documents`` and ``pages``."""
+    return materialized_posts(spark, sf_dir, events=True)
+
+
 # ---- A/B: sources and preprocessing ---------------------------------------------------------
 
 @register("load_posts")
@@ -64,7 +71,33 @@ def q_preprocess_posts(spark, sf_dir):
 
 @register("infer_platform")
 def q_infer_platform(spark, sf_dir):
-    return overview.platform_counts(posts(spark, sf_dir))
+    """B9 on every page URL and on the fixture's links, one row each."""
+    links = raw_posts(spark, sf_dir).select(F.col("post_id").alias("id"),
+                                            F.lit("post").alias("kind"), F.col("link").alias("url"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"),
+                                                 F.lit("page").alias("kind"), "url")
+    return links.unionByName(pages).withColumn("platform", infer_platform(F.col("url")))
+
+
+# The ways a time is written that ``parse_timestamp`` must read, by event_id modulo their number.
+TIME_FORMATS = [
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+00:00'",
+    "EEE MMM dd HH:mm:ss '+0000' yyyy", "EEE, dd MMM yyyy HH:mm:ss 'GMT'",
+    "EEE, dd MMM yyyy HH:mm:ss '+0000'", "EEEE, d MMM yyyy HH:mm:ss", "MMMM d, yyyy H:mm:ss",
+    "MMM d, yyyy h:mm:ss a", "d MMMM yyyy H:mm:ss", "d MMM yyyy h:mm:ssa", "yyyy/MM/dd HH:mm:ss",
+    "yyyyMMdd'T'HHmmss", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm:ss a", "d-MMM-yyyy H:mm:ss",
+    "'  'yyyy-MM-dd HH:mm:ss.SSSSSS",
+]
+
+
+@register("parse_timestamps")
+def q_parse_timestamps(spark, sf_dir):
+    """B6: every event's time written in one of many ways and read back."""
+    n = len(TIME_FORMATS)
+    e = table(spark, sf_dir, "events").select("event_id", F.date_trunc("second", "ts").alias("t"))
+    k = F.pmod("event_id", F.lit(n))
+    text = F.coalesce(*[F.when(k == i, F.date_format("t", f)) for i, f in enumerate(TIME_FORMATS)])
+    return e.select("event_id", parse_timestamp(text).alias("ts"))
 
 
 # ---- C: filters -----------------------------------------------------------------------------
@@ -138,7 +171,7 @@ def q_daily_volume(spark, sf_dir):
 # ---- E: TF-IDF, similar pairs, narratives ---------------------------------------------------
 
 SIM_THRESHOLD = 0.85
-SIM_VOCAB = 10000
+SIM_VOCAB = None     # every term
 
 
 _MEMO: dict[tuple, object] = {}
@@ -149,7 +182,7 @@ def _memo(spark, key: tuple, build):
     similarity and clustering results the same way); keyed by application id and inputs."""
     from murmuration.operators.preprocess import _input_stamp
 
-    k = (spark.sparkContext.applicationId, *key, _input_stamp(key[1]))
+    k = (spark.sparkContext.applicationId, *key, _input_stamp(spark, key[1]))
     if k not in _MEMO:
         _MEMO[k] = build()
     return _MEMO[k]
@@ -233,9 +266,9 @@ def clustering(spark, sf_dir):
 
 @register("neighbor_graph")
 def q_neighbor_graph(spark, sf_dir):
-    """Neighbours within eps (similarity >= 0.7, vocabulary 5000) per clustering-input post."""
+    """Neighbours within eps (similarity >= 0.7) per clustering-input post."""
     inp = cluster.clustering_input(posts(spark, sf_dir))
-    sim = narratives.find_similarities(inp, 0.7, 5000, prefiltered=True)
+    sim = narratives.find_similarities(inp, 0.7, prefiltered=True)
     return narratives.pair_degree(sim).select("post_id", F.col("deg").alias("neighbors"))
 
 
@@ -296,13 +329,21 @@ def q_co_cluster_edges_by_post(spark, sf_dir):
 
 @register("graph_nodes")
 def q_graph_nodes(spark, sf_dir):
-    return net(spark, sf_dir).nodes
+    """Every account of every cluster, without the drawing's limits."""
+    return network.graph_nodes(clustering(spark, sf_dir).posts)
+
+
+@register("account_clusters")
+def q_account_clusters(spark, sf_dir):
+    """G1/G2 for every account of every cluster, as incidence."""
+    return network.account_clusters(clustering(spark, sf_dir).posts)
 
 
 @register("graph_coverage")
 def q_graph_coverage(spark, sf_dir):
+    """How much of the graph a drawing of the top clusters' most active accounts shows."""
     n = net(spark, sf_dir)
-    return network.graph_coverage(n.before_limit, n.nodes)
+    return network.graph_coverage(clustering(spark, sf_dir).posts, n.nodes)
 
 
 # ---- H: embeddings --------------------------------------------------------------------------
@@ -347,27 +388,32 @@ CONTENT_JACCARD = 0.5
 
 @register("top_shared_urls")
 def q_top_shared_urls(spark, sf_dir):
-    return signals.top_shared_urls(posts(spark, sf_dir))
+    return signals.top_shared_urls(event_posts(spark, sf_dir))
 
 
 @register("posting_spikes")
 def q_posting_spikes(spark, sf_dir):
-    return signals.posting_spikes(posts(spark, sf_dir))
+    return signals.posting_spikes(event_posts(spark, sf_dir))
+
+
+@register("platform_spikes")
+def q_platform_spikes(spark, sf_dir):
+    return signals.platform_spikes(event_posts(spark, sf_dir))
 
 
 @register("repeated_url_sharing")
 def q_repeated_url_sharing(spark, sf_dir):
-    return signals.repeated_url_sharing(posts(spark, sf_dir))
+    return signals.repeated_url_sharing(event_posts(spark, sf_dir))
 
 
 @register("repeated_text_sharing")
 def q_repeated_text_sharing(spark, sf_dir):
-    return signals.repeated_text_sharing(posts(spark, sf_dir))
+    return signals.repeated_text_sharing(event_posts(spark, sf_dir))
 
 
 @register("rapid_co_sharing")
 def q_rapid_co_sharing(spark, sf_dir):
-    return signals.rapid_co_sharing(posts(spark, sf_dir), RAPID_WINDOW_HOURS)
+    return signals.rapid_co_sharing(event_posts(spark, sf_dir), RAPID_WINDOW_HOURS)
 
 
 @register("hashtag_overlap")
@@ -382,17 +428,17 @@ def q_content_overlap(spark, sf_dir):
 
 @register("mention_edges")
 def q_mention_edges(spark, sf_dir):
-    return signals.mention_edges(posts(spark, sf_dir))
+    return signals.mention_edges(event_posts(spark, sf_dir))
 
 
 @register("retweet_edges")
 def q_retweet_edges(spark, sf_dir):
-    return signals.retweet_edges(posts(spark, sf_dir))
+    return signals.retweet_edges(event_posts(spark, sf_dir))
 
 
 @register("account_cadence")
 def q_account_cadence(spark, sf_dir):
-    return signals.account_cadence(posts(spark, sf_dir))
+    return signals.account_cadence(event_posts(spark, sf_dir))
 
 
 FLAGSHIP = "narrative_summary"

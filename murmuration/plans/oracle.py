@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from murmuration.plans import catalog as C
-from murmuration.plans.sqlparts import RAW_POSTS_SQL, hashtags, q, with_posts
+from murmuration.plans.sqlparts import RAW_POSTS_SQL, hashtags, platform, q, with_posts
 
 ORACLE: dict[str, str] = {}
 
@@ -21,8 +21,10 @@ SELECT DISTINCT * FROM (
   UNION ALL SELECT post_id, author, created_at, content, NULL AS link FROM raw)""")
 oracle("preprocess_posts", with_posts(
     'SELECT post_id, text, original_text, Influencer, "Timestamp", URL, Platform FROM posts'))
-oracle("infer_platform", with_posts(
-    "SELECT Platform, count(*) AS posts FROM posts WHERE Platform IS NOT NULL GROUP BY Platform"))
+oracle("infer_platform", f"""SELECT id, kind, url, {platform('url')} AS platform FROM (
+  SELECT post_id AS id, 'post' AS kind, link AS url FROM ({RAW_POSTS_SQL})
+  UNION ALL SELECT page_id, 'page', url FROM pages)""")
+oracle("parse_timestamps", "SELECT event_id, date_trunc('second', ts) AS ts FROM events")
 
 # ---- C --------------------------------------------------------------------------------------
 oracle("filter_date_range", with_posts(
@@ -124,7 +126,7 @@ oracle("high_risk_influencers", with_posts(
 
 # ---- F: clustering --------------------------------------------------------------------------
 CLU_IN = f"clu_in AS (SELECT * FROM posts WHERE text IS NOT NULL AND {nonblank('text')})"
-CLU = CLU_IN + "," + tfidf_ctes("clu", "clu_in", 5000, 0.7) + """,
+CLU = CLU_IN + "," + tfidf_ctes("clu", "clu_in", None, 0.7) + """,
 clu_edges AS (SELECT id1 AS a, id2 AS b FROM clu_pairs UNION ALL SELECT id2, id1 FROM clu_pairs),
 reach(node, comp) AS (SELECT a, a FROM clu_edges
                       UNION SELECT e.b, r.comp FROM reach r JOIN clu_edges e ON e.a = r.node),
@@ -155,15 +157,16 @@ oracle("cluster_members", with_posts(
     recursive=True))
 
 # ---- G: account network ---------------------------------------------------------------------
-NET = CLU + f""",
+
+
+def _net(subset: str) -> str:
+    return CLU + f""",
 top AS (SELECT cluster, count(*) AS posts FROM clustered WHERE cluster <> -1 GROUP BY cluster
         ORDER BY posts DESC, cluster LIMIT {C.N_CLUSTERS}),
 before AS (SELECT * FROM clustered WHERE Influencer IN
              (SELECT DISTINCT Influencer FROM clustered WHERE cluster IN (SELECT cluster FROM top))
            OR NOT EXISTS (SELECT 1 FROM top)),
-subset AS (SELECT * FROM before WHERE Influencer IN
-             (SELECT Influencer FROM before GROUP BY Influencer
-              ORDER BY count(*) DESC, Influencer LIMIT {C.MAX_ACCOUNTS})),
+subset AS ({subset}),
 ca AS (SELECT cluster, Influencer, count(*) AS n FROM subset
        WHERE cluster <> -1 AND Influencer IS NOT NULL AND cluster IN
          (SELECT cluster FROM subset WHERE cluster <> -1 GROUP BY cluster HAVING count(*) >= 2)
@@ -181,6 +184,11 @@ nodes AS (SELECT nb.Influencer AS influencer, coalesce(np.Platform, 'Unknown') A
             dense_rank() OVER (ORDER BY nb.cluster) - 1 AS color_index
           FROM nb LEFT JOIN np ON np.Influencer = nb.Influencer)"""
 
+NET = _net(f"""SELECT * FROM before WHERE Influencer IN
+             (SELECT Influencer FROM before GROUP BY Influencer
+              ORDER BY count(*) DESC, Influencer LIMIT {C.MAX_ACCOUNTS})""")
+ALL_NET = _net("SELECT * FROM clustered")
+
 oracle("top_clusters", with_posts("SELECT * FROM top", NET, recursive=True))
 oracle("posts_of_top_clusters", with_posts("SELECT post_id, Influencer, cluster FROM before", NET,
                                            recursive=True))
@@ -194,10 +202,13 @@ oracle("co_cluster_edges_by_post", with_posts(
     "sum(CASE WHEN a.Influencer = b.Influencer THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END) "
     "AS weight FROM ca a JOIN ca b ON a.cluster = b.cluster AND a.Influencer <= b.Influencer "
     "GROUP BY 1, 2) WHERE weight > 0", NET, recursive=True))
-oracle("graph_nodes", with_posts("SELECT * FROM nodes", NET, recursive=True))
+oracle("graph_nodes", with_posts("SELECT * FROM nodes", ALL_NET, recursive=True))
+oracle("account_clusters", with_posts(
+    "SELECT cluster, Influencer AS influencer, n AS posts, "
+    "count(*) OVER (PARTITION BY cluster) - 1 AS co_accounts FROM ca", ALL_NET, recursive=True))
 oracle("graph_coverage", with_posts(
     "SELECT (SELECT count(*) FROM nodes) AS nodes_shown, "
-    "(SELECT count(DISTINCT Influencer) FROM before) AS total_influencers", NET, recursive=True))
+    "(SELECT count(DISTINCT Influencer) FROM clustered) AS total_influencers", NET, recursive=True))
 
 # ---- H: embeddings --------------------------------------------------------------------------
 from murmuration.plans.sqlparts import tokens as tok_sql  # noqa: E402
@@ -225,12 +236,17 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 
 # ---- I: README signals ----------------------------------------------------------------------
 from murmuration.plans.sqlparts import stop_words_list  # noqa: E402
-from murmuration.operators.signals import MENTION_RE, RETWEET_RE  # noqa: E402
+from murmuration.sources.fixtures import EVENT_POSTS_SQL  # noqa: E402
+
+
+def with_event_posts(body: str) -> str:
+    return with_posts(body, raw=EVENT_POSTS_SQL)
 
-oracle("top_shared_urls", with_posts(
+
+oracle("top_shared_urls", with_event_posts(
     "SELECT URL, count(*) AS posts, count(DISTINCT Influencer) AS accounts FROM posts "
     "WHERE URL IS NOT NULL GROUP BY URL ORDER BY posts DESC, URL LIMIT 10"))
-oracle("posting_spikes", with_posts("""
+oracle("posting_spikes", with_event_posts("""
 SELECT day, posts, round(m, 6) AS baseline_mean, round(s, 6) AS baseline_std,
        coalesce(h >= 3 AND posts > m + 2 * s, false) AS is_spike
 FROM (SELECT day, posts,
@@ -242,24 +258,38 @@ FROM (SELECT day, posts,
                 date_trunc('day', max("Timestamp")), INTERVAL 1 DAY)) AS day FROM posts) d
         LEFT JOIN (SELECT date_trunc('day', "Timestamp") AS day, count(*) AS posts FROM posts
                    GROUP BY 1) c ON c.day = d.day))"""))
-oracle("repeated_url_sharing", with_posts(
+oracle("repeated_url_sharing", with_event_posts(
     'SELECT Influencer, URL, count(*) AS posts, min("Timestamp") AS first_time, '
     'max("Timestamp") AS last_time FROM posts WHERE URL IS NOT NULL GROUP BY Influencer, URL '
     "HAVING count(*) >= 2"))
-oracle("repeated_text_sharing", with_posts(
-    f"SELECT Influencer, {snippet('original_text')} AS text_snippet, count(*) AS posts, "
+oracle("platform_spikes", with_event_posts("""
+SELECT Platform, day, posts, round(m, 6) AS baseline_mean, round(s, 6) AS baseline_std,
+       coalesce(h >= 3 AND posts > m + 2 * s, false) AS is_spike
+FROM (SELECT Platform, day, posts, avg(posts) OVER w AS m, stddev_pop(posts) OVER w AS s,
+             count(posts) OVER w AS h
+      FROM (SELECT d.Platform, CAST(d.day AS DATE) AS day, coalesce(c.posts, 0) AS posts FROM
+        (SELECT Platform, unnest(generate_series(date_trunc('day', min("Timestamp")),
+                date_trunc('day', max("Timestamp")), INTERVAL 1 DAY)) AS day FROM posts
+         WHERE Platform IS NOT NULL GROUP BY Platform) d
+        LEFT JOIN (SELECT Platform, date_trunc('day', "Timestamp") AS day, count(*) AS posts
+                   FROM posts GROUP BY 1, 2) c ON c.day = d.day AND c.Platform = d.Platform)
+      WINDOW w AS (PARTITION BY Platform ORDER BY day
+                   ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))"""))
+oracle("repeated_text_sharing", with_event_posts(
+    "SELECT Influencer, original_text AS text, count(*) AS posts, "
     'min("Timestamp") AS first_time, max("Timestamp") AS last_time FROM posts '
-    f"WHERE {nonblank('original_text')} GROUP BY Influencer, original_text HAVING count(*) >= 2"))
-oracle("rapid_co_sharing", with_posts(f"""
-SELECT least(pi, Influencer) AS src, greatest(pi, Influencer) AS dst, count(*) AS co_shares,
-       count(DISTINCT URL) AS urls
-FROM (SELECT URL, Influencer, "Timestamp",
-        lag(Influencer) OVER (PARTITION BY URL ORDER BY "Timestamp", post_id) AS pi,
-        lag("Timestamp") OVER (PARTITION BY URL ORDER BY "Timestamp", post_id) AS pt
-      FROM posts WHERE URL IS NOT NULL)
-WHERE pi IS NOT NULL AND pi <> Influencer
-  AND date_diff('microsecond', pt, "Timestamp") <= {int(C.RAPID_WINDOW_HOURS * 3600 * 1_000_000)}
-GROUP BY 1, 2"""))
+    "WHERE trim(original_text) <> '' GROUP BY Influencer, original_text HAVING count(*) >= 2"))
+oracle("rapid_co_sharing", with_event_posts(f"""
+SELECT URL, CAST(burst AS BIGINT) AS burst, count(*) AS posts,
+       count(DISTINCT Influencer) AS accounts, min("Timestamp") AS first_time,
+       max("Timestamp") AS last_time
+FROM (SELECT *, sum(starts) OVER (PARTITION BY URL ORDER BY "Timestamp", post_id
+                                  ROWS UNBOUNDED PRECEDING) AS burst
+      FROM (SELECT URL, Influencer, "Timestamp", post_id, CASE WHEN "Timestamp" - lag("Timestamp")
+              OVER (PARTITION BY URL ORDER BY "Timestamp", post_id)
+              <= INTERVAL {int(C.RAPID_WINDOW_HOURS * 3600)} SECOND THEN 0 ELSE 1 END AS starts
+            FROM posts WHERE URL IS NOT NULL))
+GROUP BY URL, burst HAVING count(DISTINCT Influencer) >= 2"""))
 
 
 def _jaccard_sql(sets: str, t: float) -> str:
@@ -296,18 +326,21 @@ gi AS (SELECT s, unnest(tags) AS t FROM g)"""))
 oracle("content_overlap", _jaccard_sql(
     f"SELECT DISTINCT k, it FROM (SELECT Influencer AS k, unnest({tok_sql('original_text')}) AS it "
     f"FROM posts) WHERE NOT list_contains({stop_words_list()}, it)", C.CONTENT_JACCARD))
-oracle("mention_edges", with_posts(
-    f"SELECT src, dst, count(*) AS posts FROM (SELECT post_id, Influencer AS src, "
-    f"unnest(list_distinct(regexp_extract_all(text, {q(MENTION_RE)}, 1))) AS dst FROM posts) "
+# Handles and retweet markers of the raw text, written without the operators' patterns.
+HANDLE = "[[:word:]\\p{L}\\p{N}]+"
+oracle("mention_edges", with_event_posts(
+    "SELECT src, dst, count(*) AS posts FROM (SELECT post_id, lower(Influencer) AS src, "
+    f"unnest(list_distinct(list_transform(regexp_extract_all(text_raw, '@({HANDLE})', 1), "
+    "lambda h: lower(h)))) AS dst FROM posts) GROUP BY src, dst"))
+oracle("retweet_edges", with_event_posts(
+    "SELECT src, dst, count(*) AS posts FROM (SELECT lower(Influencer) AS src, "
+    f"lower(regexp_extract(text_raw, '^[Rr][Tt] @({HANDLE})', 1)) AS dst FROM posts) "
     "WHERE dst <> '' GROUP BY src, dst"))
-oracle("retweet_edges", with_posts(
-    f"SELECT src, dst, count(*) AS posts FROM (SELECT Influencer AS src, "
-    f"regexp_extract(text, {q(RETWEET_RE)}, 1) AS dst FROM posts) "
-    "WHERE dst IS NOT NULL AND dst <> '' GROUP BY src, dst"))
-oracle("account_cadence", with_posts("""
+oracle("account_cadence", with_event_posts("""
 SELECT Influencer, count(*) AS posts, count(DISTINCT CAST("Timestamp" AS DATE)) AS active_days,
        round(count(*) / count(DISTINCT CAST("Timestamp" AS DATE)), 6) AS posts_per_day,
        round(min(gap), 3) AS min_gap_s, round(avg(gap), 3) AS mean_gap_s,
+       round(median(gap), 3) AS median_gap_s,
        round(1 - count(DISTINCT original_text) / count(*), 6) AS dup_text_share
 FROM (SELECT *, date_diff('microsecond',
         lag("Timestamp") OVER (PARTITION BY Influencer ORDER BY "Timestamp", post_id),

@@ -71,8 +71,9 @@ def stop_words_list() -> str:
 # Canonical posts over the fixture. Roles are the fixture's (content/author/created_at/link);
 # created_at is always 'yyyy-MM-dd HH:mm:ss', so a plain cast parses it; links exist, so the
 # platform is inferred from the URL.
-POSTS_CTE = f"""
-raw_posts AS ({RAW_POSTS_SQL}),
+def posts_cte(raw: str) -> str:
+    return f"""
+raw_posts AS ({raw}),
 staged AS (
   SELECT DISTINCT post_id,
     {nan_null('content')} AS text_raw,
@@ -82,25 +83,29 @@ staged AS (
   FROM raw_posts
 ),
 posts0 AS (
-  SELECT post_id, {clean_text('text_raw')} AS text, Influencer, "Timestamp", URL,
+  SELECT post_id, text_raw, {clean_text('text_raw')} AS text, Influencer, "Timestamp", URL,
          {platform('URL')} AS Platform
   FROM staged
   WHERE text_raw IS NOT NULL AND {nonblank('text_raw')} AND "Timestamp" IS NOT NULL
 ),
 posts AS (
-  SELECT post_id, text, {strip_retweet('text')} AS original_text, Influencer, "Timestamp", URL,
-         Platform
+  SELECT post_id, text_raw, text, {strip_retweet('text')} AS original_text, Influencer,
+         "Timestamp", URL, Platform
   FROM posts0
 )"""
 
 
-def with_posts(body: str, extra_ctes: str = "", recursive: bool = False) -> str:
-    """``WITH [RECURSIVE] <posts CTEs>[, extra] <body>``."""
-    ctes = POSTS_CTE + ((",\n" + extra_ctes) if extra_ctes else "")
+POSTS_CTE = posts_cte(RAW_POSTS_SQL)
+
+
+def with_posts(body: str, extra_ctes: str = "", recursive: bool = False,
+               raw: str = RAW_POSTS_SQL) -> str:
+    """``WITH [RECURSIVE] <posts CTEs>[, extra] <body>`` over the raw posts of ``raw``."""
+    ctes = posts_cte(raw) + ((",\n" + extra_ctes) if extra_ctes else "")
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"
 
 
-def tfidf_ctes(n: str, inp: str, vocab: int, threshold: float | None) -> str:
+def tfidf_ctes(n: str, inp: str, vocab: int | None, threshold: float | None) -> str:
     """CTEs ``{n}_tf, {n}_vocab, {n}_vec`` (and ``{n}_pairs`` at ``threshold``): brute-force
     TF-IDF and all-pairs cosine over post ids (post order = post_id on the fixture)."""
     stop = stop_words_list()
@@ -109,7 +114,7 @@ def tfidf_ctes(n: str, inp: str, vocab: int, threshold: float | None) -> str:
 {n}_tf AS (SELECT post_id, term, count(*) AS tf FROM {n}_toks
            WHERE NOT list_contains({stop}, term) GROUP BY post_id, term),
 {n}_vocab AS (SELECT term, count(*) AS df, sum(tf) AS total FROM {n}_tf GROUP BY term
-              ORDER BY total DESC, term LIMIT {vocab}),
+              {"" if vocab is None else f"ORDER BY total DESC, term LIMIT {vocab}"}),
 {n}_n AS (SELECT count(*) AS n FROM {inp}),
 {n}_raw AS (SELECT t.post_id, t.term, t.tf * (ln((1 + c.n) / (1 + v.df)) + 1) AS w
             FROM {n}_tf t JOIN {n}_vocab v ON v.term = t.term CROSS JOIN {n}_n c),

@@ -60,6 +60,45 @@ _LINK = """CASE doc_id % 10
     ELSE url END"""
 
 
+# One post per event, over all events, documents and pages: a document's text recurs, an account
+# repeats texts, and retweet markers come in upper, lower and mixed case. The same expressions run
+# in both engines.
+EVENT_POST_COLUMNS = {
+    "post_id": "event_id",
+    "author": "concat('user_', CAST(user_id AS STRING))",
+    "created_at": "CAST(date_trunc('second', ts) AS STRING)",
+    "content": """concat(
+    CASE event_id % 15 WHEN 0 THEN concat('RT @user_', CAST(event_id % 13 AS STRING), ': ')
+         WHEN 5 THEN concat('rt @User_', CAST(event_id % 11 AS STRING), ': ')
+         WHEN 10 THEN concat('Rt @USER_', CAST(event_id % 7 AS STRING), ' ') ELSE '' END,
+    text,
+    CASE WHEN event_id % 4 = 0 THEN concat(' cc @User_', CAST(event_id % 17 AS STRING),
+         ' qt @user_', CAST(event_id % 19 AS STRING)) ELSE '' END,
+    CASE WHEN event_id % 3 = 0 THEN concat(' #', lang, 'News') ELSE '' END)""",
+    "link": """CASE event_id % 10
+    WHEN 0 THEN concat('https://www.tiktok.com/@u/video/', CAST(event_id % 40 AS STRING))
+    WHEN 1 THEN concat('https://twitter.com/u/status/', CAST(event_id % 90 AS STRING))
+    WHEN 2 THEN CAST(NULL AS STRING)
+    WHEN 3 THEN concat('https://x.com/share/', CAST(CAST(floor(event_id / 50.0) AS BIGINT) AS STRING))
+    ELSE url END""",
+}
+EVENT_POSTS_SQL = ("SELECT " + ", ".join(f"{v} AS {k}" for k, v in EVENT_POST_COLUMNS.items())
+                   + """ FROM events e
+JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
+JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages)""")
+
+
+def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw posts, one per event."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    n_docs, n_pages = docs.count(), pages.count()      # from the file footers
+    joined = (events.join(docs, F.col("doc_id") == F.col("event_id") % n_docs)
+              .join(pages, F.col("page_id") == F.col("event_id") % n_pages))
+    return joined.selectExpr(*[f"{v} AS {k}" for k, v in EVENT_POST_COLUMNS.items()])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
