@@ -63,7 +63,7 @@ def test_cluster_posts_matches_dbscan(spark, sf001, min_samples):
     got = {r["post_id"]: r["cluster"] for r in
            cluster.cluster_posts(posts, min_samples=min_samples, prefiltered=True).posts.collect()}
     groups = tfidf.text_groups(posts)
-    postings = tfidf.tfidf_postings(groups, 5000)
+    postings = tfidf.tfidf_postings(groups)
     tpairs = naive_cosine_pairs(postings, 0.7).collect()
     nz = {r["tid"]["k0"] for r in postings.select("tid").distinct().collect()}
     members = {r["post_id"]: r["tid"]["k0"] for r in posts.join(

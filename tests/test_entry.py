@@ -1,26 +1,16 @@
 """Driver contract and a DuckDB oracle sweep at sf0.001."""
 
 import datetime as dt
-import math
 import os
 
 import pytest
 
 import __spark_entry__ as E
 
-# Queries that need the similarity join or clustering run in the slow sweep only.
-FAST = ["load_posts", "preprocess_posts", "infer_platform", "filter_date_range", "filter_platforms",
-        "date_bounds", "distinct_platforms", "sample_posts", "top_influencers", "platform_counts",
-        "extract_hashtags", "top_hashtags", "daily_volume", "tokenize", "vocabulary",
-        "similarity_input", "embed_text", "normalize_vectors", "vector_cosine", "top_shared_urls",
-        "posting_spikes", "repeated_url_sharing", "repeated_text_sharing", "rapid_co_sharing",
-        "hashtag_overlap", "mention_edges", "retweet_edges", "account_cadence"]
-
-
 def test_contract_keys():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert set(FAST) <= set(q)
+    assert "narrative_summary" in q and len(o) >= 50
 
 
 def test_entry_runs(spark):
@@ -45,8 +35,7 @@ def _rows(cols, rows):
     return sorted((tuple(_norm(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", FAST if not os.environ.get("MURMURATION_SLOW_TESTS")
-                         else sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_oracle(spark, sf001, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -59,4 +48,3 @@ def test_oracle(spark, sf001, name):
     ocols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(ocols)
     assert _rows(df.columns, df.collect()) == _rows(ocols, res.fetchall())
-    assert not math.isnan(0.0)
