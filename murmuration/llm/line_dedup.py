@@ -161,10 +161,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     .withColumn("words", word_count(line).cast("int")).where("words > 0")
                     .select("doc", "pos", "words", F.xxhash64(line).alias("h1"),
                             F.xxhash64(F.lit(1), line).alias("h2")))
-    shared = (lines.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-              .where("first < last").select("h1", "h2", "first"))
-    # written before grouping, so that nothing keeps the join's partitioning: Spark can split
-    # the rows of a very frequent line
+    shared = written(lines.groupBy("h1", "h2")
+                     .agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
+                     .where("first < last").select("h1", "h2", "first"))
+    # written before the join and before grouping, so that no aggregation shares the join's
+    # partitioning and Spark can split the rows of a very frequent line
     found = written(lines.join(shared, ["h1", "h2"]))
     held = written(found.groupBy("h1", "h2", "first", "doc")    # a document's repeats of a line
                    .agg(F.sort_array(F.collect_set("pos")).alias("at"),
