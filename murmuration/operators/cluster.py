@@ -42,12 +42,12 @@ def clustering_input(posts: DataFrame) -> DataFrame:
 
 
 def cluster_posts(posts: DataFrame, eps: float = 0.3, min_samples: int = 2,
-                  max_features: int | None = None, tau: float | None = None, stop_words=None,
+                  max_features: int | None = None, floor: float | None = None, stop_words=None,
                   prefiltered: bool = False) -> Clustering:
     inp = posts if prefiltered else clustering_input(posts)
     groups = cut_lineage(text_groups(inp, "original_text"))
     postings = cut_lineage(tfidf_postings(groups, max_features, stop_words))
-    edges = cut_lineage(cosine_pairs(postings, 1.0 - eps, tau, exact_values=False)
+    edges = cut_lineage(cosine_pairs(postings, 1.0 - eps, floor, exact_values=False)
                         .select("tid1", "tid2"))
     nz = postings.select("tid").distinct().withColumn("nz", F.lit(True))
     # posts within eps of each text, itself and its copies included (zero vectors: none)

@@ -100,7 +100,8 @@ def previous_in_group(df: DataFrame, key: str, order_col: str, cols: list[str],
 def count_before(df: DataFrame, keys: list[str], order_col: str, flag_col: str | None = None,
                  out_col: str = "before", num_partitions: int | None = None) -> DataFrame:
     """Per row: how many rows of the same ``keys`` group (with ``flag_col`` true, if given) come
-    strictly before it in ``order_col`` order (unique within a group).
+    strictly before it in ``order_col`` order (unique among the flagged rows of a group; rows
+    that are not flagged may share an order among themselves).
 
     A running count over ``Window.partitionBy(keys)`` would give a hot group a single task.
     Here rows are range-partitioned on (keys, order) so a hot group spans several partitions;

@@ -4,20 +4,23 @@ Plan (DataFrame joins and aggregations only):
 
 1. Re-key: texts get dense ``long`` ids and terms get ``int`` ranks in the global order
    ``(df asc, term asc)`` (rare terms first), so every shuffle below moves a few primitives.
-2. Prefix/suffix split per vector: the suffix is the longest tail whose L2 norm ``r`` is below
-   ``tau`` (``tau <= t``). Any pair with cosine >= t shares a prefix term (Cauchy-Schwarz), so a
-   self-join of *prefix* postings on the term rank yields every candidate.
-3. Bound: for a candidate, ``p`` = sum of ``w1*w2`` over shared prefix terms covers every shared
-   term up to the earlier prefix end; the rest lies in the early-ending vector's suffix (norm
-   ``r_e``) and in the other vector beyond that point, whose norm is at most ``sqrt(1 - s)``
-   where ``s`` is its mass on the shared prefix terms. So ``cos <= p + r_e * sqrt(1 - s)``;
-   candidates below ``t`` by this bound are dropped (exact, no false negatives).
-4. Verify: ``cos = p + R``, ``R`` = shared terms in the early vector's suffix, joined against the
-   other vector's postings on ``(id, term)``.
-
-Rare-first ordering keeps frequent (hot) terms out of prefixes, so the candidate join does not
-square the longest posting lists; AQE's skew join splits what remains. Intermediate tables are
-written to the shared checkpoint folder (lineage cut, reused, executor-loss safe).
+2. Tails: each posting carries the norm of its vector from that term on. From a shared term of
+   rank r on, two vectors have a cosine of at most the product of their tails at r; so a pair
+   with cosine >= t has its first shared term where that product is at least t. Postings with
+   a tail of at least ``floor`` (``floor <= t``) are joined on the term, and joined rows whose
+   product is below ``floor`` are dropped inside the join. As products fall with the rank, what
+   is kept of a pair is its first shared terms.
+3. Cells: a term's list is split by tail level, and only the pairs of levels whose product can
+   reach ``floor`` meet (join key: term, level, partner's level). Frequent terms come late, where
+   tails are short, so most of a long list's pairs are never formed, and the list is split.
+4. Bound: for a candidate, ``p`` = sum of ``w1*w2`` over its kept terms; the rest is at most the
+   product of the two tails after the last kept term, and below ``floor``. Candidates whose best
+   product is below ``t``, or with ``p`` plus that rest below ``t``, are dropped (exact).
+5. Verify: ``cos = p + R``, ``R`` = shared terms after the last kept one, from the vector with
+   fewer terms left, joined against the other's postings on ``(id, term)``.
+
+AQE's skew join splits the cells that remain large. Intermediate tables are written to the shared
+checkpoint folder (lineage cut, reused, executor-loss safe).
 """
 
 from __future__ import annotations
@@ -31,14 +34,17 @@ from murmuration.session import cut_lineage
 EPS = 1e-9
 
 
-def default_tau(threshold: float) -> float:
-    """Tail bound used for the prefix split.
+LEVELS = 4         # tail levels of a term's list
+FLOOR_GAP = 0.05
 
-    Measured on the sf0.1 fixture (10 K long texts): tau = t is far too loose (millions of
-    survivors to verify), tau well below t grows the prefix join; t - 0.08 sits in the flat
-    optimum for t = 0.85 and t = 0.7.
+
+def default_floor(threshold: float) -> float:
+    """Tail product down to which a pair's shared terms are added up before verification.
+
+    A planning value: results do not depend on it. A low one forms more rows in the join, a high
+    one leaves more candidates to verify.
     """
-    return min(threshold, max(0.5, threshold - 0.08))
+    return max(0.1, threshold - FLOOR_GAP)
 
 
 def rekey(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -50,60 +56,72 @@ def rekey(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut_lineage(slim), ids
 
 
-def split_prefix(slim: DataFrame, tau: float) -> DataFrame:
-    """Annotate ``(tix, rk, w)`` with ``pre`` (in prefix), tail mass ``r2`` and prefix end ``pend``."""
-    suf = Window.partitionBy("tix").orderBy(F.col("rk").desc()) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    per_vec = Window.partitionBy("tix")
-    x = slim.withColumn("suf2", F.sum(F.col("w") * F.col("w")).over(suf))
-    x = x.withColumn("pre", F.col("suf2") >= F.lit(tau * tau))
-    return (x.withColumn("r2", F.coalesce(F.max(F.when(~F.col("pre"), F.col("suf2")))
-                                          .over(per_vec), F.lit(0.0)))
-             .withColumn("pend", F.max(F.when(F.col("pre"), F.col("rk"))).over(per_vec))
-             .select("tix", "rk", "w", "pre", "r2", "pend"))
-
-
-def cosine_pairs_slim(slim: DataFrame, threshold: float, tau: float | None = None,
+def with_tails(slim: DataFrame) -> DataFrame:
+    """Annotate ``(tix, rk, w)`` with ``tail`` (norm from this term on), ``after`` (norm behind
+    it) and ``left`` (terms behind it)."""
+    suf = Window.partitionBy("tix").orderBy(F.col("rk").desc())
+    upto = suf.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = slim.withColumn("t2", F.sum(F.col("w") * F.col("w")).over(upto)) \
+        .withColumn("left", F.row_number().over(suf) - 1)
+    after = F.sqrt(F.greatest(F.lit(0.0), F.col("t2") - F.col("w") * F.col("w")))
+    return x.select("tix", "rk", "w", F.sqrt("t2").alias("tail"), after.alias("after"), "left")
+
+
+def _cells(pre: DataFrame, floor: float, side: str) -> DataFrame:
+    """Postings of one side of the join with the keys ``ci``, ``cj`` (tail levels of the two
+    sides): one row per level of the other side that can meet this one."""
+    step = (1.0 - floor) / LEVELS
+    upper = [floor + step * (k + 1) for k in range(LEVELS - 1)] + [1.0 + EPS]
+    level = F.least(F.lit(LEVELS - 1), F.floor((F.col("tail") - floor) / step)).cast("int")
+    meets = F.create_map(*[x for k in range(LEVELS) for x in (
+        F.lit(k), F.array(*[F.lit(m) for m in range(LEVELS)
+                            if upper[k] * upper[m] >= floor - EPS]))])
+    mine, other = ("ci", "cj") if side == "i" else ("cj", "ci")
+    rows = pre.withColumn(mine, F.greatest(F.lit(0), level))
+    return rows.select(F.col("tix").alias(side), "rk", mine, F.explode(meets[F.col(mine)])
+                       .alias(other), *[F.col(c).alias(f"{c}_{side}")
+                                        for c in ("w", "tail", "after", "left")])
+
+
+def joined_postings(x: DataFrame, floor: float) -> DataFrame:
+    """One row per pair of vectors and shared term with a tail product of at least ``floor``."""
+    pre = x.where(F.col("tail") >= F.lit(floor - EPS))
+    return (_cells(pre, floor, "i").join(_cells(pre, floor, "j"), ["rk", "ci", "cj"])
+            .where((F.col("i") < F.col("j"))
+                   & (F.col("tail_i") * F.col("tail_j") >= F.lit(floor - EPS))))
+
+
+def cosine_pairs_slim(slim: DataFrame, threshold: float, floor: float | None = None,
                       exact_values: bool = True) -> DataFrame:
     """Pairs ``(i < j, similarity)`` of dense ids with cosine >= ``threshold``.
 
-    With ``exact_values=False`` (membership only, e.g. a neighbour graph) candidates whose shared
-    prefix mass alone reaches ``t`` are accepted without verification and report that lower
-    bound as ``similarity``; only the undecided ones are verified.
+    With ``exact_values=False`` (membership only, e.g. a neighbour graph) candidates whose kept
+    terms alone reach ``t`` are accepted without verification and report that lower bound as
+    ``similarity``; only the undecided ones are verified.
     """
     t = float(threshold)
-    tau = default_tau(t) if tau is None else min(float(tau), t)
-    x = cut_lineage(split_prefix(slim, tau))
-    pre = x.where("pre")
-    a = pre.select(F.col("tix").alias("i"), "rk", F.col("w").alias("wi"))
-    b = pre.select(F.col("tix").alias("j"), "rk", F.col("w").alias("wj"))
-    # the join rows carry only ids and weights (the largest shuffle); per-vector constants
-    # (tail mass, prefix end) are attached after the aggregation, one row per vector
-    vec = pre.groupBy("tix").agg(F.max("r2").alias("r2"), F.max("pend").alias("pend"))
-    cand = (a.join(b, "rk").where(F.col("i") < F.col("j")).groupBy("i", "j")
-            .agg(F.sum(F.col("wi") * F.col("wj")).alias("p"),
-                 F.sum(F.col("wi") * F.col("wi")).alias("si"),
-                 F.sum(F.col("wj") * F.col("wj")).alias("sj"))
-            .join(vec.select(F.col("tix").alias("i"), F.col("r2").alias("r2i"),
-                             F.col("pend").alias("pi")), "i")
-            .join(vec.select(F.col("tix").alias("j"), F.col("r2").alias("r2j"),
-                             F.col("pend").alias("pj")), "j"))
-    i_early = F.col("pi") <= F.col("pj")
-    cand = (cand.select("i", "j", "p",
-                        F.when(i_early, F.col("i")).otherwise(F.col("j")).alias("e"),
-                        F.when(i_early, F.col("j")).otherwise(F.col("i")).alias("l"),
-                        F.sqrt(F.when(i_early, F.col("r2i")).otherwise(F.col("r2j"))).alias("re"),
-                        F.when(i_early, F.col("sj")).otherwise(F.col("si")).alias("sl"))
-            .where(F.col("p") + F.col("re") * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("sl")))
-                   >= F.lit(t - EPS)))
-    cand = cut_lineage(cand)
+    floor = default_floor(t) if floor is None else min(float(floor), t)
+    x = cut_lineage(with_tails(slim))
+    cand = (joined_postings(x, floor).groupBy("i", "j")
+            .agg(F.sum(F.col("w_i") * F.col("w_j")).alias("p"),
+                 F.max(F.col("tail_i") * F.col("tail_j")).alias("best"),
+                 F.min(F.col("after_i") * F.col("after_j")).alias("rest"),
+                 F.max("rk").alias("last"),
+                 F.min("left_i").alias("left_i"), F.min("left_j").alias("left_j"))
+            .where((F.col("best") >= F.lit(t - EPS))
+                   & (F.col("p") + F.least(F.lit(floor), F.col("rest")) >= F.lit(t - EPS))))
+    i_short = F.col("left_i") <= F.col("left_j")
+    cand = cut_lineage(cand.select(
+        "i", "j", "p", "last", F.when(i_short, F.col("i")).otherwise(F.col("j")).alias("e"),
+        F.when(i_short, F.col("j")).otherwise(F.col("i")).alias("l")))
     certain = None
     if not exact_values:
         certain = cand.where(F.col("p") >= F.lit(t)).select("i", "j", F.col("p").alias("similarity"))
         cand = cand.where(F.col("p") < F.lit(t))
-    suffix = x.where(~F.col("pre")).select(F.col("tix").alias("e"), "rk", F.col("w").alias("we"))
-    full = slim.select(F.col("tix").alias("l"), "rk", F.col("w").alias("wl"))
-    rem = (cand.select("e", "l").join(suffix, "e").join(full, ["l", "rk"])
+    short = x.select(F.col("tix").alias("e"), "rk", F.col("w").alias("we"))
+    full = x.select(F.col("tix").alias("l"), "rk", F.col("w").alias("wl"))
+    rem = (cand.select("e", "l", "last").join(short, "e").where(F.col("rk") > F.col("last"))
+           .join(full, ["l", "rk"])
            .groupBy("e", "l").agg(F.sum(F.col("we") * F.col("wl")).alias("rem")))
     out = (cand.join(rem, ["e", "l"], "left")
            .select("i", "j", (F.col("p") + F.coalesce(F.col("rem"), F.lit(0.0))).alias("similarity"))
@@ -111,7 +129,7 @@ def cosine_pairs_slim(slim: DataFrame, threshold: float, tau: float | None = Non
     return out if certain is None else out.unionByName(certain)
 
 
-def cosine_pairs(postings: DataFrame, threshold: float, tau: float | None = None,
+def cosine_pairs(postings: DataFrame, threshold: float, floor: float | None = None,
                  exact_values: bool = True) -> DataFrame:
     """All unordered vector pairs ``(tid1 < tid2)`` with cosine >= ``threshold``.
 
@@ -119,7 +137,7 @@ def cosine_pairs(postings: DataFrame, threshold: float, tau: float | None = None
     ``tid1, tid2, similarity`` (see ``cosine_pairs_slim`` for ``exact_values``).
     """
     slim, ids = rekey(postings)
-    pairs = cosine_pairs_slim(slim, threshold, tau, exact_values)
+    pairs = cosine_pairs_slim(slim, threshold, floor, exact_values)
     a = ids.select(F.col("tix").alias("i"), F.col("tid").alias("tid1"))
     b = ids.select(F.col("tix").alias("j"), F.col("tid").alias("tid2"))
     return pairs.join(a, "i").join(b, "j").select("tid1", "tid2", "similarity")
@@ -141,7 +159,9 @@ def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "key",
     ``sets`` holds one row per (key, item), duplicates ignored. Prefix filtering: items ordered
     rare-first; a set of size n keeps its first ``n - ceil(t*n) + 1`` items as prefix; two sets
     with Jaccard >= t share a prefix item. Candidates pass a size filter
-    (``t*|x| <= |y| <= |x|/t``) and are verified with exact overlap counts.
+    (``t*|x| <= |y| <= |x|/t``) and a position filter: the shared prefix items plus the items
+    that the shorter remainder has behind the last of them must reach the overlap that ``t``
+    asks for. Only that remainder is then looked up in the other set.
     """
     t = float(threshold)
     s = sets.select(F.col(key).alias("k"), F.col(item).alias("it")).distinct()
@@ -150,20 +170,30 @@ def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "key",
     ranked = s.join(order, "it")
     sizes = ranked.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     # position of each item in its set (rare first) without one window over a huge set
-    ranked = cut_lineage(count_before(ranked, ["k"], "r", out_col="before")
-                         .withColumn("pos", F.col("before") + 1).drop("before").join(sizes, "k"))
-    pre = ranked.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * F.lit(t - EPS)) + 1)
-    a = pre.select(F.col("k").alias("k1"), "r", F.col("n").alias("n1"))
-    b = pre.select(F.col("k").alias("k2"), "r", F.col("n").alias("n2"))
+    ranked = cut_lineage(count_before(ranked, ["k"], "r", out_col="before").join(sizes, "k")
+                         .select("k", "r", "n", (F.col("n") - F.col("before") - 1).alias("left")))
+    pre = ranked.where(F.col("left") >= F.ceil(F.col("n") * F.lit(t - EPS)) - 1)
+    a = pre.select(F.col("k").alias("k1"), "r", F.col("n").alias("n1"), F.col("left").alias("l1"))
+    b = pre.select(F.col("k").alias("k2"), "r", F.col("n").alias("n2"), F.col("left").alias("l2"))
+    needed = (F.col("n1") + F.col("n2")) * F.lit(t / (1 + t)) - EPS
     cand = (a.join(b, "r").where(F.col("k1") < F.col("k2"))
             .where((F.col("n2") >= F.col("n1") * F.lit(t - EPS))
                    & (F.col("n1") >= F.col("n2") * F.lit(t - EPS)))
-            .select("k1", "k2", "n1", "n2").distinct())
-    full1 = ranked.select(F.col("k").alias("k1"), "r")
-    full2 = ranked.select(F.col("k").alias("k2"), "r")
-    shared = (cand.select("k1", "k2").join(full1, "k1").join(full2, ["k2", "r"])
-              .groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("shared")))
-    out = cand.join(shared, ["k1", "k2"]).select(
-        "k1", "k2", "shared",
-        (F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).alias("jaccard"))
-    return out.where(F.col("jaccard") >= F.lit(t))
+            .groupBy("k1", "k2").agg(F.first("n1").alias("n1"), F.first("n2").alias("n2"),
+                                     F.count(F.lit(1)).alias("seen"), F.max("r").alias("last"),
+                                     F.min("l1").alias("l1"), F.min("l2").alias("l2"))
+            .where(F.col("seen") + F.least("l1", "l2") >= needed))
+    short = F.col("l1") <= F.col("l2")
+    cand = cut_lineage(cand.select("k1", "k2", "n1", "n2", "seen", "last",
+                                   F.when(short, F.col("k1")).otherwise(F.col("k2")).alias("e"),
+                                   F.when(short, F.col("k2")).otherwise(F.col("k1")).alias("l")))
+    rest = (cand.select("e", "l", "last").join(ranked.select(F.col("k").alias("e"), "r"), "e")
+            .where(F.col("r") > F.col("last"))
+            .join(ranked.select(F.col("k").alias("l"), "r"), ["l", "r"])
+            .groupBy("e", "l").agg(F.count(F.lit(1)).alias("more")))
+    shared = F.col("seen") + F.coalesce(F.col("more"), F.lit(0))
+    return (cand.join(rest, ["e", "l"], "left")
+            .select("k1", "k2", "n1", "n2", shared.alias("shared"))
+            .select("k1", "k2", "shared", (F.col("shared") / (
+                F.col("n1") + F.col("n2") - F.col("shared"))).alias("jaccard"))
+            .where(F.col("jaccard") >= F.lit(t)))

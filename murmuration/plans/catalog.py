@@ -6,6 +6,7 @@ signals (shared links, repeats, bursts, edges, cadence) one post per event. They
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from murmuration.operators import (cluster, embeddings, filters, narratives, net
                                    overview, signals, tfidf)
 from murmuration.operators.preprocess import (materialized_posts, posts_from_fixture,
                                               preprocess_posts)
+from murmuration.session import scratch_path
+from murmuration.sources.files import DOUBLED_QUOTES, export_posts, load_posts, union_posts
 from murmuration.sources.fixtures import FIXTURE_ROLES, raw_posts, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,9 +51,36 @@ def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- A/B: sources and preprocessing ---------------------------------------------------------
 
+def _exported(spark, df: DataFrame, fmt: str = "csv") -> str:
+    """``df`` written by ``export_posts`` into the shared checkpoint folder."""
+    path = scratch_path(spark, f"export-{uuid.uuid4().hex}")
+    export_posts(df, path, fmt, **DOUBLED_QUOTES)
+    return path
+
+
 @register("load_posts")
 def q_load_posts(spark, sf_dir):
-    return raw_posts(spark, sf_dir)
+    """A1: all documents as CSV, read back as strings with missing-value tokens as nulls."""
+    return load_posts(spark, _exported(spark, table(spark, sf_dir, "documents")))
+
+
+@register("union_posts")
+def q_union_posts(spark, sf_dir):
+    """A2: two CSV exports with different columns and an unreadable path, as one table."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url",
+                                                 F.col("html").alias("content"))
+    turns = table(spark, sf_dir, "conversations").select(
+        "role", F.col("text").alias("content"), F.col("conv_id").alias("id"))
+    missing = scratch_path(spark, f"missing-{uuid.uuid4().hex}")
+    found = union_posts(spark, [_exported(spark, pages), missing, _exported(spark, turns)])
+    return found.posts.select("id", "url", "content", "role")
+
+
+@register("export_posts")
+def q_export_posts(spark, sf_dir):
+    """A3: the raw posts, exported as Parquet and read back."""
+    return load_posts(spark, _exported(spark, raw_posts(spark, sf_dir), "parquet"),
+                      fmt="parquet", na_tokens=False)
 
 
 @register("union_dedupe")
@@ -235,7 +265,12 @@ def q_similarity_input(spark, sf_dir):
 @register("similar_pairs")
 def q_similar_pairs(spark, sf_dir):
     return narratives.similar_pairs(similarity(spark, sf_dir)).select(
-        "post_id1", "post_id2", *narratives.PAIR_COLUMNS)
+        "post_id1", "post_id2", *narratives.PAIR_COLUMNS, "copies1", "copies2")
+
+
+@register("text_members")
+def q_text_members(spark, sf_dir):
+    return narratives.text_members(similarity(spark, sf_dir))
 
 
 @register("narrative_summary")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from murmuration.plans import catalog as C
+from murmuration.sources.files import NA_TOKENS
 from murmuration.plans.sqlparts import RAW_POSTS_SQL, hashtags, platform, q, with_posts
 
 ORACLE: dict[str, str] = {}
@@ -13,7 +14,18 @@ def oracle(name: str, sql: str) -> None:
 
 
 # ---- A/B ------------------------------------------------------------------------------------
-oracle("load_posts", RAW_POSTS_SQL)
+def _csv(column: str) -> str:
+    return f"CASE WHEN {column} IN ({', '.join(map(q, NA_TOKENS))}) THEN NULL ELSE {column} END"
+
+
+oracle("load_posts", "SELECT " + ", ".join(
+    f"{_csv(c)} AS {c}" for c in ("doc_id", "text", "lang", "source", "n_chars"))
+    + " FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM documents)")
+oracle("union_posts", f"""WITH t AS (SELECT CAST(page_id AS VARCHAR) AS id, {_csv('url')} AS url,
+  {_csv('html')} AS content FROM pages)
+SELECT id, url, content, NULL AS role FROM t
+UNION ALL SELECT CAST(conv_id AS VARCHAR), NULL, {_csv('text')}, {_csv('role')} FROM conversations""")
+oracle("export_posts", RAW_POSTS_SQL)
 oracle("union_dedupe", f"""WITH raw AS ({RAW_POSTS_SQL})
 SELECT DISTINCT * FROM (
   SELECT post_id, author, created_at, content, link FROM raw
@@ -111,14 +123,25 @@ oracle("vocabulary", with_posts("SELECT term, df, CAST(total AS BIGINT) AS total
 oracle("tfidf", with_posts("SELECT post_id, term, round(w, 6) AS w FROM sim_vec", SIM))
 oracle("similarity_input", with_posts(
     "SELECT post_id, original_text, Influencer, Platform FROM sim_in", SIM_IN))
-oracle("similar_pairs", with_posts("SELECT * FROM sp", SIM + "," + SP))
+# pairs of different texts by their first posts; copies are counted, not paired
+REP = SP + """,
+sim_text AS (SELECT original_text, min(post_id) AS rep, count(*) AS copies FROM sim_in
+             GROUP BY original_text),
+rep_pairs AS (SELECT sp.*, a.copies AS copies1, b.copies AS copies2 FROM sp
+  JOIN sim_text a ON a.rep = sp.post_id1 JOIN sim_text b ON b.rep = sp.post_id2)"""
+oracle("similar_pairs", with_posts("SELECT * FROM rep_pairs", SIM + "," + REP))
+oracle("text_members", with_posts("""
+SELECT s.post_id, t.rep AS text_post_id, t.copies, coalesce(n.n, 0) AS similar_texts
+FROM sim_in s JOIN sim_text t ON t.original_text = s.original_text
+LEFT JOIN (SELECT r, count(*) AS n FROM (SELECT post_id1 AS r FROM rep_pairs
+  UNION ALL SELECT post_id2 FROM rep_pairs) GROUP BY r) n ON n.r = t.rep""", SIM + "," + REP))
 oracle("narrative_summary", with_posts("SELECT * FROM narr", SIM + "," + NARR))
 oracle("top_narratives", with_posts(
     "SELECT * FROM narr ORDER BY share_count DESC, shared_narrative LIMIT 10", SIM + "," + NARR))
 oracle("pair_links", with_posts(
     "SELECT post_id1, post_id2, text1, influencer1, platform1, time1, "
     f"{_anchor('url1')} AS url1, text2, influencer2, platform2, time2, {_anchor('url2')} AS url2, "
-    "similarity FROM sp", SIM + "," + SP))
+    "similarity FROM rep_pairs", SIM + "," + REP))
 oracle("high_risk_influencers", with_posts(
     "SELECT Influencer, count(*) AS coordination_instances FROM (SELECT influencer1 AS Influencer "
     "FROM sp UNION ALL SELECT influencer2 FROM sp) GROUP BY Influencer HAVING count(*) >= 3",

@@ -16,6 +16,10 @@ NA_TOKENS = [
 ]
 
 
+# CSV writer options under which ``load_posts`` reads every text back as it was.
+DOUBLED_QUOTES = {"escape": '"'}
+
+
 def _null_na_tokens(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
@@ -77,9 +81,12 @@ def union_posts(spark: SparkSession, paths: list[str], fmt: str = "csv", **optio
 
 
 def export_posts(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
-                 partition_by: list[str] | None = None) -> None:
+                 partition_by: list[str] | None = None, **options) -> None:
     """Write posts out: CSV with a header (the reference's export) or parquet.
 
+    ``options`` go to the CSV writer. Spark's own escape sign is the default; with
+    ``**DOUBLED_QUOTES`` the file is what ``load_posts`` and spreadsheet programs read.
+
     Writing is distributed (one file per partition); nothing passes through the driver.
     """
     if fmt == "csv":
@@ -93,6 +100,10 @@ def export_posts(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w = (w.option("header", True).option("ignoreLeadingWhiteSpace", False)
+             .option("ignoreTrailingWhiteSpace", False))
+        for k, v in options.items():
+            w = w.option(k, v)
+        w.csv(path)
     else:
         w.parquet(path)

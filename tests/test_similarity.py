@@ -25,9 +25,9 @@ def _pairs(df):
     return {(r["tid1"]["k0"], r["tid2"]["k0"]): round(r["similarity"], 9) for r in df.collect()}
 
 
-@pytest.mark.parametrize("t,tau", [(0.85, None), (0.85, 0.5), (0.7, None), (0.5, 0.5), (0.3, None)])
-def test_prefix_join_equals_naive(postings, t, tau):
-    fast, slow = _pairs(cosine_pairs(postings, t, tau)), _pairs(naive_cosine_pairs(postings, t))
+@pytest.mark.parametrize("t,floor", [(0.85, None), (0.85, 0.5), (0.7, None), (0.5, 0.3), (0.3, None)])
+def test_prefix_join_equals_naive(postings, t, floor):
+    fast, slow = _pairs(cosine_pairs(postings, t, floor)), _pairs(naive_cosine_pairs(postings, t))
     assert fast == slow
     assert fast  # the fixture has similar texts at every tested threshold
 
@@ -81,8 +81,36 @@ def test_narratives_with_hot_copy_group(spark):
     cc = {r["Influencer"]: r["coordination_instances"]
           for r in narratives.coordination_counts(sim).collect() if r["coordination_instances"]}
     assert cc == app
-    # the expanded table has the same pairs
-    assert narratives.similar_pairs(sim).count() == len(pairs)
+    # the pair table and the copies stand for the same pairs
+    table = narratives.similar_pairs(sim).collect()
+    copies = {r["text_post_id"]: r["copies"] for r in narratives.text_members(sim).collect()}
+    assert sum(r["copies1"] * r["copies2"] for r in table) \
+        + sum(c * (c - 1) // 2 for c in copies.values()) == len(pairs)
+    assert all(r["post_id1"] < r["post_id2"] for r in table)
+
+
+def test_share_counts_of_interleaved_copies(spark):
+    """Similar texts whose posts alternate in time: counts by direction, against pairs."""
+    from murmuration.operators.preprocess import with_post_order
+
+    base = "coordinated message about the election fraud claims spreading fast today"
+    kinds = [base, base + " now", base + " here", base + " again please"]
+    texts = [kinds[(i * i + i // 3) % 4] for i in range(60)]
+    df = spark.createDataFrame([(i, t, f"a{i % 5}", "X") for i, t in enumerate(texts)],
+                               "post_id long, original_text string, Influencer string, Platform string")
+    df = with_post_order(df.withColumn("Timestamp", F.timestamp_seconds(F.col("post_id")))
+                         .withColumn("URL", F.lit(None).cast("string")), ["post_id"])
+    sim = narratives.find_similarities(df, 0.8, prefiltered=True)
+    names = {r["tid"]["k0"]: r["text"] for r in sim.texts.collect()}
+    linked = {frozenset((names[r["tid1"]["k0"]], names[r["tid2"]["k0"]]))
+              for r in sim.pairs.collect()}
+    assert linked
+    expected = {}
+    for a, b in itertools.combinations(texts, 2):
+        if a == b or frozenset((a, b)) in linked:
+            expected[a] = expected.get(a, 0) + 1
+    got = {r["shared_narrative"]: r["share_count"] for r in narratives.narrative_summary(sim).collect()}
+    assert got == expected
 
 
 def test_jaccard_join_equals_brute_force(spark):

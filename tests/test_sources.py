@@ -5,6 +5,7 @@ import tempfile
 
 from murmuration.operators.preprocess import preprocess_posts
 from murmuration.sources import export_posts, load_posts, union_posts
+from murmuration.sources.files import DOUBLED_QUOTES
 
 
 def _write(path, text):
@@ -40,3 +41,12 @@ def test_export_round_trip(spark):
         [("1", "a", '["x"]'), ("2", "b", "[]")]
     export_posts(df, os.path.join(d, "pq"), fmt="parquet")
     assert spark.read.parquet(os.path.join(d, "pq")).count() == 2
+
+
+def test_csv_export_is_read_back_whole(spark):
+    d = tempfile.mkdtemp(prefix="murmuration-exp-")
+    texts = ['say "hi", \\ there', "two\nlines", "  blanks kept  ", 'ends with \\', "'", '"']
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    export_posts(df, os.path.join(d, "csv"), **DOUBLED_QUOTES)
+    back = load_posts(spark, os.path.join(d, "csv"))
+    assert {int(r["id"]): r["text"] for r in back.collect()} == dict(enumerate(texts))
