@@ -9,7 +9,7 @@ in order of their first post. With the reference's ``min_samples=2`` every post
 neighbour is core, so clusters are exactly the components of the neighbour graph.
 
 Work happens on distinct texts (copies collapsed, weights by copy count); the neighbour graph
-comes from the exact prefix-filtered cosine join; components run as DataFrame rounds.
+comes from the exact cosine join; components run as DataFrame rounds over dense ids.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from murmuration.functions.text import is_nonblank
 from murmuration.operators.components import connected_components
 from murmuration.operators.preprocess import ORDER
 from murmuration.operators.ranking import dense_index, first_k_distinct, join_with_more
-from murmuration.operators.simjoin import cosine_pairs
+from murmuration.operators.simjoin import cosine_pairs_slim, rekey
 from murmuration.operators.tfidf import text_groups, tfidf_postings
 from murmuration.session import cut_lineage
 
@@ -47,40 +47,41 @@ def cluster_posts(posts: DataFrame, eps: float = 0.3, min_samples: int = 2,
     inp = posts if prefiltered else clustering_input(posts)
     groups = cut_lineage(text_groups(inp, "original_text"))
     postings = cut_lineage(tfidf_postings(groups, max_features, stop_words))
-    edges = cut_lineage(cosine_pairs(postings, 1.0 - eps, floor, exact_values=False)
-                        .select("tid1", "tid2"))
-    nz = postings.select("tid").distinct().withColumn("nz", F.lit(True))
+    # dense ids of the texts with a vector, in the order of ``tid``: nodes of the graph
+    slim, ids = rekey(postings)
+    edges = cut_lineage(cosine_pairs_slim(slim, 1.0 - eps, floor, exact_values=False)
+                        .select("i", "j"))
     # posts within eps of each text, itself and its copies included (zero vectors: none)
-    nb = (edges.select(F.col("tid1").alias("a"), F.col("tid2").alias("b"))
-          .unionByName(edges.select(F.col("tid2").alias("a"), F.col("tid1").alias("b"))))
-    cnt = groups.select("tid", "c")
-    nb_posts = (nb.join(cnt.select(F.col("tid").alias("b"), F.col("c").alias("cb")), "b")
+    nb = (edges.select(F.col("i").alias("a"), F.col("j").alias("b"))
+          .unionByName(edges.select(F.col("j").alias("a"), F.col("i").alias("b"))))
+    cnt = cut_lineage(groups.select("tid", "c").join(ids, "tid", "left"))
+    nb_posts = (nb.join(cnt.select(F.col("tix").alias("b"), F.col("c").alias("cb")), "b")
                 .groupBy("a").agg(F.sum("cb").alias("nb_posts")))
-    texts = (cnt.join(nz, "tid", "left").join(nb_posts.withColumnRenamed("a", "tid"), "tid", "left")
-             .select("tid", "c", F.coalesce("nz", F.lit(False)).alias("nz"),
-                     F.coalesce("nb_posts", F.lit(0)).alias("nb_posts")))
-    texts = texts.withColumn(
-        "core", F.col("nz") & ((F.col("c") + F.col("nb_posts")) >= F.lit(min_samples)))
-    texts = cut_lineage(texts)
-    core = texts.where("core").select("tid")
-    core_edges = (edges.join(core.withColumnRenamed("tid", "tid1"), "tid1")
-                  .join(core.withColumnRenamed("tid", "tid2"), "tid2")
-                  .select(F.col("tid1").alias("src"), F.col("tid2").alias("dst")))
-    comps = connected_components(core_edges).select(F.col("node").alias("tid"), "comp")
+    near = F.coalesce("nb_posts", F.lit(0))
+    texts = cut_lineage(
+        cnt.join(nb_posts.withColumnRenamed("a", "tix"), "tix", "left")
+        .select("tid", "tix", "c", F.col("tix").isNotNull().alias("nz"),
+                (F.col("tix").isNotNull() & (F.col("c") + near >= F.lit(min_samples)))
+                .alias("core")))
+    core = texts.where("core").select("tix")
+    core_edges = (edges.join(core.withColumnRenamed("tix", "i"), "i", "left_semi")
+                  .join(core.withColumnRenamed("tix", "j"), "j", "left_semi")
+                  .select(F.col("i").alias("src"), F.col("j").alias("dst")))
+    comps = connected_components(core_edges).select(F.col("node").alias("tix"), "comp")
     # isolated core texts (enough copies on their own) are their own component
-    core_comp = (core.join(comps, "tid", "left")
-                 .select("tid", F.coalesce("comp", F.col("tid")).alias("comp")))
+    core_comp = (core.join(comps, "tix", "left")
+                 .select("tix", F.coalesce("comp", F.col("tix")).alias("comp")))
     # border texts: not core, adjacent to a core text -> lowest adjacent component
-    border = (nb.join(core_comp.select(F.col("tid").alias("b"), F.col("comp").alias("bc")), "b")
-              .join(texts.where(~F.col("core")).select(F.col("tid").alias("a")), "a")
+    border = (nb.join(core_comp.select(F.col("tix").alias("b"), F.col("comp").alias("bc")), "b")
+              .join(texts.where(~F.col("core")).select(F.col("tix").alias("a")), "a")
               .groupBy("a").agg(F.min("bc").alias("comp"))
-              .withColumnRenamed("a", "tid"))
+              .withColumnRenamed("a", "tix"))
     assigned = core_comp.unionByName(border)
     numbered = dense_index(core_comp.select("comp").distinct(), "comp", "cluster")
-    labels = assigned.join(numbered, "comp").select("tid", "cluster")
+    labels = assigned.join(numbered, "comp").select("tix", "cluster")
     # reference guard: an empty vocabulary puts every post in cluster 0
     empty_vocab = postings.agg(F.count(F.lit(1)) == 0).scalar()
-    texts_out = (texts.join(labels, "tid", "left")
+    texts_out = (texts.join(labels, "tix", "left").drop("tix")
                  .withColumn("cluster", F.when(empty_vocab, F.lit(0))
                              .otherwise(F.coalesce(F.col("cluster"), F.lit(NOISE)))))
     texts_out = cut_lineage(texts_out)
