@@ -355,7 +355,7 @@ def test_mix_comes_near_its_targets(spark, sf001):
     got = QUERIES["op7_mixing"](spark, big).join(
         spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "source"), "doc_id")
     off = got.groupBy("source").agg(F.sum("taken"), F.first("target")).collect()
-    assert all(abs(r[1] / r[2] - 1) < 0.25 for r in off)
+    assert all(abs(r[1] / r[2] - 1) < 0.05 for r in off)
     assert abs(sum(r[1] for r in off) / sum(r[2] for r in off) - 1) < 0.03
 
 
