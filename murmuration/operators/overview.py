@@ -68,20 +68,36 @@ def top_hashtags(df: DataFrame, k: int = 10, exclude_platform: str | None = "Med
             .orderBy(F.desc("frequency"), F.asc("hashtag")).limit(k))
 
 
+def calendar(ranges: DataFrame, bucket: str) -> DataFrame:
+    """Each row of ``ranges`` (``lo``, ``hi``, other columns) once per bucket from ``lo`` to
+    ``hi``, in a column named ``bucket``'s name.
+
+    Expanded by years, then within each year, so that a wrong year far off makes many short
+    arrays in many rows and not one long array."""
+    unit = F.expr(f"INTERVAL 1 {bucket}")
+    kind = ranges.schema["lo"].dataType
+    year = F.col("_year").cast(kind)
+    years = ranges.where(F.col("lo").isNotNull()).withColumn("_year", F.explode(F.sequence(
+        F.trunc("lo", "year"), F.trunc("hi", "year"), F.expr("INTERVAL 1 YEAR"))))
+    last = F.add_months(F.col("_year"), 12).cast(kind) - unit
+    return years.withColumn(bucket, F.explode(F.sequence(
+        F.greatest(F.col("lo"), year), F.least(F.col("hi"), last.cast(kind)), unit))) \
+        .drop("lo", "hi", "_year")
+
+
 def daily_volume(df: DataFrame, bucket: str = "day", ts_col: str = "Timestamp") -> DataFrame:
     """Posts per UTC bucket, zero-filled from the first to the last bucket.
 
-    The calendar comes from a one-row min/max aggregate expanded with ``sequence``; its size is
-    the length of the date range, not the number of posts.
+    The calendar comes from a one-row min/max aggregate; its size is the length of the date
+    range, not the number of posts.
     """
-    unit = {"day": "1 day", "hour": "1 hour"}[bucket]
+    if bucket not in ("day", "hour"):
+        raise ValueError(f"unknown bucket {bucket!r}")
     b = F.date_trunc(bucket, F.col(ts_col))
-    counts = df.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("posts"))
-    cal = (df.agg(F.min(b).alias("lo"), F.max(b).alias("hi"))
-           .where(F.col("lo").isNotNull())
-           .select(F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {unit}"))).alias("bucket")))
-    out = cal.join(counts, "bucket", "left").select(
-        "bucket", F.coalesce(F.col("posts"), F.lit(0)).cast("long").alias("posts"))
+    counts = df.groupBy(b.alias(bucket)).agg(F.count(F.lit(1)).alias("posts"))
+    cal = calendar(df.agg(F.min(b).alias("lo"), F.max(b).alias("hi")), bucket)
+    posts = F.coalesce(F.col("posts"), F.lit(0)).cast("long").alias("posts")
+    out = cal.join(counts, bucket, "left")
     if bucket == "day":
-        out = out.select(F.to_date("bucket").alias("day"), "posts")
-    return out
+        return out.select(F.to_date("day").alias("day"), posts)
+    return out.select(F.col(bucket).alias("bucket"), posts)

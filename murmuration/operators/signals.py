@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from murmuration.functions.stopwords import default_stop_words
 from murmuration.functions.text import handle, hashtags, is_nonblank, tokens
-from murmuration.operators.overview import daily_volume
+from murmuration.operators.overview import calendar, daily_volume
 from murmuration.operators.ranking import count_before, previous_in_group
 from murmuration.operators.simjoin import jaccard_pairs
+from murmuration.session import cut_lineage
 
 TIME_ORDER = "time_order"
 
@@ -57,9 +58,9 @@ def platform_spikes(posts: DataFrame, lookback: int = 7, z: float = 2.0,
     p = posts.where(F.col("Platform").isNotNull())
     day = F.to_date("Timestamp")
     counts = p.groupBy("Platform", day.alias("day")).agg(F.count(F.lit(1)).alias("posts"))
-    calendar = (counts.groupBy("Platform").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-                .select("Platform", F.explode(F.sequence("lo", "hi")).alias("day")))
-    vol = (calendar.join(counts, ["Platform", "day"], "left")
+    days = calendar(counts.groupBy("Platform").agg(F.min("day").alias("lo"),
+                                                   F.max("day").alias("hi")), "day")
+    vol = (days.join(counts, ["Platform", "day"], "left")
            .select("Platform", "day", F.coalesce("posts", F.lit(0)).cast("long").alias("posts")))
     # one row per platform and day
     w = Window.partitionBy("Platform").orderBy("day").rowsBetween(-lookback, -1)
@@ -108,59 +109,80 @@ def rapid_co_sharing(posts: DataFrame, window_hours: float = 6.0) -> DataFrame:
             .where(F.col("accounts") >= 2))
 
 
-def hashtag_overlap(posts: DataFrame, threshold: float = 0.5,
-                    hashtags_col: str | None = None) -> DataFrame:
-    """Groups of accounts with overlapping hashtag sets (Jaccard >= ``threshold``).
-
-    Accounts with an identical set of used hashtags are one *set group* (a hashtag used by a
-    third of all accounts makes many identical one-tag sets); the exact Jaccard join runs over
-    distinct sets only and the result is reported per set pair, with account counts and the
-    number of account pairs it stands for -- never one row per account pair. A set shared by
-    several accounts appears as its own pair (Jaccard 1). Tags come from the text, or from
-    ``hashtags_col`` (a comma- or space-separated list, with or without ``#``).
-    """
+def hashtag_sets(posts: DataFrame, hashtags_col: str | None = None) -> DataFrame:
+    """``(account, item)``: the distinct hashtags of every account, from the text or from
+    ``hashtags_col`` (a comma- or space-separated list, with or without ``#``)."""
     if hashtags_col:
         listed = F.split(F.lower(F.coalesce(F.col(hashtags_col), F.lit(""))), r"[,\s]+")
         tags = F.transform(F.filter(listed, lambda t: F.length(F.ltrim(t, F.lit("#"))) > 0),
                            lambda t: F.concat(F.lit("#"), F.ltrim(t, F.lit("#"))))
     else:
         tags = hashtags(F.col("text"))
-    used = posts.select(F.col("Influencer").alias("account"),
-                        F.explode(tags).alias("tag")).distinct()
-    acct = used.groupBy("account").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
-    groups = acct.groupBy(F.array_join("tags", " ").alias("set")) \
-        .agg(F.count(F.lit(1)).alias("accounts"), F.min("account").alias("example"),
-             F.first("tags").alias("tags"))
-    items = groups.select(F.col("set").alias("key"), F.explode("tags").alias("item"))
-    p = jaccard_pairs(items, threshold)
-    g1 = groups.select(F.col("set").alias("k1"), F.col("accounts").alias("accounts1"),
-                       F.col("example").alias("example1"))
-    g2 = groups.select(F.col("set").alias("k2"), F.col("accounts").alias("accounts2"),
-                       F.col("example").alias("example2"))
-    cross = p.join(g1, "k1").join(g2, "k2").select(
-        F.col("k1").alias("hashtags1"), F.col("k2").alias("hashtags2"), "accounts1", "accounts2",
-        "example1", "example2", "shared", F.round("jaccard", 6).alias("jaccard"),
-        (F.col("accounts1") * F.col("accounts2")).alias("account_pairs"))
-    same = groups.where(F.col("accounts") >= 2).select(
-        F.col("set").alias("hashtags1"), F.col("set").alias("hashtags2"),
-        F.col("accounts").alias("accounts1"), F.col("accounts").alias("accounts2"),
-        F.col("example").alias("example1"), F.col("example").alias("example2"),
-        F.size("tags").cast("long").alias("shared"), F.lit(1.0).alias("jaccard"),
-        (F.col("accounts") * (F.col("accounts") - 1) / 2).cast("long").alias("account_pairs"))
-    return cross.unionByName(same)
+    return posts.select(F.col("Influencer").alias("account"), F.explode(tags).alias("item")) \
+        .distinct()
 
 
-def content_overlap(posts: DataFrame, threshold: float = 0.5, stop_words=None) -> DataFrame:
-    """Account pairs whose vocabularies (distinct non-stop-word tokens of all their posts) have
-    Jaccard similarity >= ``threshold`` (exact prefix-filtered set join)."""
+def content_sets(posts: DataFrame, stop_words=None) -> DataFrame:
+    """``(account, item)``: the distinct non-stop-word tokens of all posts of every account."""
     stop = list(default_stop_words() if stop_words is None else stop_words)
-    sets = posts.select(F.col("Influencer").alias("key"),
+    sets = posts.select(F.col("Influencer").alias("account"),
                         F.explode(tokens(F.col("original_text"))).alias("item"))
-    if stop:
-        sets = sets.where(~F.col("item").isin(stop))
-    p = jaccard_pairs(sets, threshold)
-    return p.select(F.col("k1").alias("src"), F.col("k2").alias("dst"), "shared",
-                    F.round("jaccard", 6).alias("jaccard"))
+    return (sets.where(~F.col("item").isin(stop)) if stop else sets).distinct()
+
+
+def _prints(sets: DataFrame) -> DataFrame:
+    """``(account, items, h1, h2)``: size and 128-bit fingerprint of each account's distinct
+    items; a fixed-size state an account, so no set is collected."""
+    return sets.groupBy("account").agg(F.count(F.lit(1)).alias("items"),
+                                       F.bit_xor(F.xxhash64("item")).alias("h1"),
+                                       F.bit_xor(F.xxhash64(F.lit(1), "item")).alias("h2"))
+
+
+def set_members(sets: DataFrame) -> DataFrame:
+    """``(account, example, items)``: accounts with equal sets share the ``example`` account (the
+    smallest of them), the class that ``set_overlap`` reports."""
+    prints = _prints(sets)
+    keys = ["items", "h1", "h2"]
+    least = prints.groupBy(*keys).agg(F.min("account").alias("example"))
+    return prints.join(least, keys).select("account", "example", "items")
+
+
+def set_overlap(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of overlapping sets (Jaccard >= ``threshold``) from distinct ``(account, item)`` rows.
+
+    Accounts with equal sets are one class, named by its smallest account (a hashtag used by a
+    third of all accounts makes many equal one-tag sets). The exact Jaccard join runs over one
+    set a class; a row stands for ``account_pairs`` pairs of accounts. A class of several
+    accounts is also a pair with itself (Jaccard 1). ``set_members`` gives each account's class.
+    """
+    classes = cut_lineage(_prints(sets).groupBy("items", "h1", "h2").agg(
+        F.min("account").alias("example"), F.count(F.lit(1)).alias("accounts"))
+        .select("example", "items", "accounts"))
+    one = sets.join(classes.select(F.col("example").alias("account")), "account", "left_semi")
+    p = jaccard_pairs(one, threshold, "account", "item")
+    side = [classes.select(*[F.col(c).alias(f"{c}{k}") for c in classes.columns]) for k in (1, 2)]
+    cross = p.join(side[0], F.col("k1") == F.col("example1")) \
+        .join(side[1], F.col("k2") == F.col("example2")) \
+        .withColumn("account_pairs", F.col("accounts1") * F.col("accounts2"))
+    same = (side[0].where("accounts1 >= 2")
+            .select("*", *[F.col(f"{c}1").alias(f"{c}2") for c in classes.columns])
+            .withColumn("shared", F.col("items1")).withColumn("jaccard", F.lit(1.0))
+            .withColumn("account_pairs",
+                        (F.col("accounts1") * (F.col("accounts1") - 1) / 2).cast("long")))
+    cols = ["example1", "example2", "items1", "items2", "accounts1", "accounts2", "shared",
+            F.round("jaccard", 6).alias("jaccard"), "account_pairs"]
+    return cross.select(*cols).unionByName(same.select(*cols))
+
+
+def hashtag_overlap(posts: DataFrame, threshold: float = 0.5,
+                    hashtags_col: str | None = None) -> DataFrame:
+    """Groups of accounts with overlapping hashtag sets (see ``set_overlap``)."""
+    return set_overlap(hashtag_sets(posts, hashtags_col), threshold)
+
+
+def content_overlap(posts: DataFrame, threshold: float = 0.5, stop_words=None) -> DataFrame:
+    """Groups of accounts with overlapping vocabularies (see ``set_overlap``)."""
+    return set_overlap(cut_lineage(content_sets(posts, stop_words)), threshold)
 
 
 def mention_edges(posts: DataFrame) -> DataFrame:

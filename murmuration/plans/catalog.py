@@ -456,11 +456,21 @@ def q_hashtag_overlap(spark, sf_dir):
     return signals.hashtag_overlap(posts(spark, sf_dir), HASHTAG_JACCARD)
 
 
+@register("hashtag_members")
+def q_hashtag_members(spark, sf_dir):
+    return signals.set_members(signals.hashtag_sets(posts(spark, sf_dir)))
+
+
 @register("content_overlap")
 def q_content_overlap(spark, sf_dir):
     return signals.content_overlap(posts(spark, sf_dir), CONTENT_JACCARD)
 
 
+@register("content_members")
+def q_content_members(spark, sf_dir):
+    return signals.set_members(signals.content_sets(posts(spark, sf_dir)))
+
+
 @register("mention_edges")
 def q_mention_edges(spark, sf_dir):
     return signals.mention_edges(event_posts(spark, sf_dir))

@@ -315,40 +315,41 @@ FROM (SELECT *, sum(starts) OVER (PARTITION BY URL ORDER BY "Timestamp", post_id
 GROUP BY URL, burst HAVING count(DISTINCT Influencer) >= 2"""))
 
 
-def _jaccard_sql(sets: str, t: float) -> str:
-    return f"""WITH RECURSIVE {POSTS_CTE.strip()},
+def _classes_sql(sets: str) -> str:
+    """CTEs: ``sets`` (account, item), ``acct`` with each account's set, ``g`` one row a set."""
+    return f"""
 sets AS ({sets}),
-sz AS (SELECT k, count(*) AS n FROM sets GROUP BY k),
-sh AS (SELECT a.k AS k1, b.k AS k2, count(*) AS shared FROM sets a JOIN sets b
-       ON a.it = b.it AND a.k < b.k GROUP BY 1, 2)
-SELECT k1 AS src, k2 AS dst, shared, round(j, 6) AS jaccard FROM (
-  SELECT sh.*, shared / (s1.n + s2.n - shared) AS j FROM sh
-  JOIN sz s1 ON s1.k = sh.k1 JOIN sz s2 ON s2.k = sh.k2) WHERE j >= {t}"""
-
-
-from murmuration.plans.sqlparts import POSTS_CTE  # noqa: E402
-
-oracle("hashtag_overlap", with_posts(f"""
-SELECT hashtags1, hashtags2, accounts1, accounts2, example1, example2, shared, jaccard,
-       account_pairs FROM (
-  SELECT a.s AS hashtags1, b.s AS hashtags2, a.n AS accounts1, b.n AS accounts2,
-         a.ex AS example1, b.ex AS example2, x.shared,
-         round(x.shared / (len(a.tags) + len(b.tags) - x.shared), 6) AS jaccard,
-         a.n * b.n AS account_pairs
-  FROM (SELECT a.s AS s1, b.s AS s2, count(*) AS shared FROM gi a JOIN gi b
-        ON a.t = b.t AND a.s < b.s GROUP BY 1, 2) x
-  JOIN g a ON a.s = x.s1 JOIN g b ON b.s = x.s2)
-WHERE jaccard >= {C.HASHTAG_JACCARD}
+acct AS (SELECT account, list_sort(list(item)) AS s FROM sets GROUP BY account),
+g AS (SELECT s, min(account) AS ex, count(*) AS n, len(s) AS items FROM acct GROUP BY s)"""
+
+
+def _overlap_sql(sets: str, t: float) -> tuple[str, str]:
+    return f"""
+SELECT a.ex AS example1, b.ex AS example2, a.items AS items1, b.items AS items2,
+       a.n AS accounts1, b.n AS accounts2, shared,
+       round(shared / (a.items + b.items - shared), 6) AS jaccard, a.n * b.n AS account_pairs
+FROM (SELECT a.ex AS x1, b.ex AS x2, count(*) AS shared FROM gi a JOIN gi b
+      ON a.item = b.item AND a.ex < b.ex GROUP BY 1, 2)
+JOIN g a ON a.ex = x1 JOIN g b ON b.ex = x2
+WHERE shared / (a.items + b.items - shared) >= {t}
 UNION ALL
-SELECT s, s, n, n, ex, ex, len(tags), 1.0, n * (n - 1) // 2 FROM g WHERE n >= 2""", f"""
-used AS (SELECT DISTINCT Influencer AS account, unnest({hashtags('text')}) AS tag FROM posts),
-acct AS (SELECT account, list_sort(list(tag)) AS tags FROM used GROUP BY account),
-g AS (SELECT array_to_string(tags, ' ') AS s, count(*) AS n, min(account) AS ex,
-             first(tags) AS tags FROM acct GROUP BY 1),
-gi AS (SELECT s, unnest(tags) AS t FROM g)"""))
-oracle("content_overlap", _jaccard_sql(
-    f"SELECT DISTINCT k, it FROM (SELECT Influencer AS k, unnest({tok_sql('original_text')}) AS it "
-    f"FROM posts) WHERE NOT list_contains({stop_words_list()}, it)", C.CONTENT_JACCARD))
+SELECT ex, ex, items, items, n, n, items, 1.0, n * (n - 1) // 2 FROM g WHERE n >= 2""", \
+        _classes_sql(sets) + ", gi AS (SELECT ex, unnest(s) AS item FROM g)"
+
+
+def _members_sql(sets: str) -> tuple[str, str]:
+    return ("SELECT account, ex AS example, items FROM acct JOIN g USING (s)", _classes_sql(sets))
+
+
+HASHTAG_SETS = f"SELECT DISTINCT Influencer AS account, unnest({hashtags('text')}) AS item FROM posts"
+CONTENT_SETS = (
+    f"SELECT DISTINCT account, item FROM (SELECT Influencer AS account, "
+    f"unnest({tok_sql('original_text')}) AS item FROM posts) "
+    f"WHERE NOT list_contains({stop_words_list()}, item)")
+oracle("hashtag_overlap", with_posts(*_overlap_sql(HASHTAG_SETS, C.HASHTAG_JACCARD)))
+oracle("hashtag_members", with_posts(*_members_sql(HASHTAG_SETS)))
+oracle("content_overlap", with_posts(*_overlap_sql(CONTENT_SETS, C.CONTENT_JACCARD)))
+oracle("content_members", with_posts(*_members_sql(CONTENT_SETS)))
 # Handles and retweet markers of the raw text, written without the operators' patterns.
 HANDLE = "[[:word:]\\p{L}\\p{N}]+"
 oracle("mention_edges", with_event_posts(

@@ -47,7 +47,33 @@ def test_social_columns_of_the_source(spark):
     got = {r["Influencer"]: (r["mentions"], r["retweet_from"]) for r in p.collect()}
     assert got == {"A": (["x", "y", "z"], "who"), "B": ([], None)}
     pair = signals.hashtag_overlap(p, hashtags_col="hashtags").first()
-    assert pair["hashtags1"] == "#a #b" and pair["accounts1"] == 2
+    assert pair["example1"] == "A" and pair["items1"] == 2 and pair["accounts1"] == 2
+
+
+def test_equal_sets_are_one_class(spark):
+    rows = [(f"u{k:03}", "a") for k in range(100)] + [("v", x) for x in "ab"] + \
+        [("w", x) for x in "bcd"] + [("x", x) for x in "bcde"]
+    sets = spark.createDataFrame(rows, "account string, item string")
+    got = {(r["example1"], r["example2"]): (r["shared"], r["jaccard"], r["account_pairs"])
+           for r in signals.set_overlap(sets, 0.5).collect()}
+    assert got == {("u000", "u000"): (1, 1.0, 4950), ("u000", "v"): (1, 0.5, 100),
+                   ("w", "x"): (3, 0.75, 1)}
+    members = {r["account"]: (r["example"], r["items"])
+               for r in signals.set_members(sets).collect()}
+    assert members["u042"] == ("u000", 1) and members["x"] == ("x", 4) and len(members) == 103
+
+
+def test_a_far_off_year_makes_no_long_array(spark):
+    p = spark.createDataFrame([("0001-01-02 00:00:00",), ("2024-02-29 10:00:00",)], "t string") \
+        .select(F.to_timestamp("t").alias("Timestamp"))
+    got = overview.daily_volume(p).agg(F.count(F.lit(1)), F.countDistinct("day"), F.sum("posts"),
+                              F.min("day"), F.max("day")).first()
+    assert got[0] == got[1] == (dt.date(2024, 2, 29) - dt.date(1, 1, 2)).days + 1
+    assert got[2] == 2 and got[3] == dt.date(1, 1, 2) and got[4] == dt.date(2024, 2, 29)
+    late = p.where("Timestamp > '2000-01-01'").unionByName(
+        spark.sql("SELECT timestamp '2024-03-01 01:30:00' AS Timestamp"))
+    hours = overview.daily_volume(late, "hour").orderBy("bucket").collect()
+    assert len(hours) == 16 and [hours[0]["posts"], hours[-1]["posts"]] == [1, 1]
 
 
 def test_bursts(spark):
