@@ -1,13 +1,18 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-Every non-blank line is hashed (128 bits). A line in two or more documents links each later one
-to the earliest document that holds it, so a line of k documents gives k - 1 links however
-frequent it is: no list of all holders and no pairs among them. All links of a later document
-to one earlier document are then aligned by patience diff over the shared lines: lines unique
-in both, longest increasing run of them, the same again between the anchors. Maximal runs of
-aligned lines that are consecutive in both documents are blocks; a block of ``min_words`` or
-more words is evidence (rarer than chance words such as a one-word line) and is deleted from
-the later document. What is left of the pair is aligned again, so moved blocks go as well.
+Every minimal run of consecutive non-blank lines that reaches ``min_words`` words is hashed (128
+bits), from each line on and from each line back; a line of that many words is a run by itself.
+A run in two or more documents links each later one to the earliest document that holds it, so
+a run of k documents gives k - 1 links however frequent it is: no list of all holders and no
+pairs among them. The lines of all runs that link a later document to one earlier document are
+then aligned by patience diff: lines unique in both, longest increasing run of them, the same
+again between the anchors. Maximal runs of aligned lines that are consecutive in both documents
+are blocks; a block of ``min_words`` or more words is evidence (rarer than chance words such as
+a one-word line) and is deleted from the later document. Runs that the alignment leaves, moved
+or repeated ones, go as well.
+
+Each line of a block that a document shares with any earlier one lies in a minimal run of that
+block, and the run's earliest holder is linked: the result is that of aligning all pairs.
 
 Documents are ordered by id (nulls last), then by a hash of their text. Rows with equal id and
 text are one document here: all are edited alike, and none is later than the other. Null text
@@ -21,6 +26,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,17 +100,36 @@ def aligned_blocks(later: list[tuple[int, int, int]], earlier: list[tuple[int, i
                    min_words: int) -> list[int]:
     """Positions to delete. ``later``: (position, line, words), ``earlier``: (position, line).
 
-    What is left is aligned again until nothing more is deleted, which finds moved blocks.
+    Blocks that the alignment leaves, since they moved or repeat, go by their shared runs.
     """
     later, earlier = sorted(later), sorted(earlier)
-    out: list[int] = []
-    while later:
-        gone = _blocks(later, earlier, min_words)
-        if not gone:
-            break
-        out += gone
-        taken = set(gone)
-        later = [x for x in later if x[0] not in taken]
+    return sorted({*_blocks(later, earlier, min_words),
+                   *_shared_runs(later, earlier, min_words)})
+
+
+def _shared_runs(later: list[tuple[int, int, int]], earlier: list[tuple[int, int]],
+                 min_words: int) -> set[int]:
+    """Positions in minimal runs (from a line on, or back from it) that ``earlier`` holds."""
+    known: dict[int, set[tuple]] = {}
+
+    def held(i: int, n: int) -> bool:
+        if n not in known:
+            known[n] = {tuple(x[1] for x in earlier[k:k + n])
+                        for k in range(len(earlier) - n + 1)
+                        if earlier[k + n - 1][0] - earlier[k][0] == n - 1}
+        return tuple(x[1] for x in later[i:i + n]) in known[n]
+
+    out: set[int] = set()
+    for i in range(len(later)):
+        for step in (1, -1):
+            j, words = i, later[i][2]
+            while words < min_words and 0 <= j + step < len(later) \
+                    and later[j + step][0] == later[j][0] + step:
+                j += step
+                words += later[j][2]
+            lo, hi = min(i, j), max(i, j)
+            if words >= min_words and held(lo, hi - lo + 1):
+                out.update(x[0] for x in later[lo:hi + 1])
     return out
 
 
@@ -134,15 +159,64 @@ def _mask(links: list[dict], min_words: int) -> list[bool]:
         by_doc.setdefault(tuple(x["first"].values()), []).append(x)
     gone: set[int] = set()
     for group in by_doc.values():
-        later = [(p, n, x["words"]) for n, x in enumerate(group) for p in x["at"]]
-        earlier = [(p, n) for n, x in enumerate(group) for p in x["base"]]
-        gone.update(aligned_blocks(later, earlier, min_words))
+        later: dict[int, tuple[int, int]] = {}
+        earlier: dict[int, int] = {}
+        for x in group:
+            for p in x["at"]:
+                later.update(enumerate(zip(x["lines"], x["words"], strict=True), p))
+            for q in x["base"]:
+                earlier.update(enumerate(x["lines"], q))
+        gone.update(aligned_blocks([(p, *v) for p, v in later.items()], list(earlier.items()),
+                                   min_words))
     mask = [False] * (max(gone, default=-1) + 1)
     for p in gone:
         mask[p] = True
     return mask
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _run_rows(batch: pa.RecordBatch, min_words: int) -> pa.RecordBatch:
+    """A row per minimal run of consecutive lines: from each line on until ``min_words`` words,
+    and from each line back, where that is another run."""
+    lists = batch.column(1)
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten()
+    pos, words, a, b = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+    n = len(pos)
+    doc = np.repeat(np.arange(len(size)), size)
+    end = np.cumsum(size)[doc]
+    begin = end - size[doc]
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])   # of the lines before
+    i = np.arange(n)
+    on = np.searchsorted(total, total[:-1] + min_words)
+    back = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    ahead = on <= end
+    # a run back is new if it reaches min_words without its last line as well
+    behind = (back >= begin) & (total[i] - total[np.maximum(back, 0)] >= min_words)
+    start = np.concatenate([i[ahead], back[behind]])
+    count = np.concatenate([(on - i)[ahead], (i + 1 - back)[behind]])
+    whole = pos[start + count - 1] - pos[start] == count - 1
+    start, count = start[whole], count[whole]
+    h1, h2 = a[start].astype(np.uint64), b[start].astype(np.uint64)
+    for k in range(1, int(count.max(initial=1))):
+        more = count > k
+        at = start[more] + k
+        for h, line in ((h1, a), (h2, b)):
+            x = (h[more] ^ (h[more] >> np.uint64(29))) * _MIX
+            h[more] = (x ^ (x >> np.uint64(32))) + line[at].astype(np.uint64) * (_MIX ^ np.uint64(k << 1))
+    offsets = np.concatenate([[0], np.cumsum(count)])
+    each = np.repeat(start - offsets[:-1], count) + np.arange(offsets[-1])
+    offsets = pa.array(offsets, pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0).take(pa.array(doc[start])), pa.array(pos[start], pa.int32()),
+         pa.ListArray.from_arrays(offsets, pa.array(words[each], pa.int32())),
+         pa.ListArray.from_arrays(offsets, pa.array(a[each], pa.int64())),
+         pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+        names=["doc", "pos", "words", "lines", "h1", "h2"])
+
+
 def document_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
     """Order of documents; no part of it is null."""
     kind = docs.schema[id_col].dataType
@@ -154,25 +228,33 @@ def document_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc, mask)``: per later document, which of its lines (from 0) are deleted."""
-    doc = document_key(docs, id_col, text_col)
-    line = F.col("line")
-    lines = written(docs.select(doc.alias("doc"),
-                                F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
-                    .withColumn("words", word_count(line).cast("int")).where("words > 0")
-                    .select("doc", "pos", "words", F.xxhash64(line).alias("h1"),
-                            F.xxhash64(F.lit(1), line).alias("h2")))
+    def split(line: Column, pos: Column) -> Column:
+        return F.struct(pos.alias("pos"), word_count(line).cast("int").alias("words"),
+                        F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _run_rows(batch, min_words)
+
+    held_lines = docs.where(F.col(text_col).isNotNull()).select(
+        document_key(docs, id_col, text_col).alias("doc"),
+        F.filter(F.transform(F.split(text_col, "\n", -1), split), lambda x: x["words"] > 0)
+        .alias("lines"))
+    kind = held_lines.schema["doc"].dataType.simpleString()
+    lines = written(held_lines.mapInArrow(
+        cut, f"doc {kind}, pos int, words array<int>, lines array<bigint>, h1 bigint, h2 bigint"))
     shared = written(lines.groupBy("h1", "h2")
                      .agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
                      .where("first < last").select("h1", "h2", "first"))
     # written before the join and before grouping, so that no aggregation shares the join's
-    # partitioning and Spark can split the rows of a very frequent line
+    # partitioning and Spark can split the rows of a very frequent run
     found = written(lines.join(shared, ["h1", "h2"]))
-    held = written(found.groupBy("h1", "h2", "first", "doc")    # a document's repeats of a line
+    held = written(found.groupBy("h1", "h2", "first", "doc")    # a document's repeats of a run
                    .agg(F.sort_array(F.collect_set("pos")).alias("at"),
-                        F.first("words").alias("words")))
+                        F.first("lines").alias("lines"), F.first("words").alias("words")))
     base = held.where("doc = first").select("h1", "h2", F.col("at").alias("base"))
     links = (held.where("doc > first").join(base, ["h1", "h2"])
-             .groupBy("doc").agg(F.collect_list(F.struct("first", "at", "base", "words"))
+             .groupBy("doc").agg(F.collect_list(F.struct("first", "at", "base", "lines", "words"))
                                  .alias("links")))         # of one document's lines
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +263,6 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(masks, pa.list_(pa.bool_()))], names=["doc", "mask"])
 
-    kind = links.schema["doc"].dataType.simpleString()
     return links.mapInArrow(run, f"doc {kind}, mask array<boolean>").where(F.size("mask") > 0)
 
 

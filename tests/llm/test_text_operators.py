@@ -460,6 +460,37 @@ def test_patience_aligns_in_order_and_finds_moves():
     assert line_dedup.aligned_blocks([(0, "a", 2), (1, "b", 2)], [(0, "a"), (1, "b")], 4) == [0, 1]
 
 
+def plain_all_pairs(texts, min_words=line_dedup.MIN_WORDS):
+    """Lines left per document, each aligned with every earlier document."""
+    numbered = [[(k, x, len(WORD.findall(x))) for k, x in enumerate(t.split("\n")) if x.strip()]
+                for t in texts]
+    out = []
+    for n, (text, later) in enumerate(zip(texts, numbered, strict=True)):
+        gone = {p for earlier in numbered[:n] for p in line_dedup.aligned_blocks(
+            later, [x[:2] for x in earlier], min_words)}
+        out.append("\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
+    return out
+
+
+def test_line_dedup_aligns_a_pair_whose_short_lines_have_other_holders(spark):
+    verse = [f"v{k} a b" for k in range(20)]
+    texts = [f"{v}\nfiller of document {k} here" for k, v in enumerate(verse)]
+    texts += ["\n".join(["own words of the holder", *verse]),
+              "\n".join([*verse, "own words of the copy"]),
+              "\n".join(["w0 w1 w2 w3 w4", "tail"]), "w0 w1 w2 w3 w4",
+              "\n".join(["w0 w1 w2 w3 w4", "end"]), "\n".join(["w0 w1 w2 w3 w4", "end", "x y z"]),
+              "a\nb\nc c c c\na\nd\nc c c c", "a\nd\nc c c c"]
+    rng = random.Random(11)
+    vocabulary = ["a", "b b", "c c c", "d d d d", "e e e e e", "f"]
+    texts += ["\n".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 9)))
+              for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = [r["text"] for r in line_dedup.dedup_lines(df).orderBy("doc_id").collect()]
+    assert got[21] == "own words of the copy"
+    assert got[25] == "x y z" and got[27] == ""
+    assert got == plain_all_pairs(texts)
+
+
 # ------------------------------------------------------------------ all
 
 def test_empty_tables(empty):
