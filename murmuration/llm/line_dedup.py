@@ -9,7 +9,7 @@ then aligned by patience diff: lines unique in both, longest increasing run of t
 again between the anchors. Maximal runs of aligned lines that are consecutive in both documents
 are blocks; a block of ``min_words`` or more words is evidence (rarer than chance words such as
 a one-word line) and is deleted from the later document. Runs that the alignment leaves, moved
-or repeated ones, go as well.
+or repeated ones, go as well. Blank lines do not count: lines are consecutive if only blank ones lie between.
 
 Each line of a block that a document shares with any earlier one lies in a minimal run of that
 block, and the run's earliest holder is linked: the result is that of aligning all pairs.
@@ -161,13 +161,15 @@ def _mask(links: list[dict], min_words: int) -> list[bool]:
     for group in by_doc.values():
         later: dict[int, tuple[int, int]] = {}
         earlier: dict[int, int] = {}
+        raw: dict[int, int] = {}
         for x in group:
-            for p in x["at"]:
-                later.update(enumerate(zip(x["lines"], x["words"], strict=True), p))
+            for at in x["at"]:
+                later.update(enumerate(zip(x["lines"], x["words"], strict=True), at["pos"]))
+                raw.update(enumerate(at["raw"], at["pos"]))
             for q in x["base"]:
                 earlier.update(enumerate(x["lines"], q))
-        gone.update(aligned_blocks([(p, *v) for p, v in later.items()], list(earlier.items()),
-                                   min_words))
+        gone.update(raw[p] for p in aligned_blocks(
+            [(p, *v) for p, v in later.items()], list(earlier.items()), min_words))
     mask = [False] * (max(gone, default=-1) + 1)
     for p in gone:
         mask[p] = True
@@ -179,12 +181,13 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def _run_rows(batch: pa.RecordBatch, min_words: int) -> pa.RecordBatch:
     """A row per minimal run of consecutive lines: from each line on until ``min_words`` words,
-    and from each line back, where that is another run."""
+    and from each line back, where that is another run. ``pos`` counts the non-blank lines,
+    ``raw`` has each line's place among all."""
     lists = batch.column(1)
     size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     flat = lists.flatten()
-    pos, words, a, b = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-    n = len(pos)
+    raw, words, a, b = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+    n = len(raw)
     doc = np.repeat(np.arange(len(size)), size)
     end = np.cumsum(size)[doc]
     begin = end - size[doc]
@@ -197,8 +200,6 @@ def _run_rows(batch: pa.RecordBatch, min_words: int) -> pa.RecordBatch:
     behind = (back >= begin) & (total[i] - total[np.maximum(back, 0)] >= min_words)
     start = np.concatenate([i[ahead], back[behind]])
     count = np.concatenate([(on - i)[ahead], (i + 1 - back)[behind]])
-    whole = pos[start + count - 1] - pos[start] == count - 1
-    start, count = start[whole], count[whole]
     h1, h2 = a[start].astype(np.uint64), b[start].astype(np.uint64)
     for k in range(1, int(count.max(initial=1))):
         more = count > k
@@ -210,11 +211,12 @@ def _run_rows(batch: pa.RecordBatch, min_words: int) -> pa.RecordBatch:
     each = np.repeat(start - offsets[:-1], count) + np.arange(offsets[-1])
     offsets = pa.array(offsets, pa.int32())
     return pa.RecordBatch.from_arrays(
-        [batch.column(0).take(pa.array(doc[start])), pa.array(pos[start], pa.int32()),
+        [batch.column(0).take(pa.array(doc[start])), pa.array((i - begin)[start], pa.int32()),
+         pa.ListArray.from_arrays(offsets, pa.array(raw[each], pa.int32())),
          pa.ListArray.from_arrays(offsets, pa.array(words[each], pa.int32())),
          pa.ListArray.from_arrays(offsets, pa.array(a[each], pa.int64())),
          pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-        names=["doc", "pos", "words", "lines", "h1", "h2"])
+        names=["doc", "pos", "raw", "words", "lines", "h1", "h2"])
 
 
 def document_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -229,7 +231,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   min_words: int = MIN_WORDS) -> DataFrame:
     """``(doc, mask)``: per later document, which of its lines (from 0) are deleted."""
     def split(line: Column, pos: Column) -> Column:
-        return F.struct(pos.alias("pos"), word_count(line).cast("int").alias("words"),
+        return F.struct(pos.alias("raw"), word_count(line).cast("int").alias("words"),
                         F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +244,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .alias("lines"))
     kind = held_lines.schema["doc"].dataType.simpleString()
     lines = written(held_lines.mapInArrow(
-        cut, f"doc {kind}, pos int, words array<int>, lines array<bigint>, h1 bigint, h2 bigint"))
+        cut, f"doc {kind}, pos int, raw array<int>, words array<int>, lines array<bigint>, h1 bigint, h2 bigint"))
     shared = written(lines.groupBy("h1", "h2")
                      .agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
                      .where("first < last").select("h1", "h2", "first"))
@@ -250,9 +252,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # partitioning and Spark can split the rows of a very frequent run
     found = written(lines.join(shared, ["h1", "h2"]))
     held = written(found.groupBy("h1", "h2", "first", "doc")    # a document's repeats of a run
-                   .agg(F.sort_array(F.collect_set("pos")).alias("at"),
+                   .agg(F.sort_array(F.collect_set(F.struct("pos", "raw"))).alias("at"),
                         F.first("lines").alias("lines"), F.first("words").alias("words")))
-    base = held.where("doc = first").select("h1", "h2", F.col("at").alias("base"))
+    base = held.where("doc = first").select("h1", "h2", F.col("at.pos").alias("base"))
     links = (held.where("doc > first").join(base, ["h1", "h2"])
              .groupBy("doc").agg(F.collect_list(F.struct("first", "at", "base", "lines", "words"))
                                  .alias("links")))         # of one document's lines

@@ -491,6 +491,18 @@ def test_line_dedup_aligns_a_pair_whose_short_lines_have_other_holders(spark):
     assert got == plain_all_pairs(texts)
 
 
+def test_line_dedup_reads_past_blank_lines(spark):
+    verse = [f"v{k} a b" for k in range(12)]
+    texts = ["\n".join(verse), "\n\n".join(["own words here", *verse]),
+             "\n".join(["one", *verse[:6], " \t", *verse[6:], "two"]), "\n\nv3 a b\n\nend"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, mask_col="mask").collect()}
+    assert got[0]["text"] == texts[0] and got[3]["text"] == texts[3]
+    assert got[1]["text"].split("\n") == ["own words here"] + [""] * 12
+    assert [k for k, x in enumerate(got[1]["mask"]) if x] == list(range(2, 25, 2))
+    assert got[2]["text"] == "one\n \t\ntwo"
+
+
 # ------------------------------------------------------------------ all
 
 def test_empty_tables(empty):
