@@ -3,8 +3,9 @@
 Candidates are the base kinds (assignments, access keys, long hex) and ``generic`` tokens: 24 or
 more of ``[A-Za-z0-9+/_-]`` with a digit, an upper-case and a lower-case letter. Every
 candidate's value is hashed, and per hash the distinct repositories and owners holding it are
-counted over the whole corpus. A value held by ``example_owners`` or more owners is a widely
-copied example; a value of fewer owners looks live. Base spans are always reported; a generic
+counted over the whole corpus. A value held by ``example_owners`` or more owners, or in
+``example_repos`` or more repositories of however few owners, is a widely copied example; any
+other value looks live. A repository belongs to its owner: one id under two owners is two. Base spans are always reported; a generic
 span only if it looks live and overlaps no base span.
 
 Positions come from splitting a text at the matches: a match starts where the lengths of all
@@ -94,9 +95,10 @@ def _join_spans(spans: Column) -> Column:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          owner_col: str = "source", repo_col: str = "doc_id",
-         example_owners: int = 3) -> DataFrame:
-    """One row per document: id, ``base`` and ``added`` spans (arrays of start, kind, end), and
-    ``live`` / ``examples``, the spans by verdict of their value."""
+         example_owners: int = 3, example_repos: int = 10) -> DataFrame:
+    """One row per document: id, ``base`` and ``added`` spans (arrays of start, kind, end, live,
+    and the value's owners and repos), and ``live`` / ``examples``, the spans by verdict of
+    their value."""
     text = nonnull_text(text_col)
     base, generic = candidates(text)
     found = written(docs.select(F.col(id_col).alias("_id"), F.col(owner_col).alias("owner"),
@@ -111,8 +113,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            .select("_row", "owner", "repo", F.sha2("span.value", 256).alias("digest"),
                    F.struct("span.start", "span.kind", "span.end").alias("span")))
     judged = one.join(ownership(one), "digest").withColumn(
-        "live", F.col("owners") < example_owners)
-    spans = F.collect_list(F.struct("span.*", "live"))   # of one document
+        "live", (F.col("owners") < example_owners) & (F.col("repos") < example_repos))
+    spans = F.collect_list(F.struct("span.*", "live", "owners", "repos"))   # of one document
     per_row = judged.groupBy("_row").agg(spans.alias("spans"))
     is_base = [F.filter(F.col("spans"), c) for c in (
         lambda x: x["kind"] < 3, lambda x: (x["kind"] == 3) & x["live"],
@@ -120,7 +122,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = dict(zip(("base", "added", "live", "examples"), is_base, strict=True))
     return (found.select("_row", "_id").join(per_row, "_row", "left")
             .withColumn("spans", F.coalesce("spans", F.array().cast(
-                "array<struct<start:bigint,kind:int,end:bigint,live:boolean>>")))
+                "array<struct<start:bigint,kind:int,end:bigint,live:boolean,owners:bigint,"
+                "repos:bigint>>")))
             .select(F.col("_id").alias(id_col), *[c.alias(n) for n, c in named.items()]))
 
 

@@ -213,6 +213,23 @@ def test_secret_spans_and_ownership(spark):
                for k in range(4))                                   # four owners: an example
 
 
+def test_a_value_in_many_repositories_of_one_owner_is_an_example(spark):
+    many, few = "Zz8" + "q" * 24, "Yy7" + "r" * 24
+    rows = [(k, f"x {many}", "hot") for k in range(10)] * 2
+    rows += [(100 + k, f"x {few} password={'p' * 8}{k}", "hot") for k in range(9)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secrets.scan(docs)
+    for r in got.collect():
+        if r["doc_id"] < 100:
+            assert r["live"] == r["added"] == []
+            assert [(x["owners"], x["repos"]) for x in r["examples"]] == [(1, 10)]
+        else:
+            assert [(x["owners"], x["repos"]) for x in r["live"]] in ([(1, 9), (1, 1)],
+                                                                      [(1, 1), (1, 9)])
+    spans = {r["doc_id"]: r["spans"] for r in secrets.report(got).collect()}
+    assert spans[0] == "" and spans[100].startswith("generic:2:29,")
+
+
 def test_secrets_plan_has_no_python(docs):
     plan = secrets.scan(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
