@@ -6,8 +6,12 @@ Texts are read as runs of ASCII letters, digits and non-ASCII bytes, in lower ca
 shares a kept hash. The templates' kept hashes form an inverted index (hash to template and
 position). A document's hits name candidate templates and diagonals; around each diagonal a
 local alignment limited to a band of ``BAND`` words reports how much of the template is matched
-and where. Matches below ``min_coverage`` are dropped, and of overlapping ones the one with the
-most matched words stays.
+and where. Coverage is the matched part of the template's words and the words put in between;
+matches below ``min_coverage`` are dropped. So are matches without a deciding word of the
+template (a license's name or version), or with one the template lacks ("Lesser", "NC"): these
+are a sibling. Of overlapping matches the one with the most matched words stays, less half a
+word for each word left out or put in. Long templates are aligned only around diagonals with a
+hit for every ``RARE`` of their kept hashes: chance phrases would cost an alignment each.
 
 The index is built from the template list alone (a parameter of known size, shipped with the
 task); documents stream through it whole, row by row, with no shuffle. Null and empty texts
@@ -17,8 +21,10 @@ have no match. Repeated rows are scanned alike.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -28,8 +34,11 @@ from pyspark.sql import functions as F
 
 K, WINDOW, BAND = 3, 3, 8
 MIN_COVERAGE = 0.8
+RARE = 20
+SHORT, LONG = 30, 120         # words: every number decides up to SHORT, names up to LONG
 
-# Short notices and opening passages of well-known public licenses.
+# Short notices and opening passages of well-known public licenses. What follows
+# a # in a name tells wordings of one license apart and is not reported.
 TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": (
@@ -40,7 +49,7 @@ TEMPLATES: dict[str, str] = {
         "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See "
         "the License for the specific language governing permissions and limitations under the "
         "License."),
-    "BSD-3-Clause": (
+    "BSD-opening": (                 # of every BSD license
         "Redistribution and use in source and binary forms, with or without modification, are "
         "permitted provided that the following conditions are met:"),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -63,6 +72,72 @@ TEMPLATES: dict[str, str] = {
         "http://mozilla.org/MPL/2.0/."),
 }
 
+_GNU = {"GPL": "General", "LGPL": "Lesser General", "AGPL": "Affero General",
+        "LGPL-2.0": "Library General"}
+_NAMED = {
+    "0BSD": ["BSD Zero Clause License", "0BSD License"],
+    "Apache-1.1": ["Apache License, Version 1.1", "Apache Software License, Version 1.1"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "Artistic-1.0": ["Artistic License 1.0"], "Artistic-2.0": ["Artistic License 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License",
+                     "Modified BSD License"],
+    "BSD-4-Clause": ["BSD 4-Clause License", "4-Clause BSD License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "CC0-1.0": ["CC0 1.0", "Creative Commons CC0 1.0 Universal", "CC0 1.0 Universal license"],
+    "CDDL-1.0": ["Common Development and Distribution License, Version 1.0"],
+    "EPL-1.0": ["Eclipse Public License, Version 1.0", "Eclipse Public License v1.0",
+                "Eclipse Public License 1.0"],
+    "EPL-2.0": ["Eclipse Public License, Version 2.0", "Eclipse Public License v2.0",
+                "Eclipse Public License 2.0"],
+    "EUPL-1.2": ["European Union Public Licence, Version 1.2", "EUPL, Version 1.2"],
+    "ISC": ["ISC License"], "MIT": ["MIT License"],
+    "MPL-1.1": ["Mozilla Public License, Version 1.1", "Mozilla Public License 1.1"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"],
+    "Unlicense": ["Unlicense License"], "WTFPL": ["Do What The Fuck You Want To Public License"],
+    "Zlib": ["zlib License"],
+}
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives",
+       "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+       "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def _common() -> dict[str, str]:
+    """Notices of the common licenses and their versions, and the bodies in ``license_texts``."""
+    named = {k: list(v) for k, v in _NAMED.items()}
+    out: dict[str, str] = {}
+    for kind, versions in (("GPL", "1.0 2.0 3.0"), ("LGPL", "2.0 2.1 3.0"), ("AGPL", "3.0")):
+        for full in versions.split():
+            name, v = f"{kind}-{full}", full.removesuffix(".0")
+            title = f"GNU {_GNU.get(name, _GNU[kind])} Public License"
+            named[name] = [f"{title}, version {v}", f"{title} v{full}", f"GNU {kind} version {v}"]
+            what = "library" if name in ("LGPL-2.0", "LGPL-2.1") else "program"
+            out[f"{name}-notice#long"] = (
+                f"This {what} is free software: you can redistribute it and/or modify it under "
+                f"the terms of the {title} as published by the Free Software Foundation, either "
+                f"version {v} of the License, or (at your option) any later version.")
+    for code, title in _CC.items():
+        for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            named[f"CC-{code}-{v}"] = [f"CC {code} {v}",
+                                       f"Creative Commons {title} {v} International License",
+                                       f"Creative Commons {title} {v} License"]
+    for name, titles in named.items():
+        for k, title in enumerate(titles):
+            the = "" if title.startswith("CC") else "the " if "Creative" not in title else "a "
+            for n, verb in enumerate(("Licensed", "Released", "This work is licensed")):
+                out[f"{name}#{k}.{n}"] = f"{verb} under {the}{title}."
+    for path in sorted(Path(__file__).with_name("license_texts").glob("*.txt")):
+        out[f"{path.stem}#text"] = path.read_text(encoding="utf-8")
+    return out
+
+
+_SHIPPED = _common()
+TEMPLATES |= {k: v for k, v in _SHIPPED.items() if v not in TEMPLATES.values()}
+
+#: Words that name a license, and those that tell it from a sibling.
+_NAMES = (b"affero apache artistic boost bsd bsl cc cc0 cddl clause creative eclipse eupl european gnu gpl "
+          b"isc lesser lgpl agpl library mit modified mozilla mpl new simplified unlicense wtfpl zero zlib 0bsd")
+_APART = (b"affero lesser nc nd sa noncommercial noderivatives noderivs sharealike")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128
               else 32 for b in range(256))      # same length: offsets stay valid
 _WORD = re.compile(rb"[^ ]+")
@@ -74,6 +149,37 @@ def word_codes(text: bytes) -> np.ndarray:
     return np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
 
 
+_NAME_CODES = frozenset(map(crc32, _NAMES.split()))
+_APART_CODES = frozenset(map(crc32, _APART.split()))
+_NUMBER = re.compile(rb"v?[0-9]+")
+
+
+def numbers(text: bytes) -> frozenset[int]:
+    return frozenset(crc32(x) for x in text.translate(_FOLD).split() if _NUMBER.fullmatch(x))
+
+
+def same_license(template: np.ndarray, words: np.ndarray, given: frozenset[int],
+                 found: frozenset[int]) -> bool:
+    """Whether the matched words have the template's deciding words and no others.
+
+    ``given`` and ``found``: the codes that are numbers in the template and in the text."""
+    n = len(template)
+    if n > LONG:
+        return True
+    want, got = Counter(template.tolist()), Counter(words.tolist())
+    if n <= SHORT:
+        if any(got[x] < k for x, k in want.items() if x in given or x in _NAME_CODES):
+            return False
+        extra = _APART_CODES | found
+    else:
+        if any(x not in got for x in want if x in given or x in _NAME_CODES):
+            return False
+        extra = _APART_CODES
+    if any(x in _APART_CODES and x not in got for x in want):
+        return False
+    return all(x in want for x in got if x in extra)
+
+
 def winnow(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and values of the kept hashes of a word sequence (fewer words than K: none)."""
     n = len(codes) - K + 1
@@ -94,6 +200,8 @@ class Index:
     hashes: np.ndarray          # sorted, with a posting each
     template: np.ndarray
     position: np.ndarray
+    need: list[int]             # hits around a diagonal that is aligned
+    numbers: list[frozenset[int]]
 
     @classmethod
     def build(cls, templates: Mapping[str, str]) -> Index:
@@ -103,7 +211,10 @@ class Index:
         found.sort()
         return cls(names, codes, np.array([x[0] for x in found], dtype=np.uint64),
                    np.array([x[1] for x in found], dtype=np.int64),
-                   np.array([x[2] for x in found], dtype=np.int64))
+                   np.array([x[2] for x in found], dtype=np.int64),
+                   [max(1, k // RARE) for k in np.bincount(
+                       np.array([x[1] for x in found], dtype=np.int64), minlength=len(names))],
+                   [numbers(templates[x].encode()) for x in names])
 
     def hits(self, codes: np.ndarray) -> np.ndarray:
         """Rows of (template, diagonal, document position)."""
@@ -119,32 +230,50 @@ class Index:
 
 
 def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND
-          ) -> tuple[int, int, int]:
-    """Banded local alignment: matched template words, first and last matched document word.
+          ) -> tuple[int, int, int, int]:
+    """Banded local alignment: matched template words, first and last matched document word,
+    and words put in between.
 
     Match +1; a word replaced, left out or put in costs 1/2, and a score below 0 starts anew.
     """
-    best = (0.0, 0, -1, -1)
+    best = (0.0, 0, -1, -1, 0)
     width = 2 * band + 1
-    row: list[tuple[float, int, int]] = [(0.0, 0, -1)] * (width + 1)   # score, matches, begin
+    none = (0.0, 0, -1, 0)                  # score, matches, begin, words put in
+    row: list[tuple[float, int, int, int]] = [none] * (width + 1)
+    first = max(0, diagonal - band)
+    near = words[first:max(first, diagonal + band + len(template) + 1)].tolist()
     for i, t in enumerate(template.tolist()):
-        new: list[tuple[float, int, int]] = [(0.0, 0, -1)] * (width + 1)
+        new = [none] * (width + 1)
         for b in range(width):
             j = i + diagonal + b - band
             if 0 <= j < len(words):
-                s, m, begin = row[b]
-                if words[j] == t:
-                    cell = (s + 1.0, m + 1, j if begin < 0 else begin)
+                s, m, begin, more = row[b]
+                if near[j - first] == t:
+                    cell = (s + 1.0, m + 1, j if begin < 0 else begin, more)
                     if (cell[0], cell[1]) > best[:2]:
-                        best = (cell[0], cell[1], cell[2], j)
+                        best = (cell[0], cell[1], cell[2], j, more)
                 else:
-                    cell = (s - 0.5, m, begin)
-                for s, m, begin in (row[b + 1], new[b - 1] if b else (0.0, 0, -1)):
-                    if s - 0.5 > cell[0]:
-                        cell = (s - 0.5, m, begin)
-                new[b] = cell if cell[0] > 0 else (0.0, 0, -1)
+                    cell = (s - 0.5, m, begin, more)
+                s, m, begin, more = row[b + 1]
+                if s - 0.5 > cell[0]:
+                    cell = (s - 0.5, m, begin, more)
+                s, m, begin, more = new[b - 1] if b else none
+                if s - 0.5 > cell[0]:
+                    cell = (s - 0.5, m, begin, more + 1)
+                new[b] = cell if cell[0] > 0 else none
         row = new
-    return best[1], best[2], best[3]
+    return best[1:]
+
+
+def _diagonals(hits: np.ndarray, need: list[int]) -> list[tuple[int, int]]:
+    """(template, diagonal) of the bands to align: hits within half a band, if enough of them."""
+    out: list[list[int]] = []
+    for t, diagonal, _ in hits.tolist():
+        if out and out[-1][0] == t and diagonal - out[-1][1] <= BAND // 2:
+            out[-1][2] += 1               # inside the band of that diagonal
+        else:
+            out.append([t, diagonal, 1])
+    return [(t, d) for t, d, n in out if n >= need[t]]
 
 
 def find_licenses(text: bytes, index: Index, min_coverage: float = MIN_COVERAGE
@@ -154,24 +283,27 @@ def find_licenses(text: bytes, index: Index, min_coverage: float = MIN_COVERAGE
     hits = index.hits(codes)
     if not len(hits):
         return []
-    found: set[tuple[int, int, int, int]] = set()
-    last: tuple[int, int] | None = None
-    for t, diagonal, _ in hits.tolist():
-        if last is not None and last[0] == t and diagonal - last[1] <= BAND // 2:
-            continue                      # inside the band of the diagonal just aligned
-        last = (t, diagonal)
-        matched, a, b = align(index.codes[t], codes, diagonal)
-        if matched >= min_coverage * len(index.codes[t]):
-            found.add((matched, t, a, b))
-    chosen: list[tuple[int, int, int, int]] = []
-    for x in sorted(found, key=lambda x: (-x[0], x[2], x[1])):
-        if all(x[3] < y[2] or y[3] < x[2] for y in chosen):
+    found: dict[tuple[int, int, int], tuple[float, float]] = {}    # rank, coverage
+    digits: frozenset[int] | None = None
+    for t, diagonal in _diagonals(hits, index.need):
+        template = index.codes[t]
+        matched, a, b, more = align(template, codes, diagonal)
+        coverage = matched / (len(template) + more)
+        if coverage < min_coverage:
+            continue
+        digits = numbers(text) if digits is None else digits
+        if same_license(template, codes[a:b + 1], index.numbers[t], digits):
+            rank = matched - (len(template) - matched + more) / 2
+            found[t, a, b] = max(found.get((t, a, b), (0.0, 0.0)), (rank, coverage))
+    chosen: list[tuple[int, int, int]] = []
+    for x in sorted(found, key=lambda x: (-found[x][0], -found[x][1], x[1], x[0])):
+        if all(x[2] < y[1] or y[2] < x[1] for y in chosen):
             chosen.append(x)
     if not chosen:
         return []
-    spans = [m.span() for m in _WORD.finditer(text.translate(_FOLD))] if chosen else []
-    return [(index.names[t], spans[a][0], spans[b][1], m / len(index.codes[t]))
-            for m, t, a, b in sorted(chosen, key=lambda x: x[2])]
+    spans = [m.span() for m in _WORD.finditer(text.translate(_FOLD))]
+    return [(index.names[t].split("#")[0], spans[a][0], spans[b][1], found[t, a, b][1])
+            for t, a, b in sorted(chosen, key=lambda x: x[1])]
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id",

@@ -258,6 +258,44 @@ def test_licenses(docs, spark):
     assert licenses.scan(docs).count() == docs.count()
 
 
+@pytest.mark.parametrize("text,want", [
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Licensed under CC BY 3.0", "CC-BY-3.0"),
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Released under the ISC License", "ISC"),
+    ("Released under the BSD 2-Clause License.", "BSD-2-Clause"),
+    ("Licensed under the Mozilla Public License, version 1.1", "MPL-1.1"),
+    ("Released under the Foo License.", ""), ("Licensed under the Apache License, Version 7.0", ""),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of "
+     "the GNU Lesser General Public License as published by the Free Software Foundation; either "
+     "version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-notice")])
+def test_license_siblings(text, want):
+    index = licenses.Index.build(licenses.TEMPLATES)
+    found = licenses.find_licenses(f"some words before. {text} and some after".encode(), index)
+    assert ",".join(x[0] for x in found) == want
+
+
+def test_license_bodies():
+    index = licenses.Index.build(licenses.TEMPLATES)
+    bodies = {k.removesuffix("#text"): v for k, v in licenses.TEMPLATES.items()
+              if k.endswith("#text")}
+    assert len(bodies) >= 23
+    for name, body in bodies.items():
+        text = f"Copyright 2020 by someone\n{body}\nand a tail"
+        found = licenses.find_licenses(text.encode(), index)
+        assert name in [x[0] for x in found if x[3] == 1.0], (name, found)
+        assert len(found) == 1, (name, found)
+
+
+def test_words_put_in_count_against_coverage():
+    index = licenses.Index.build({"x": " ".join(f"w{k}" for k in range(20))})
+    words = [f"w{k}" for k in range(20)]
+    padded = " ".join([*words[:10], "one", "two", "three", "four", *words[10:]])
+    assert licenses.find_licenses(padded.encode(), index)[0][3] == pytest.approx(20 / 24)
+
+
 def test_winnowing_keeps_a_shared_hash():
     rng = np.random.default_rng(0)
     a, b = (rng.integers(0, 1 << 32, 60).astype(np.uint64) for _ in range(2))
