@@ -42,8 +42,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces packed into sequences."""
-    return packed_documents(docs)
+    """Token pieces, with their ids, packed into sequences (joined by ``packing.sequences``)."""
+    return packed_documents(docs, keep_ids=True)
 
 
 STAGES = [

@@ -22,10 +22,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
-def packed_documents(docs: DataFrame) -> DataFrame:
+def packed_documents(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """Placed pieces with a digest of their ids, and the ids themselves if asked for."""
     pieces = tokens.tokenize(docs, TOKENIZER, SEQUENCE_TOKENS)
-    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(digests, SEQUENCE_TOKENS)
+    digests = pieces.withColumn("ids_crc32", F.crc32("ids"))
+    return packing.pack(digests if keep_ids else digests.drop("ids"), SEQUENCE_TOKENS)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

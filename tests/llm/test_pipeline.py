@@ -1,9 +1,14 @@
 """The corpus pipeline, stage by stage and as a whole."""
 
+import zlib
 from collections import Counter
 
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from murmuration.llm import line_dedup, mixing, quality, simhash
+from murmuration.llm import line_dedup, mixing, packing, quality, simhash
+from murmuration.llm.queries import TOKENIZER
 
 
 def written(spark, df, path):
@@ -46,6 +51,22 @@ def test_run_over_the_small_tables(spark, sf001):
     assert max(r[1] for r in full) <= 1024
 
 
+def test_sequences_can_be_rebuilt_from_the_result(spark, docs, tmp_path):
+    last = corpus_pipeline.STAGES[-1][1]
+    mixed = docs.where("doc_id between 100 and 210")
+    out = written(spark, last(spark, mixed, str(tmp_path)), tmp_path / "out")
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in out.collect())
+    whole = Tokenizer.from_file(TOKENIZER)
+    whole.encode_special_tokens = True
+    want = Counter()
+    for r in mixed.collect():
+        want.update([*whole.encode(r["text"] or "", add_special_tokens=False).ids, 2])
+    rows = packing.sequences(out).collect()
+    got = [np.frombuffer(r["ids"], dtype="<u4").tolist() for r in rows]
+    assert [len(x) for x in got] == [r["tokens"] for r in rows] and max(map(len, got)) <= 1024
+    assert Counter(i for x in got for i in x) == want
+
+
 def test_run_over_empty_tables(spark, empty, tmp_path):
     assert corpus_pipeline.run(spark, tables(spark, empty, tmp_path)).count() == 0
 
