@@ -60,9 +60,11 @@ def coordination_report(posts: DataFrame, f: Filters | None = None, threshold: f
     }
 
 
-def network_report(posts: DataFrame, f: Filters | None = None, n_clusters: int = 5,
-                     max_accounts: int | None = 50, platforms: list | None = None) -> dict:
-    """Clusters, their summary and the account network (eager: clustering runs here)."""
+def network_report(posts: DataFrame, f: Filters | None = None, n_clusters: int | None = None,
+                     max_accounts: int | None = None, platforms: list | None = None) -> dict:
+    """Clusters, their summary and the account network (eager: clustering runs here).
+
+    Without limits ``incidence`` is the whole graph; ``edges`` expands it, for a selection."""
     p = filtered(posts, f)
     if platforms is not None:
         p = filters.filter_platforms(p, platforms)
@@ -75,5 +77,6 @@ def network_report(posts: DataFrame, f: Filters | None = None, n_clusters: int =
         "cluster_members": cluster.cluster_members(c.posts),
         "nodes": net.nodes,
         "edges": net.edges,
+        "incidence": net.incidence,
         "coverage": network.graph_coverage(net.before_limit, net.nodes),
     }

@@ -168,3 +168,20 @@ def test_composed_analyses(spark, sf001):
             if hasattr(df, "columns"):
                 df.limit(3).collect()
     assert p.where(F.col("mentions").isNull()).count() == 0
+
+
+def test_network_report_has_every_account_by_default(spark, sf001, monkeypatch):
+    from types import SimpleNamespace
+
+    from murmuration.operators.preprocess import materialized_posts
+
+    p = materialized_posts(spark, sf001)
+    number = F.abs(F.hash("post_id"))
+    posts = p.withColumn("cluster", (number % 7).cast("long")).withColumn(
+        "Influencer", F.concat(F.lit("a"), (number % 70).cast("string")))
+    monkeypatch.setattr(analyses.cluster, "cluster_posts", lambda _: SimpleNamespace(posts=posts))
+    out = analyses.network_report(p)
+    want = {r[0] for r in posts.select("Influencer").distinct().collect()}
+    assert len(want) > 50
+    got = {r["influencer"] for r in out["incidence"].collect()}
+    assert got == want
