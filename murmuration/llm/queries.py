@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import (licenses, line_dedup, mixing, packing, pivot_search, quality,
+from murmuration.llm import (licenses, line_dedup, merkle, mixing, packing, pivot_search, quality,
                              secrets, sharding, simhash, tokens, vptree_search)
 from murmuration.llm.common import table
 
@@ -72,7 +73,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    fields = [lowered if c == "text" else F.col(c) for c in merkle.FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0,
+                      merkle.leaf(fields))
+    out = merkle.manifest(docs, carry={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof"))
+    return out.select("doc_id", "leaf", "subroot", "root",
+                      merkle.siblings_digest(F.col("proof")).alias("proof_sha256"),
+                      folded.alias("folded_root")
+                      ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_packing, op3_secrets, op4_licenses, op5_topk,
-                            op6_quality, op7_mixing, op8_sharding, op9_ann, op10_line_dedup)}
-ORACLE: dict[str, str] = {"op3_secrets": secrets.oracle(), "op5_topk": pivot_search.oracle()}
+                            op6_quality, op7_mixing, op8_sharding, op9_ann, op10_line_dedup, op13_merkle)}
+ORACLE: dict[str, str] = {"op3_secrets": secrets.oracle(), "op5_topk": pivot_search.oracle(),
+                          "op13_merkle": merkle.oracle()}
