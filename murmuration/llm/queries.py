@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmuration.llm import (licenses, line_dedup, merkle, mixing, packing, pivot_search, quality,
-                             secrets, sharding, simhash, tokens, vptree_search)
+                             secrets, sharding, simhash, spelling, tokens, vptree_search)
 from murmuration.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,6 +73,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
@@ -89,6 +93,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_packing, op3_secrets, op4_licenses, op5_topk,
-                            op6_quality, op7_mixing, op8_sharding, op9_ann, op10_line_dedup, op13_merkle)}
+                            op6_quality, op7_mixing, op8_sharding, op9_ann, op10_line_dedup,
+                            op11_spelling, op13_merkle)}
 ORACLE: dict[str, str] = {"op3_secrets": secrets.oracle(), "op5_topk": pivot_search.oracle(),
                           "op13_merkle": merkle.oracle()}
