@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmuration.llm import (licenses, line_dedup, merkle, mixing, packing, pivot_search, quality,
-                             secrets, sharding, simhash, spelling, tokens, vptree_search)
+from murmuration.llm import (licenses, line_dedup, merkle, mixing, packing, pieces, pivot_search,
+                             quality, secrets, sharding, simhash, spelling, tokens, vptree_search)
 from murmuration.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SEQUENCE_TOKENS = 1024
 
 
@@ -77,6 +78,14 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL, decoded=True)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
@@ -94,6 +103,6 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_packing, op3_secrets, op4_licenses, op5_topk,
                             op6_quality, op7_mixing, op8_sharding, op9_ann, op10_line_dedup,
-                            op11_spelling, op13_merkle)}
+                            op11_spelling, op12_pieces, op13_merkle)}
 ORACLE: dict[str, str] = {"op3_secrets": secrets.oracle(), "op5_topk": pivot_search.oracle(),
                           "op13_merkle": merkle.oracle()}
