@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from murmuration.functions.platform import infer_platform
 from murmuration.functions.timestamps import parse_timestamp
 from murmuration.operators import (cluster, embeddings, filters, narratives, network,
-                                   overview, signals, tfidf)
+                                   overview, semantic, signals, tfidf)
 from murmuration.operators.preprocess import (materialized_posts, posts_from_fixture,
                                               preprocess_posts)
-from murmuration.session import scratch_path
+from murmuration.session import cut_lineage, scratch_path
 from murmuration.sources.files import DOUBLED_QUOTES, export_posts, load_posts, union_posts
 from murmuration.sources.fixtures import FIXTURE_ROLES, raw_posts, table
 
@@ -414,6 +414,32 @@ def q_vector_cosine(spark, sf_dir):
         .alias("cosine"))
 
 
+SEARCH_EVERY, SEARCH_K = 100, 10
+
+
+@register("semantic_search")
+def q_semantic_search(spark, sf_dir):
+    """H5 over all vectors: the 10 nearest by cosine of every vector whose id 100 divides, from the
+    inverted file in its exact mode."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = semantic.build_index(e)
+    found = semantic.search(index, e.where(F.col("vec_id") % SEARCH_EVERY == 0), SEARCH_K,
+                            exact=True)
+    return found.withColumnRenamed("id", "vec_id").withColumn("score", F.round("score", 6))
+
+
+@register("semantic_search_posts")
+def q_semantic_search_posts(spark, sf_dir):
+    """H5 over posts: the 10 posts whose texts are nearest to those of every post whose id 100
+    divides, by the hashed encoder and the exact mode."""
+    e = embeddings.hashed_embedding(posts(spark, sf_dir), "post_id", "original_text", EMBED_DIM)
+    e = cut_lineage(e)
+    index = semantic.build_index(e, "post_id")
+    found = semantic.search(index, e.where(F.col("post_id") % SEARCH_EVERY == 0), SEARCH_K,
+                            exact=True, id_col="post_id")
+    return found.withColumnRenamed("id", "post_id").withColumn("score", F.round("score", 6))
+
+
 # ---- I: README signals ----------------------------------------------------------------------
 
 RAPID_WINDOW_HOURS = 6.0

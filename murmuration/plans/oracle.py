@@ -257,6 +257,28 @@ SELECT a.vec_id AS vec_id1, b.vec_id AS vec_id2,
        AS cosine
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 
+oracle("semantic_search", f"""
+WITH u AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / n) AS v FROM (
+    SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding,
+      lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings) WHERE n > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.v, c.v), 9) AS score
+  FROM u q JOIN u c ON q.vec_id % {C.SEARCH_EVERY} = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM scored) WHERE rank <= {C.SEARCH_K}""")
+oracle("semantic_search_posts", with_posts(f"""
+SELECT query_id, rank, post_id, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, post_id) AS rank FROM (
+    SELECT q.post_id AS query_id, c.post_id, round(coalesce(sum(x.value * y.value), 0), 9) AS score
+    FROM (SELECT DISTINCT post_id FROM ecnt WHERE post_id % {C.SEARCH_EVERY} = 0) q
+    JOIN (SELECT DISTINCT post_id FROM ecnt) c ON c.post_id <> q.post_id
+    JOIN unit x ON x.post_id = q.post_id
+    LEFT JOIN unit y ON y.post_id = c.post_id AND y.dim = x.dim
+    GROUP BY ALL)) WHERE rank <= {C.SEARCH_K}""", EMB + """,
+unit AS (SELECT post_id, dim, n / sqrt(sum(n * n) OVER (PARTITION BY post_id)) AS value FROM ecnt)"""))
+
 # ---- I: README signals ----------------------------------------------------------------------
 from murmuration.plans.sqlparts import stop_words_list  # noqa: E402
 from murmuration.sources.fixtures import EVENT_POSTS_SQL  # noqa: E402
