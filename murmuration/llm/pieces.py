@@ -110,7 +110,8 @@ class PieceTable:
         self.parts = [np.array([k], "<i4").tobytes() for k in ids.values()]
         self.strange: dict[str, int] = {}
         self.compatible = PairTest({p: lib.get_score(k) for p, k in ids.items()})
-        self.pairs: dict[int, bool] = {}
+        self.follow: list[dict[int, bool]] = [{} for _ in ids]   # per token, pair tests made
+        self.tested = 0
         self.automaton = ahocorasick.Automaton()
         for number, piece in enumerate(ids):
             self.automaton.add_word(piece, number)
@@ -139,6 +140,7 @@ class PieceTable:
             self.strange[char] = len(self.tokens)
             self.tokens.append(char)
             self.lengths.append(1)
+            self.follow.append({})
             self.parts.append(np.array([self.bytes[b] for b in char.encode()], "<i4").tobytes())
         return self.strange[char]
 
@@ -149,27 +151,33 @@ class PieceTable:
         for unit in units:
             last.append(START)
             last += [OPEN] * len(unit)
-        text, lengths, pairs = self.border.join(units), self.lengths, self.pairs
+        text, lengths, follow = self.border.join(units), self.lengths, self.follow
         for end, number in self.automaton.iter(text):
             end += 1
             if last[end] >= 0:
                 continue
             at = end - lengths[number]
             before = last[at]
-            if before == START:
-                if self.compatible.history(self.tokens[number]) is not None:
-                    last[end] = number
-                continue
-            if before == OPEN:      # no piece that ends there fits: the character stands alone
+            if before < 0:
+                if before == START:
+                    if self.compatible.history(self.tokens[number]) is not None:
+                        last[end] = number
+                    continue
+                # no piece that ends there fits: the character stands alone
                 before = last[at] = self._stranger(text[at - 1])
-            key = before << 21 | number
-            good = pairs.get(key)
+            good = follow[before].get(number)
             if good is None:
-                good = pairs[key] = self.compatible(self.tokens[before], self.tokens[number])
+                good = self._test(before, number)
             if good:
                 last[end] = number
         return last
 
+    def _test(self, before: int, number: int) -> bool:
+        good = self.compatible(self.tokens[before], self.tokens[number])
+        self.follow[before][number] = good
+        self.tested += 1
+        return good
+
     def _learn(self, units: list[str]) -> None:
         """Ids of units not met before, by one table over all of them."""
         last, parts, lengths = self.last_tokens(units), self.parts, self.lengths
@@ -189,8 +197,9 @@ class PieceTable:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_UNITS:       # units in use come back from the old generation
             self.old, self.memo = self.memo, {}
-        if len(self.pairs) > MEMO_PAIRS:
-            self.pairs.clear()
+        if self.tested > MEMO_PAIRS:
+            self.follow = [{} for _ in self.tokens]
+            self.tested = 0
         memo, old = self.memo, self.old
         cut = [self.units.findall(self.library.normalize(x)) if x else [] for x in texts]
         wanted = {u for units in cut for u in units if u not in memo}
@@ -206,8 +215,8 @@ class PieceTable:
             self._learn(new)
         return [b"".join(map(memo.__getitem__, units)) for units in cut]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return [self.library.decode(x) if x else "" for x in ids]
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        return [self.library.decode(x.tolist()) if len(x) else "" for x in ids]
 
 
 _LOADED: dict[str, PieceTable] = {}     # one per Python worker and file
@@ -236,10 +245,11 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(lo, SLICE_ROWS)
-                ids = _id_lists(tab.encode(part.column(1).to_pylist()))
-                out = [part.column(0), ids]
+                encoded = tab.encode(part.column(1).to_pylist())
+                out = [part.column(0), _id_lists(encoded)]
                 if decoded:
-                    out.append(pa.array(tab.decode(ids.to_pylist()), pa.string()))
+                    ids = [np.frombuffer(x, "<i4") for x in encoded]
+                    out.append(pa.array(tab.decode(ids), pa.string()))
                 yield pa.RecordBatch.from_arrays(
                     out, names=[id_col, "ids", "decoded"][:len(out)])
 
@@ -258,9 +268,13 @@ def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id",
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(lo, SLICE_ROWS)
+                lists = part.column(1)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                ids = np.split(flat, np.cumsum(sizes)[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(tab.decode(part.column(1).to_pylist()),
-                                              pa.string())], names=[id_col, "decoded"])
+                    [part.column(0), pa.array(tab.decode(ids), pa.string())],
+                    names=[id_col, "decoded"])
 
     return (rows.select(F.col(id_col), F.col(ids_col).cast("array<int>").alias("_ids"))
             .mapInArrow(run, f"`{id_col}` {kind}, decoded string"))
