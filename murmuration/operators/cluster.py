@@ -8,8 +8,10 @@ lowest-numbered adjacent cluster; everything else is noise (-1). Clusters are nu
 in order of their first post. With the reference's ``min_samples=2`` every post with one
 neighbour is core, so clusters are exactly the components of the neighbour graph.
 
-Work happens on distinct texts (copies collapsed, weights by copy count); the neighbour graph
-comes from the exact cosine join; components run as DataFrame rounds over dense ids.
+Work happens on distinct texts (copies collapsed, weights by copy count). Clusters of the default
+come from a forest join, which never forms the pairs inside a group of variants; with more samples
+the neighbour graph comes from the exact cosine join. Components run as DataFrame rounds over dense
+ids.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from murmuration.functions.text import is_nonblank
 from murmuration.operators.components import connected_components
+from murmuration.operators.forest import forest
 from murmuration.operators.preprocess import ORDER
 from murmuration.operators.ranking import dense_index, first_k_distinct, join_with_more
 from murmuration.operators.simjoin import cosine_pairs_slim, rekey
@@ -49,12 +52,49 @@ def cluster_posts(posts: DataFrame, eps: float = 0.3, min_samples: int = 2,
     postings = cut_lineage(tfidf_postings(groups, max_features, stop_words))
     # dense ids of the texts with a vector, in the order of ``tid``: nodes of the graph
     slim, ids = rekey(postings)
-    edges = cut_lineage(cosine_pairs_slim(slim, 1.0 - eps, floor, exact_values=False)
+    cnt = cut_lineage(groups.select("tid", "c").join(ids, "tid", "left"))
+    if min_samples <= 2:
+        texts, core_comp, border = _by_forest(cnt, slim, 1.0 - eps, floor, min_samples)
+    else:
+        texts, core_comp, border = _by_edges(cnt, slim, 1.0 - eps, floor, min_samples)
+    assigned = core_comp if border is None else core_comp.unionByName(border)
+    numbered = dense_index(core_comp.select("comp").distinct(), "comp", "cluster")
+    labels = assigned.join(numbered, "comp").select("tix", "cluster")
+    # reference guard: an empty vocabulary puts every post in cluster 0
+    empty_vocab = postings.agg(F.count(F.lit(1)) == 0).scalar()
+    texts_out = (texts.join(labels, "tix", "left").drop("tix")
+                 .withColumn("cluster", F.when(empty_vocab, F.lit(0))
+                             .otherwise(F.coalesce(F.col("cluster"), F.lit(NOISE)))))
+    texts_out = cut_lineage(texts_out)
+    members = inp.join(groups.select(F.col("text").alias("original_text"), "tid"), "original_text")
+    # the labelled posts feed several reports (sizes, summary, members, network): write once
+    out = cut_lineage(members.join(texts_out.select("tid", "cluster"), "tid").drop("tid"))
+    return Clustering(out, texts_out)
+
+
+def _by_forest(cnt: DataFrame, slim: DataFrame, threshold: float, floor: float | None,
+               min_samples: int) -> tuple[DataFrame, DataFrame, None]:
+    """Texts and the components of the core texts where one neighbour, or copy, makes a text core:
+    a spanning forest of the neighbour graph tells both."""
+    comps = forest(slim, threshold, floor).labels
+    linked = comps.select("tix", "comp", F.lit(True).alias("linked"))
+    nz = F.col("tix").isNotNull()
+    core = nz & (F.coalesce("linked", F.lit(False)) | (F.col("c") >= min_samples))
+    texts = cut_lineage(cnt.join(linked, "tix", "left").select(
+        "tid", "tix", "c", nz.alias("nz"), core.alias("core"), "comp"))
+    core_comp = texts.where("core").select("tix", F.coalesce("comp", F.col("tix")).alias("comp"))
+    return texts.drop("comp"), core_comp, None
+
+
+def _by_edges(cnt: DataFrame, slim: DataFrame, threshold: float, floor: float | None,
+              min_samples: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts, components of the core texts, and border texts, from all neighbour edges: a core of
+    three or more samples is found by counting its neighbours."""
+    edges = cut_lineage(cosine_pairs_slim(slim, threshold, floor, exact_values=False)
                         .select("i", "j"))
     # posts within eps of each text, itself and its copies included (zero vectors: none)
     nb = (edges.select(F.col("i").alias("a"), F.col("j").alias("b"))
           .unionByName(edges.select(F.col("j").alias("a"), F.col("i").alias("b"))))
-    cnt = cut_lineage(groups.select("tid", "c").join(ids, "tid", "left"))
     nb_posts = (nb.join(cnt.select(F.col("tix").alias("b"), F.col("c").alias("cb")), "b")
                 .groupBy("a").agg(F.sum("cb").alias("nb_posts")))
     near = F.coalesce("nb_posts", F.lit(0))
@@ -76,19 +116,7 @@ def cluster_posts(posts: DataFrame, eps: float = 0.3, min_samples: int = 2,
               .join(texts.where(~F.col("core")).select(F.col("tix").alias("a")), "a")
               .groupBy("a").agg(F.min("bc").alias("comp"))
               .withColumnRenamed("a", "tix"))
-    assigned = core_comp.unionByName(border)
-    numbered = dense_index(core_comp.select("comp").distinct(), "comp", "cluster")
-    labels = assigned.join(numbered, "comp").select("tix", "cluster")
-    # reference guard: an empty vocabulary puts every post in cluster 0
-    empty_vocab = postings.agg(F.count(F.lit(1)) == 0).scalar()
-    texts_out = (texts.join(labels, "tix", "left").drop("tix")
-                 .withColumn("cluster", F.when(empty_vocab, F.lit(0))
-                             .otherwise(F.coalesce(F.col("cluster"), F.lit(NOISE)))))
-    texts_out = cut_lineage(texts_out)
-    members = inp.join(groups.select(F.col("text").alias("original_text"), "tid"), "original_text")
-    # the labelled posts feed several reports (sizes, summary, members, network): write once
-    out = cut_lineage(members.join(texts_out.select("tid", "cluster"), "tid").drop("tid"))
-    return Clustering(out, texts_out)
+    return texts, core_comp, border
 
 
 def cluster_sizes(clustered: DataFrame) -> DataFrame:

@@ -67,9 +67,9 @@ def with_tails(slim: DataFrame) -> DataFrame:
     return x.select("tix", "rk", "w", F.sqrt("t2").alias("tail"), after.alias("after"), "left")
 
 
-def _cells(pre: DataFrame, floor: float, side: str) -> DataFrame:
+def cells(pre: DataFrame, floor: float, side: str, more: tuple[str, ...] = ()) -> DataFrame:
     """Postings of one side of the join with the keys ``ci``, ``cj`` (tail levels of the two
-    sides): one row per level of the other side that can meet this one."""
+    sides): one row per level of the other side that can meet this one; ``more`` columns too."""
     step = (1.0 - floor) / LEVELS
     upper = [floor + step * (k + 1) for k in range(LEVELS - 1)] + [1.0 + EPS]
     level = F.least(F.lit(LEVELS - 1), F.floor((F.col("tail") - floor) / step)).cast("int")
@@ -80,17 +80,45 @@ def _cells(pre: DataFrame, floor: float, side: str) -> DataFrame:
     rows = pre.withColumn(mine, F.greatest(F.lit(0), level))
     return rows.select(F.col("tix").alias(side), "rk", mine, F.explode(meets[F.col(mine)])
                        .alias(other), *[F.col(c).alias(f"{c}_{side}")
-                                        for c in ("w", "tail", "after", "left")])
+                                        for c in ("w", "tail", "after", "left", *more)])
 
 
 def joined_postings(x: DataFrame, floor: float) -> DataFrame:
     """One row per pair of vectors and shared term with a tail product of at least ``floor``."""
     pre = x.where(F.col("tail") >= F.lit(floor - EPS))
-    return (_cells(pre, floor, "i").join(_cells(pre, floor, "j"), ["rk", "ci", "cj"])
+    return (cells(pre, floor, "i").join(cells(pre, floor, "j"), ["rk", "ci", "cj"])
             .where((F.col("i") < F.col("j"))
                    & (F.col("tail_i") * F.col("tail_j") >= F.lit(floor - EPS))))
 
 
+def pair_bounds(joined: DataFrame, t: float, floor: float) -> DataFrame:
+    """Candidates ``(i, j, p, last, e, l)`` of joined postings: the pairs whose kept terms and the
+    bound of the rest can reach ``t``; ``e`` is the text with fewer terms left, ``l`` the other."""
+    cand = (joined.groupBy("i", "j")
+            .agg(F.sum(F.col("w_i") * F.col("w_j")).alias("p"),
+                 F.max(F.col("tail_i") * F.col("tail_j")).alias("best"),
+                 F.min(F.col("after_i") * F.col("after_j")).alias("rest"),
+                 F.max("rk").alias("last"),
+                 F.min("left_i").alias("left_i"), F.min("left_j").alias("left_j"))
+            .where((F.col("best") >= F.lit(t - EPS))
+                   & (F.col("p") + F.least(F.lit(floor), F.col("rest")) >= F.lit(t - EPS))))
+    i_short = F.col("left_i") <= F.col("left_j")
+    return cand.select(
+        "i", "j", "p", "last", F.when(i_short, F.col("i")).otherwise(F.col("j")).alias("e"),
+        F.when(i_short, F.col("j")).otherwise(F.col("i")).alias("l"))
+
+
+def remainder(cand: DataFrame, x: DataFrame) -> DataFrame:
+    """``(i, j, similarity)`` of candidates: ``p`` plus the shared terms after the last kept one."""
+    short = x.select(F.col("tix").alias("e"), "rk", F.col("w").alias("we"))
+    full = x.select(F.col("tix").alias("l"), "rk", F.col("w").alias("wl"))
+    rem = (cand.select("e", "l", "last").join(short, "e").where(F.col("rk") > F.col("last"))
+           .join(full, ["l", "rk"])
+           .groupBy("e", "l").agg(F.sum(F.col("we") * F.col("wl")).alias("rem")))
+    total = F.col("p") + F.coalesce(F.col("rem"), F.lit(0.0))
+    return cand.join(rem, ["e", "l"], "left").select("i", "j", total.alias("similarity"))
+
+
 def cosine_pairs_slim(slim: DataFrame, threshold: float, floor: float | None = None,
                       exact_values: bool = True) -> DataFrame:
     """Pairs ``(i < j, similarity)`` of dense ids with cosine >= ``threshold``.
@@ -102,30 +130,12 @@ def cosine_pairs_slim(slim: DataFrame, threshold: float, floor: float | None = N
     t = float(threshold)
     floor = default_floor(t) if floor is None else min(float(floor), t)
     x = cut_lineage(with_tails(slim))
-    cand = (joined_postings(x, floor).groupBy("i", "j")
-            .agg(F.sum(F.col("w_i") * F.col("w_j")).alias("p"),
-                 F.max(F.col("tail_i") * F.col("tail_j")).alias("best"),
-                 F.min(F.col("after_i") * F.col("after_j")).alias("rest"),
-                 F.max("rk").alias("last"),
-                 F.min("left_i").alias("left_i"), F.min("left_j").alias("left_j"))
-            .where((F.col("best") >= F.lit(t - EPS))
-                   & (F.col("p") + F.least(F.lit(floor), F.col("rest")) >= F.lit(t - EPS))))
-    i_short = F.col("left_i") <= F.col("left_j")
-    cand = cut_lineage(cand.select(
-        "i", "j", "p", "last", F.when(i_short, F.col("i")).otherwise(F.col("j")).alias("e"),
-        F.when(i_short, F.col("j")).otherwise(F.col("i")).alias("l")))
+    cand = cut_lineage(pair_bounds(joined_postings(x, floor), t, floor))
     certain = None
     if not exact_values:
         certain = cand.where(F.col("p") >= F.lit(t)).select("i", "j", F.col("p").alias("similarity"))
         cand = cand.where(F.col("p") < F.lit(t))
-    short = x.select(F.col("tix").alias("e"), "rk", F.col("w").alias("we"))
-    full = x.select(F.col("tix").alias("l"), "rk", F.col("w").alias("wl"))
-    rem = (cand.select("e", "l", "last").join(short, "e").where(F.col("rk") > F.col("last"))
-           .join(full, ["l", "rk"])
-           .groupBy("e", "l").agg(F.sum(F.col("we") * F.col("wl")).alias("rem")))
-    out = (cand.join(rem, ["e", "l"], "left")
-           .select("i", "j", (F.col("p") + F.coalesce(F.col("rem"), F.lit(0.0))).alias("similarity"))
-           .where(F.col("similarity") >= F.lit(t)))
+    out = remainder(cand, x).where(F.col("similarity") >= F.lit(t))
     return out if certain is None else out.unionByName(certain)
 
 
