@@ -38,7 +38,10 @@ def unboxed(df: DataFrame) -> DataFrame:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD_RE)).cast("long")
+    """Number of words. Each word becomes one sign and white space goes, so that counting needs
+    no array of the words (``regexp_count`` makes one)."""
+    marks = F.translate(F.regexp_replace(text, WORD_RE, "x"), " \t\n\x0b\x0c\r", "")
+    return F.length(marks).cast("long")
 
 
 def row_hash(df: DataFrame) -> Column:
