@@ -3,8 +3,13 @@
 The vocabulary file splits a text into words before it merges bytes, so a word's ids do not
 depend on its neighbours. Documents repeat words far more often than they bring new ones, so
 each Python worker keeps the ids of words it has met (two generations of at most about
-``MEMO_WORDS`` words) and asks the tokenizer only for new ones. A text with longer white-space runs, where the vocabulary's split looks
-further than one character, is given to the tokenizer whole.
+``MEMO_WORDS`` words) and asks the tokenizer only for new ones. A text with longer white-space
+runs, where the vocabulary's split looks further than one character, is given to the tokenizer
+whole.
+
+Null texts count as empty (the end id alone); texts of any length are encoded whole, in slices of a
+bounded size. Repeated rows give repeated pieces, an empty table none. Only the id and text
+columns take part, whatever the other columns are called; pieces of equal texts are equal.
 """
 
 from __future__ import annotations
@@ -13,7 +18,9 @@ import sys
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -84,22 +91,61 @@ class WordMemo(dict):
 
 
 class WordTokenizer:
-    """``encode`` gives the ids of a text, little-endian unsigned 32-bit, as bytes."""
+    """``encode`` gives the ids of texts, little-endian unsigned 32-bit, as bytes."""
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         whole = Tokenizer.from_file(path)
         whole.encode_special_tokens = True
         self.memo = WordMemo(whole, memo_words)
 
-    def encode(self, text: str) -> bytes:
+    def _word(self, word: str) -> bytes | None:
+        try:
+            return self.memo[word]
+        except WideSpace:
+            return None
+
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """Arrow splits the texts and numbers their distinct words, each of which is looked up once;
+        their ids are then copied to every place in one NumPy gather."""
         self.memo.renew()
-        if "\0" not in text:
-            words = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-            try:
-                return b"".join(map(self.memo.__getitem__, words))
-            except WideSpace:
-                pass
-        return self.memo.ask(text)
+        lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(
+            texts, "\n", "\0\n\0"), " ", "\0 "), "\0")
+        words = lists.flatten().dictionary_encode()
+        known = [self._word(x) for x in words.dictionary.to_pylist()]
+        at = words.indices.to_numpy(zero_copy_only=False)
+        sizes = np.fromiter((len(x) // 4 if x is not None else 0 for x in known), np.int64,
+                            len(known))
+        store = np.frombuffer(b"".join(x for x in known if x is not None), "<u4")
+        first = np.cumsum(sizes) - sizes
+        long = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(long)])
+        ids = store[np.repeat(first[at] - ends[:-1], long) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(
+            zero_copy_only=False))])
+        places = ends[bounds].tolist()
+        out = [ids[lo:hi].tobytes() for lo, hi in zip(places, places[1:], strict=False)]
+        # texts whose white space the split may cut, or that hold the sign it uses
+        odd = pc.match_substring(texts, "\0").to_numpy(zero_copy_only=False)
+        wide = np.array([x is None for x in known], dtype=bool)
+        if wide.any():
+            hit = np.concatenate([[0], np.cumsum(wide[at])])[bounds]
+            odd = odd | (hit[1:] > hit[:-1])
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = self.memo.ask(texts[k].as_py())
+        return out
+
+
+def slices(texts: pa.StringArray, rows: int = 2000, size: int = 6 << 20) -> list[tuple[int, int]]:
+    """(start, rows) of runs of at most ``rows`` texts and about ``size`` bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    out, lo = [], 0
+    while lo < len(texts):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = int(np.searchsorted(ends, before + size, side="right"))
+        hi = min(max(hi, lo + 1), lo + rows, len(texts))
+        out.append((lo, hi - lo))
+        lo = hi
+    return out
 
 
 _LOADED: dict[str, WordTokenizer] = {}     # one per Python worker and file
@@ -132,9 +178,9 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(tokenizer_path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                encoded = map(tok.encode, part.column(1).to_pylist())
+            for lo, n in slices(batch.column(1)):
+                part = batch.slice(lo, n)
+                encoded = tok.encode(part.column(1))
                 row, piece, start, length, ids = [], [], [], [], []
                 for r, body in enumerate(encoded):
                     body += end
