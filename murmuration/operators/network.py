@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from murmuration.operators.cluster import NOISE
 from murmuration.operators.preprocess import ORDER
 from murmuration.operators.ranking import dense_index
+from murmuration.operators.simjoin import overlap_candidates
+from murmuration.session import cut_lineage
 
 # The node sizes drawn.
 MIN_NODE_SIZE, MAX_NODE_SIZE = 10.0, 25.0
@@ -96,6 +98,56 @@ def co_cluster_edges_by_post(subset: DataFrame) -> DataFrame:
             .where(F.col("weight") > 0))
 
 
+def account_classes(subset: DataFrame) -> DataFrame:
+    """``(influencer, example, clusters)``: accounts with equal posts in equal clusters share the
+    ``example`` account (the smallest of them), found by fixed-size fingerprints."""
+    prints = _cluster_accounts(subset).groupBy("Influencer").agg(
+        F.count(F.lit(1)).alias("clusters"), F.bit_xor(F.xxhash64("cluster", "n")).alias("h1"),
+        F.bit_xor(F.xxhash64(F.lit(1), "cluster", "n")).alias("h2"))
+    keys = ["clusters", "h1", "h2"]
+    least = prints.groupBy(*keys).agg(F.min("Influencer").alias("example"))
+    return prints.join(least, keys).select(F.col("Influencer").alias("influencer"), "example",
+                                           "clusters")
+
+
+def shared_cluster_pairs(subset: DataFrame, min_shared: int = 2) -> DataFrame:
+    """The edges of the whole account graph between accounts that share ``min_shared`` or more
+    clusters, with both weights: shared clusters, and pairs of posts in them.
+
+    Accounts of one class (``account_classes``) have the same edges, so a row is a pair of classes,
+    named by their smallest accounts, and stands for ``account_pairs`` edges; a class of several
+    accounts is also a pair with itself. Pairs come from an overlap join: only clusters of the
+    prefixes are joined, and an account in fewer than ``min_shared`` clusters, such as those that
+    only one crowded cluster connects, costs nothing. Edges of weight one are in
+    ``account_clusters``, as incidence.
+    """
+    members = cut_lineage(account_classes(subset))
+    classes = cut_lineage(members.groupBy("example", "clusters")
+                          .agg(F.count(F.lit(1)).alias("accounts"))
+                          .where(F.col("clusters") >= min_shared))
+    ca = cut_lineage(_cluster_accounts(subset).join(
+        classes.select(F.col("example").alias("Influencer")), "Influencer", "left_semi")
+        .select(F.col("Influencer").alias("account"), "cluster", "n"))
+    cand = overlap_candidates(ca, min_shared, "account", "cluster")
+    a = ca.select(F.col("account").alias("account1"), "cluster", F.col("n").alias("n1"))
+    b = ca.select(F.col("account").alias("account2"), "cluster", F.col("n").alias("n2"))
+    size = [classes.select(F.col("example").alias(f"account{k}"),
+                           F.col("accounts").alias(f"accounts{k}")) for k in (1, 2)]
+    weights = [F.count(F.lit(1)).alias("weight"), F.sum(F.col("n1") * F.col("n2")).alias("post_pairs")]
+    cross = (cand.join(a, "account1").join(b, ["account2", "cluster"])
+             .groupBy("account1", "account2").agg(*weights).where(F.col("weight") >= min_shared)
+             .join(size[0], "account1").join(size[1], "account2")
+             .withColumn("account_pairs", F.col("accounts1") * F.col("accounts2")))
+    inside = (a.withColumn("n2", F.col("n1")).groupBy("account1").agg(*weights)
+              .join(size[0].where("accounts1 >= 2"), "account1")
+              .withColumn("account2", F.col("account1")).withColumn("accounts2", F.col("accounts1"))
+              .withColumn("account_pairs",
+                          (F.col("accounts1") * (F.col("accounts1") - 1) / 2).cast("long")))
+    cols = ["account1", "account2", "accounts1", "accounts2", "weight", "post_pairs",
+            "account_pairs"]
+    return cross.select(*cols).unionByName(inside.select(*cols))
+
+
 def graph_nodes(subset: DataFrame) -> DataFrame:
     """Every account of the subset: main platform (mode, lowest on ties, else 'Unknown'),
     cluster of its last post, post count, display size scaled to [10, 25] (17.5 when all equal)

@@ -16,7 +16,7 @@ from murmuration.functions.stopwords import default_stop_words
 from murmuration.functions.text import handle, hashtags, is_nonblank, tokens
 from murmuration.operators.overview import calendar, daily_volume
 from murmuration.operators.ranking import count_before, previous_in_group
-from murmuration.operators.simjoin import jaccard_pairs
+from murmuration.operators.simjoin import jaccard_pairs, prefix_items
 from murmuration.session import cut_lineage
 
 TIME_ORDER = "time_order"
@@ -109,6 +109,50 @@ def rapid_co_sharing(posts: DataFrame, window_hours: float = 6.0) -> DataFrame:
             .where(F.col("accounts") >= 2))
 
 
+def co_share_edges(posts: DataFrame, window_hours: float = 6.0, min_urls: int = 3) -> DataFrame:
+    """``(account1 < account2, urls)``: accounts that shared at least ``min_urls`` URLs within
+    ``window_hours`` of each other, and how many.
+
+    An interval join on (URL, time bucket of the window's length) after an overlap join: time within
+    a bucket is always close, of neighbouring buckets the last and first posts decide, so one row
+    per account, URL and bucket is enough, however often the account posted. Pairs are formed only
+    on the URLs of the accounts' prefixes (``prefix_items``): a URL that everybody shares is the
+    last of every list, and joined only for accounts with too few rarer ones; accounts of fewer
+    than ``min_urls`` URLs drop out before.
+    """
+    width = int(window_hours * 3_600_000_000)
+    at = F.unix_micros("Timestamp")
+    cells = cut_lineage(
+        posts.where(F.col("URL").isNotNull() & F.col("Influencer").isNotNull())
+        .groupBy(F.col("Influencer").alias("account"), "URL",
+                 F.floor(at / F.lit(width)).alias("bucket"))
+        .agg(F.min(at).alias("lo"), F.max(at).alias("hi")))
+    pre = prefix_items(cells, min_urls, "account", "URL")
+
+    def side(rows: DataFrame, k: int) -> DataFrame:
+        return rows.select("URL", *[F.col(c).alias(f"{c}{k}")
+                                    for c in ("account", "bucket", "lo", "hi")])
+
+    def spread(rows: DataFrame) -> DataFrame:
+        """Each cell under its own bucket and both neighbours."""
+        near = F.sequence(F.col("bucket2") - 1, F.col("bucket2") + 1)
+        return rows.withColumn("bucket1", F.explode(near))
+
+    step = F.col("bucket2") - F.col("bucket1")
+    close = (F.when(step == 0, True)
+             .when(step == 1, F.col("lo2") - F.col("hi1") <= width)
+             .otherwise(F.col("lo1") - F.col("hi2") <= width))
+    few = cut_lineage(cells.join(pre, ["account", "URL"], "left_semi"))
+    cand = cut_lineage(side(few, 1).join(spread(side(few, 2)), ["URL", "bucket1"])
+                       .where((F.col("account1") < F.col("account2")) & close)
+                       .select("account1", "account2").distinct())
+    met = (cand.join(side(cells, 1), "account1")
+           .join(spread(side(cells, 2)), ["account2", "URL", "bucket1"]).where(close))
+    return (met.select("account1", "account2", "URL").distinct()
+            .groupBy("account1", "account2").agg(F.count(F.lit(1)).alias("urls"))
+            .where(F.col("urls") >= min_urls))
+
+
 def hashtag_sets(posts: DataFrame, hashtags_col: str | None = None) -> DataFrame:
     """``(account, item)``: the distinct hashtags of every account, from the text or from
     ``hashtags_col`` (a comma- or space-separated list, with or without ``#``)."""

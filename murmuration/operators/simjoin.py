@@ -207,3 +207,31 @@ def jaccard_pairs(sets: DataFrame, threshold: float, key: str = "key",
             .select("k1", "k2", "shared", (F.col("shared") / (
                 F.col("n1") + F.col("n2") - F.col("shared"))).alias("jaccard"))
             .where(F.col("jaccard") >= F.lit(t)))
+
+
+def prefix_items(sets: DataFrame, at_least: int, key: str, item: str) -> DataFrame:
+    """The ``(key, item)`` rows that decide which keys can share ``at_least`` items.
+
+    Items are ordered rare first and a key of n items keeps its first ``n - at_least + 1``: of
+    ``at_least`` shared items the first is followed by ``at_least - 1`` others in both keys, so it
+    is kept in both. Keys of fewer items drop out, and a frequent item is kept only where too few
+    rarer ones stand before it.
+    """
+    s = sets.select(F.col(key).alias("k"), F.col(item).alias("it")).distinct()
+    sizes = s.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
+    s = cut_lineage(s.join(sizes, "k"))
+    freq = s.groupBy("it").agg(F.count(F.lit(1)).alias("f"))
+    ordered = s.join(freq, "it").withColumn("o", F.struct("f", "it"))
+    return (count_before(ordered, ["k"], "o", out_col="before")
+            .where(F.col("before") <= F.col("n") - at_least)
+            .select(F.col("k").alias(key), F.col("it").alias(item)))
+
+
+def overlap_candidates(sets: DataFrame, at_least: int, key: str, item: str) -> DataFrame:
+    """Pairs ``(key1 < key2)`` that include all with ``at_least`` shared items: the pairs that share
+    an item of both prefixes."""
+    pre = cut_lineage(prefix_items(sets, at_least, key, item))
+    a = pre.select(F.col(key).alias(f"{key}1"), item)
+    b = pre.select(F.col(key).alias(f"{key}2"), item)
+    return (a.join(b, item).where(F.col(f"{key}1") < F.col(f"{key}2"))
+            .select(f"{key}1", f"{key}2").distinct())

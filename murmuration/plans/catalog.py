@@ -374,6 +374,21 @@ def q_account_clusters(spark, sf_dir):
     return network.account_clusters(clustering(spark, sf_dir).posts)
 
 
+MIN_SHARED_CLUSTERS = 2
+
+
+@register("shared_cluster_pairs")
+def q_shared_cluster_pairs(spark, sf_dir):
+    """G1/G2 over all clusters and accounts: edges of two or more shared clusters, per class of
+    accounts."""
+    return network.shared_cluster_pairs(clustering(spark, sf_dir).posts, MIN_SHARED_CLUSTERS)
+
+
+@register("account_classes")
+def q_account_classes(spark, sf_dir):
+    return network.account_classes(clustering(spark, sf_dir).posts)
+
+
 @register("graph_coverage")
 def q_graph_coverage(spark, sf_dir):
     """How much of the graph a drawing of the top clusters' most active accounts shows."""
@@ -477,6 +492,15 @@ def q_rapid_co_sharing(spark, sf_dir):
     return signals.rapid_co_sharing(event_posts(spark, sf_dir), RAPID_WINDOW_HOURS)
 
 
+MIN_CO_SHARED_URLS = 3
+
+
+@register("co_share_edges")
+def q_co_share_edges(spark, sf_dir):
+    return signals.co_share_edges(event_posts(spark, sf_dir), RAPID_WINDOW_HOURS,
+                                  MIN_CO_SHARED_URLS)
+
+
 @register("hashtag_overlap")
 def q_hashtag_overlap(spark, sf_dir):
     return signals.hashtag_overlap(posts(spark, sf_dir), HASHTAG_JACCARD)

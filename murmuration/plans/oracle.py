@@ -229,6 +229,26 @@ oracle("graph_nodes", with_posts("SELECT * FROM nodes", ALL_NET, recursive=True)
 oracle("account_clusters", with_posts(
     "SELECT cluster, Influencer AS influencer, n AS posts, "
     "count(*) OVER (PARTITION BY cluster) - 1 AS co_accounts FROM ca", ALL_NET, recursive=True))
+ACCOUNT_CLASSES = ALL_NET + """,
+acct AS (SELECT Influencer, list_sort(list(struct_pack(cluster := cluster, n := n))) AS s
+         FROM ca GROUP BY Influencer),
+cls AS (SELECT s, min(Influencer) AS ex, count(*) AS m, len(s) AS k FROM acct GROUP BY s),
+cls_ca AS (SELECT ex, unnest(s).cluster AS cluster, unnest(s).n AS n FROM cls)"""
+oracle("account_classes", with_posts(
+    "SELECT Influencer AS influencer, ex AS example, k AS clusters FROM acct JOIN cls USING (s)",
+    ACCOUNT_CLASSES, recursive=True))
+oracle("shared_cluster_pairs", with_posts(f"""
+SELECT x.account1, x.account2, a.m AS accounts1, b.m AS accounts2, weight, post_pairs,
+       a.m * b.m AS account_pairs
+FROM (SELECT p.ex AS account1, q.ex AS account2, count(*) AS weight,
+             CAST(sum(p.n * q.n) AS BIGINT) AS post_pairs
+      FROM cls_ca p JOIN cls_ca q ON p.cluster = q.cluster AND p.ex < q.ex GROUP BY 1, 2) x
+JOIN cls a ON a.ex = account1 JOIN cls b ON b.ex = account2
+WHERE weight >= {C.MIN_SHARED_CLUSTERS}
+UNION ALL
+SELECT ex, ex, m, m, k, (SELECT CAST(sum(n * n) AS BIGINT) FROM cls_ca c WHERE c.ex = cls.ex),
+       m * (m - 1) // 2 FROM cls WHERE m >= 2 AND k >= {C.MIN_SHARED_CLUSTERS}""",
+    ACCOUNT_CLASSES, recursive=True))
 oracle("graph_coverage", with_posts(
     "SELECT (SELECT count(*) FROM nodes) AS nodes_shown, "
     "(SELECT count(DISTINCT Influencer) FROM clustered) AS total_influencers", NET, recursive=True))
@@ -337,6 +357,13 @@ FROM (SELECT *, sum(starts) OVER (PARTITION BY URL ORDER BY "Timestamp", post_id
 GROUP BY URL, burst HAVING count(DISTINCT Influencer) >= 2"""))
 
 
+oracle("co_share_edges", with_event_posts(f"""
+SELECT a.Influencer AS account1, b.Influencer AS account2, count(DISTINCT a.URL) AS urls
+FROM posts a JOIN posts b ON a.URL = b.URL AND a.Influencer < b.Influencer
+  AND abs(epoch_us(a."Timestamp") - epoch_us(b."Timestamp")) <= {int(C.RAPID_WINDOW_HOURS * 3.6e9)}
+GROUP BY 1, 2 HAVING count(DISTINCT a.URL) >= {C.MIN_CO_SHARED_URLS}"""))
+
+
 def _classes_sql(sets: str) -> str:
     """CTEs: ``sets`` (account, item), ``acct`` with each account's set, ``g`` one row a set."""
     return f"""
