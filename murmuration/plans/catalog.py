@@ -117,6 +117,11 @@ TIME_FORMATS = [
     "MMM d, yyyy h:mm:ss a", "d MMMM yyyy H:mm:ss", "d MMM yyyy h:mm:ssa", "yyyy/MM/dd HH:mm:ss",
     "yyyyMMdd'T'HHmmss", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm:ss a", "d-MMM-yyyy H:mm:ss",
     "'  'yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "EEE MMM d HH:mm:ss yyyy", "EEE MMM d HH:mm:ss 'UTC' yyyy", "M/d/yyyy, h:mm:ss a",
+    "yyyy-MM-dd h:mm:ss a", "yyyy-MM-dd HH:mm:ss,SSS", "MMM d yyyy h:mm:ssa",
+    "d-MMM-yy H:mm:ss", "M/d/yy H:mm:ss", "MM.dd.yyyy HH:mm:ss", "MM-dd-yyyy HH:mm:ss",
+    "yyyyMMddHHmmss", "yyyy/MM/dd HH:mm:ss '+0000'", "MMMM d'th', yyyy H:mm:ss",
+    "MMM. d, yyyy H:mm:ss", "yyyy MMM d H:mm:ss",
 ]
 
 

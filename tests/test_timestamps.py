@@ -22,6 +22,16 @@ GOLDEN = {
     "2024/07/05": DAY, "2024/07/05 13:04:05": T, "20240705": DAY,
     "7/5/2024": DAY, "7/5/2024 13:04": MINUTE, "7/5/2024 13:04:05": T, "7/5/2024 1:04 PM": MINUTE,
     "13/02/2024": dt.datetime(2024, 2, 13), "13/02/2024 10:00": dt.datetime(2024, 2, 13, 10),
+    "Fri Jul  5 13:04:05 2024": T, "Fri Jul 5 13:04:05 UTC 2024": T, "7/5/2024, 1:04:05 PM": T,
+    "2024-07-05 1:04 PM": MINUTE, "2024-07-05 13:04:05,123": T.replace(microsecond=123000),
+    "Jul 5 2024 1:04PM": MINUTE, "5-Jul-24": DAY, "7/5/24": DAY, "07.05.2024": DAY,
+    "07-05-2024 10:00": dt.datetime(2024, 7, 5, 10), "Sept 5, 2024": dt.datetime(2024, 9, 5),
+    "July 5th, 2024": DAY, "20240705130405": T, "20240705T130405": T,
+    "2024/07/05 13:04 +0200": dt.datetime(2024, 7, 5, 11, 4), "Jul 2024": dt.datetime(2024, 7, 1),
+    "Jul. 5, 2024 1pm": dt.datetime(2024, 7, 5, 13), "5 Jul 2024 12:04 a.m.":
+    dt.datetime(2024, 7, 5, 0, 4), "7/5/99": dt.datetime(1999, 7, 5), "2024 July 5": DAY,
+    "1st of May": None, "Jul 5 2024 13:04 PM": None, "31/2/2024": None, "1/2/3/4": None,
+    "12": None, "5 Julember 2024": None, "7/5/2024 25:00": None, "7/5/2024 1:2": None,
     "13:04:05": None, "13:04:05.1234": None, "T13:04": None, "soon": None, "": None, None: None,
     "2024-13-45": None, "99/99/2024": None,
 }
