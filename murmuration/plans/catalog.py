@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from murmuration.functions.platform import infer_platform
 from murmuration.functions.timestamps import parse_timestamp
 from murmuration.operators import (cluster, embeddings, filters, narratives, network,
-                                   overview, semantic, signals, tfidf)
+                                   overview, semantic, signals, tfidf, vectorpairs)
 from murmuration.operators.preprocess import (materialized_posts, posts_from_fixture,
                                               preprocess_posts)
 from murmuration.session import cut_lineage, scratch_path
@@ -460,6 +460,17 @@ def q_semantic_search_posts(spark, sf_dir):
     return found.withColumnRenamed("id", "post_id").withColumn("score", F.round("score", 6))
 
 
+PAIR_COSINE = 0.8
+
+
+@register("embedding_pairs")
+def q_embedding_pairs(spark, sf_dir):
+    """H4 over all vectors: classes of equal vectors and their pairs of cosine 0.8 or more, by sign
+    random projections."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectorpairs.close_pairs(e, PAIR_COSINE).withColumn("cosine", F.round("cosine", 6))
+
+
 # ---- I: README signals ----------------------------------------------------------------------
 
 RAPID_WINDOW_HOURS = 6.0
