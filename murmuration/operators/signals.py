@@ -9,6 +9,8 @@ window partition.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,7 +193,45 @@ def set_members(sets: DataFrame) -> DataFrame:
     return prints.join(least, keys).select("account", "example", "items")
 
 
-def set_overlap(sets: DataFrame, threshold: float) -> DataFrame:
+def minhash_candidates(sets: DataFrame, bands: int = 24, rows: int = 3) -> DataFrame:
+    """``(k1 < k2)``: accounts whose MinHash signatures agree in a band.
+
+    A signature is ``bands * rows`` minima of seeded hashes, one aggregate per account with map-side
+    partial results, so an account's vocabulary is not moved, whatever its size. Two sets of Jaccard
+    j meet with probability 1 - (1 - j ** rows) ** bands (0.96 at 0.5 with the defaults).
+    """
+    least = [F.min(F.xxhash64(F.lit(k), "item")).alias(f"_{k}") for k in range(bands * rows)]
+    keys = F.array(*[F.xxhash64(F.lit(b), *[f"_{b * rows + r}" for r in range(rows)])
+                     for b in range(bands)])
+    banded = cut_lineage(sets.groupBy("account").agg(*least)
+                         .select("account", F.posexplode(keys).alias("band", "key")))
+    a = banded.select("band", "key", F.col("account").alias("k1"))
+    b = banded.select("band", "key", F.col("account").alias("k2"))
+    return (a.join(b, ["band", "key"]).where(F.col("k1") < F.col("k2"))
+            .select("k1", "k2").distinct())
+
+
+def sketched_pairs(sets: DataFrame, threshold: float, key: str, item: str) -> DataFrame:
+    """``jaccard_pairs`` of the MinHash candidates: every row is exact, but pairs whose signatures
+    share no band are missing."""
+    s = sets.select(F.col(key).alias("account"), F.col(item).alias("item"))
+    cand = cut_lineage(minhash_candidates(s))
+    n = cut_lineage(s.groupBy("account").agg(F.count(F.lit(1)).alias("n")))
+    mine = s.select(F.col("account").alias("k1"), "item")
+    other = s.select(F.col("account").alias("k2"), "item")
+    sizes = [n.select(F.col("account").alias(f"k{k}"), F.col("n").alias(f"n{k}")) for k in (1, 2)]
+    # of two sets so unequal in size the Jaccard cannot reach the threshold
+    fit = cand.join(sizes[0], "k1").join(sizes[1], "k2").where(
+        F.least("n1", "n2") >= F.greatest("n1", "n2") * F.lit(threshold))
+    shared = (fit.join(mine, "k1").join(other, ["k2", "item"])
+              .groupBy("k1", "k2", "n1", "n2").agg(F.count(F.lit(1)).alias("shared")))
+    return (shared.withColumn("jaccard", F.col("shared") / (F.col("n1") + F.col("n2")
+                                                            - F.col("shared")))
+            .where(F.col("jaccard") >= F.lit(threshold)).select("k1", "k2", "shared", "jaccard"))
+
+
+def set_overlap(sets: DataFrame, threshold: float,
+                pairs: Callable[..., DataFrame] = jaccard_pairs) -> DataFrame:
     """Pairs of overlapping sets (Jaccard >= ``threshold``) from distinct ``(account, item)`` rows.
 
     Accounts with equal sets are one class, named by its smallest account (a hashtag used by a
@@ -203,7 +243,7 @@ def set_overlap(sets: DataFrame, threshold: float) -> DataFrame:
         F.min("account").alias("example"), F.count(F.lit(1)).alias("accounts"))
         .select("example", "items", "accounts"))
     one = sets.join(classes.select(F.col("example").alias("account")), "account", "left_semi")
-    p = jaccard_pairs(one, threshold, "account", "item")
+    p = pairs(cut_lineage(one), threshold, "account", "item")
     side = [classes.select(*[F.col(c).alias(f"{c}{k}") for c in classes.columns]) for k in (1, 2)]
     cross = p.join(side[0], F.col("k1") == F.col("example1")) \
         .join(side[1], F.col("k2") == F.col("example2")) \
@@ -229,6 +269,13 @@ def content_overlap(posts: DataFrame, threshold: float = 0.5, stop_words=None) -
     return set_overlap(cut_lineage(content_sets(posts, stop_words)), threshold)
 
 
+def content_overlap_sketched(posts: DataFrame, threshold: float = 0.5,
+                             stop_words=None) -> DataFrame:
+    """``content_overlap`` from MinHash candidates: a subset of it, at a cost that follows the
+    accounts and their similar pairs rather than the frequent words they share."""
+    return set_overlap(cut_lineage(content_sets(posts, stop_words)), threshold, sketched_pairs)
+
+
 def mention_edges(posts: DataFrame) -> DataFrame:
     """Directed author -> mentioned-account edges; weight = posts mentioning (once per post).
 

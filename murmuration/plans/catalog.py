@@ -532,6 +532,12 @@ def q_content_overlap(spark, sf_dir):
     return signals.content_overlap(posts(spark, sf_dir), CONTENT_JACCARD)
 
 
+@register("content_overlap_sketched")
+def q_content_overlap_sketched(spark, sf_dir):
+    """I6 by MinHash: rows of ``content_overlap``, found by signatures."""
+    return signals.content_overlap_sketched(posts(spark, sf_dir), CONTENT_JACCARD)
+
+
 @register("content_members")
 def q_content_members(spark, sf_dir):
     return signals.set_members(signals.content_sets(posts(spark, sf_dir)))
