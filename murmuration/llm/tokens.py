@@ -111,7 +111,11 @@ class WordTokenizer:
         lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(
             texts, "\n", "\0\n\0"), " ", "\0 "), "\0")
         words = lists.flatten().dictionary_encode()
-        known = [self._word(x) for x in words.dictionary.to_pylist()]
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.memo.get, distinct))
+        for k, ids in enumerate(known):
+            if ids is None:
+                known[k] = self._word(distinct[k])
         at = words.indices.to_numpy(zero_copy_only=False)
         sizes = np.fromiter((len(x) // 4 if x is not None else 0 for x in known), np.int64,
                             len(known))
