@@ -1,8 +1,9 @@
 """Column-role resolution: which source column plays text / Influencer / Timestamp / URL / Outlet.
 
 The reference decides roles from column names plus one property of the data ("is the column
-blank in every row?"). All of those checks are answered by **one** aggregate job over the input,
-evaluated under the same row filters the reference applies before each check; the driver then
+blank in every row?"), under the row filters it applies before each check. Here every row gets a
+mask with one bit per condition and candidate column, rows are grouped by mask, and all combinations
+of text, time and URL column are answered from the distinct masks, in **one** job; the driver then
 picks names from a handful of booleans. No data reaches the driver.
 """
 
@@ -98,6 +99,33 @@ class Roles:
     notes: list[str] = field(default_factory=list)
 
 
+class _Masks:
+    """Conditions on a row as bits of a few longs. ``of`` groups the rows by their mask, so each
+    condition is evaluated once a row, and any combination of them on the few distinct masks."""
+
+    BITS = 62
+
+    def __init__(self):
+        self.conditions: list[Column] = []
+
+    def bit(self, condition: Column) -> Column:
+        """The condition as a test of the mask."""
+        word, k = divmod(len(self.conditions), self.BITS)
+        self.conditions.append(F.coalesce(condition, F.lit(False)))
+        return F.col(f"m{word}").bitwiseAND(F.lit(1 << k).cast("long")) != 0
+
+    def of(self, df: DataFrame) -> DataFrame:
+        words = []
+        for lo in range(0, len(self.conditions), self.BITS):
+            mask = F.lit(0).cast("long")
+            for k, c in enumerate(self.conditions[lo:lo + self.BITS]):
+                mask = mask.bitwiseOR(F.when(c, F.lit(1 << k).cast("long"))
+                                      .otherwise(F.lit(0).cast("long")))
+            words.append(mask.alias(f"m{len(words)}"))
+        return df.select(*words).groupBy(*[f"m{k}" for k in range(len(words))]) \
+            .agg(F.count(F.lit(1)).alias("rows"))
+
+
 def _candidates(columns: list[str], user_col: str | None, aliases: list[str]) -> list[str]:
     out = []
     if user_col and user_col in columns:
@@ -140,28 +168,39 @@ def resolve_roles(df: DataFrame, text_col: str | None = None, influencer_col: st
     url_c = _candidates(cols, url_col, URL_ALIASES)
     has_platform = "Platform" in cols
 
-    aggs, keys = [], []
+    masks = _Masks()
+    tests, keys = [], []
 
-    def add(key: str, cond: Column):
+    def add(key: str, *bits: Column):
         keys.append(key)
-        aggs.append(F.max(F.when(cond, F.lit(1)).otherwise(F.lit(0))).alias(f"f{len(keys) - 1}"))
-
+        held = bits[0]
+        for x in bits[1:]:
+            held = held & x
+        tests.append(F.max(held.cast("int")).alias(f"f{len(keys) - 1}"))
+
+    filled = {c: masks.bit(_nonblank_or_null(c))
+              for c in dict.fromkeys(text_c + infl_c + outl_c + ts_c + url_c)}
+    parsed = {s: masks.bit(parse_timestamp(_col(s), day_first, epoch_unit).isNotNull())
+              for s in ts_c}
+    linked = {u: masks.bit(nan_to_null(_str(u)).isNotNull()) for u in url_c}
+    if has_platform:
+        plat_any = masks.bit(_col("Platform").isNotNull())
+        plat_filled = masks.bit(_nonblank_or_null("Platform"))
     for t in text_c:
-        vt = _valid_text(t)
-        add(f"text|{t}", _nonblank_or_null(t))
+        vt = masks.bit(_valid_text(t))
+        add(f"text|{t}", filled[t])
         for c in dict.fromkeys(infl_c + outl_c + ts_c):
-            add(f"after_text|{t}|{c}", vt & _nonblank_or_null(c))
+            add(f"after_text|{t}|{c}", vt, filled[c])
         for s in ts_c:
-            ok = vt & parse_timestamp(_col(s), day_first, epoch_unit).isNotNull()
             for u in url_c:
-                add(f"after_ts|{t}|{s}|{u}", ok & _nonblank_or_null(u))
-                add(f"url_any|{t}|{s}|{u}", ok & nan_to_null(_str(u)).isNotNull())
+                add(f"after_ts|{t}|{s}|{u}", vt, parsed[s], filled[u])
+                add(f"url_any|{t}|{s}|{u}", vt, parsed[s], linked[u])
             if has_platform:
-                add(f"plat_any|{t}|{s}", ok & _col("Platform").isNotNull())
-                add(f"plat_nonblank|{t}|{s}", ok & _nonblank_or_null("Platform"))
+                add(f"plat_any|{t}|{s}", vt, parsed[s], plat_any)
+                add(f"plat_nonblank|{t}|{s}", vt, parsed[s], plat_filled)
     flags = {}
-    if aggs:
-        row = df.agg(*aggs).collect()[0]
+    if tests:
+        row = masks.of(df).agg(*tests).collect()[0]
         flags = {k: bool(row[i]) for i, k in enumerate(keys)}
 
     r = Roles(outlet=outlet_col if outlet_col in cols else None)
