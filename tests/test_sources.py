@@ -50,3 +50,27 @@ def test_csv_export_is_read_back_whole(spark):
     export_posts(df, os.path.join(d, "csv"), **DOUBLED_QUOTES)
     back = load_posts(spark, os.path.join(d, "csv"))
     assert {int(r["id"]): r["text"] for r in back.collect()} == dict(enumerate(texts))
+
+
+def test_many_files_are_few_scans(spark):
+    d = tempfile.mkdtemp(prefix="murmuration-many-")
+    for k in range(300):
+        head = ["text,author", "author,text,extra", '"a ""b""",text'][k % 3]
+        _write(os.path.join(d, f"{k}.csv"), f"{head}\nx{k},y{k}" + (",z\n" if k % 3 == 1 else "\n"))
+    _write(os.path.join(d, "multi.csv"), '"two\nlines",text\na,b\n')
+    paths = [os.path.join(d, f"{k}.csv") for k in range(300)]
+    os.rename(paths[9], os.path.join(d, "9 é 100%.csv"))
+    paths[9] = os.path.join(d, "9 é 100%.csv")
+    paths[7:7] = [os.path.join(d, "gone.csv"), os.path.join(d, "multi.csv"),
+                  os.path.join(d, "gone, too.csv")]
+    res = union_posts(spark, paths)
+    assert set(res.failed) == {os.path.join(d, "gone.csv"), os.path.join(d, "gone, too.csv")}
+    assert res.loaded == [p for p in paths if p not in res.failed]
+    plan = res.posts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 4
+    rows = res.posts.collect()
+    assert len(rows) == 301
+    assert set(res.posts.columns) == {"text", "author", "extra", 'a "b"', "two\nlines"}
+    got = {(r["text"], r["author"]) for r in rows}
+    assert ("x0", "y0") in got and ("y1", "x1") in got and ("y2", None) in got
+    assert union_posts(spark, []).posts is None
