@@ -120,3 +120,32 @@ def test_no_vectors(spark):
     assert vptree_search.nearest(lone, F.lit(True)).count() == 0
     hollow = spark.createDataFrame([(0, []), (1, []), (2, [])], none.schema)
     assert found(pivot_search.top_k(hollow, F.col("vec_id") == 0, 5)) == {0: [(1, 0), (2, 0)]}
+
+
+@pytest.mark.parametrize("groups,share", [(0, 1.0), (200, 0.98)])
+def test_deep_trees_keep_recall_and_skip_leaves(groups, share):
+    """20 000 unit vectors in eight trees of some sixty leaves, with and without clusters."""
+    rng = np.random.default_rng(groups)
+    v = rng.normal(size=(20_000, 64))
+    if groups:
+        v = rng.normal(size=(groups, 64))[rng.integers(0, groups, len(v))] + 0.4 * v
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.arange(len(v))
+    asked = ids[::100]
+    scores = v[asked] @ v.T
+    scores[np.arange(len(asked)), asked] = -9
+    truth = np.argsort(-scores, axis=1)[:, :20]
+    who, best, scanned = [], [], 0
+    for s in range(vptree_search.MIN_SHARDS):
+        mine = ids % vptree_search.MIN_SHARDS == s
+        tree = vptree_search.VPTree.build(ids[mine], v[mine], 1.0 + 1e-12)
+        assert len(tree.nodes) > 60
+        w, b = tree.search(asked, v[asked], 20, vptree_search.FACTOR)
+        who.append(w)
+        best.append(b)
+        scanned += tree.scanned
+    order = np.argsort(-np.hstack(best), axis=1)[:, :20]
+    got = np.take_along_axis(np.hstack(who), order, 1)
+    hits = np.mean([len(set(a) & set(b)) / 20 for a, b in zip(got, truth, strict=True)])
+    assert hits >= 0.95
+    assert scanned < share * len(asked) * len(v)
