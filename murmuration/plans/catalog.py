@@ -465,10 +465,10 @@ PAIR_COSINE = 0.8
 
 @register("embedding_pairs")
 def q_embedding_pairs(spark, sf_dir):
-    """H4 over all vectors: classes of equal vectors and their pairs of cosine 0.8 or more, by sign
-    random projections."""
+    """H4 over all vectors: each vector's class of equal vectors and its number of links (other
+    classes at a cosine of 0.8 or more), by sign random projections."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return vectorpairs.close_pairs(e, PAIR_COSINE).withColumn("cosine", F.round("cosine", 6))
+    return vectorpairs.link_counts(e, PAIR_COSINE).withColumnRenamed("id", "vec_id")
 
 
 # ---- I: README signals ----------------------------------------------------------------------

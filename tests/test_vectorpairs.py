@@ -1,5 +1,7 @@
 """Sign-projection pairs: every row exact, recall on planted pairs."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 
@@ -32,6 +34,9 @@ def test_exact_rows_and_recall(spark):
     assert len(found) == len(got) and found <= want
     assert all(abs(r["cosine"] - scores[r["id1"], r["id2"]]) < 1e-8 for r in got)
     assert len(found) >= 0.9 * len(want) > 300
+    links = {r["id"]: r["links"] for r in vectorpairs.link_counts(frame(spark, v), 0.8).collect()}
+    ends = Counter(x for p in found for x in p)
+    assert links == {k: ends[k] for k in range(len(v))}
 
 
 def test_copies_are_one_class_and_buckets_are_cut(spark, monkeypatch):
@@ -46,6 +51,9 @@ def test_copies_are_one_class_and_buckets_are_cut(spark, monkeypatch):
     assert got.pop((1, 1)) == (501, 501)
     variants = [0, *range(4, 64)]
     assert set(got) == {(a, b) for a in variants for b in variants if a < b}
+    counts = {r["id"]: (r["example"], r["copies"], r["links"])
+              for r in vectorpairs.link_counts(df, 0.9, bits=4, bands=24).collect()}
+    assert counts[70] == (1, 501, 0) and counts[5] == (5, 1, 60) and len(counts) == len(rows)
     classes = vectorpairs.vector_classes(df).collect()
     assert sum(r["example"] == 1 for r in classes) == 501 and len(classes) == len(rows)
 
