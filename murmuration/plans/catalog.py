@@ -21,6 +21,7 @@ from murmuration.operators.preprocess import (materialized_posts, posts_from_fix
 from murmuration.session import cut_lineage, scratch_path
 from murmuration.sources.files import DOUBLED_QUOTES, export_posts, load_posts, union_posts
 from murmuration.sources.fixtures import FIXTURE_ROLES, raw_posts, table
+from murmuration.sources.fixtures import event_posts as raw_event_posts
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -513,7 +514,8 @@ MIN_CO_SHARED_URLS = 3
 
 @register("co_share_edges")
 def q_co_share_edges(spark, sf_dir):
-    return signals.co_share_edges(event_posts(spark, sf_dir), RAPID_WINDOW_HOURS,
+    raw = raw_event_posts(spark, sf_dir, texts=False)
+    return signals.co_share_edges(preprocess_posts(raw, **FIXTURE_ROLES), RAPID_WINDOW_HOURS,
                                   MIN_CO_SHARED_URLS)
 
 

@@ -12,6 +12,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmuration.functions.text import is_nonblank
+
 # Column roles of the fixture (what a user would pick in the reference's column mapping).
 FIXTURE_ROLES = dict(text_col="content", influencer_col="author", timestamp_col="created_at",
                      url_col="link", id_col="post_id", order_cols=["post_id"])
@@ -88,9 +90,14 @@ JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)
 JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages)""")
 
 
-def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw posts, one per event."""
+def event_posts(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
+    """Raw posts, one per event. For analyses that do not look into texts, ``texts=False`` keeps of
+    each only whether it is missing or blank, so that no text is copied to its events."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    if not texts:
+        text = F.col("text")
+        docs = docs.withColumn("text", F.when(text == "nan", text).when(is_nonblank(text), "x")
+                               .when(text.isNotNull(), ""))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     n_docs, n_pages = docs.count(), pages.count()      # from the file footers
