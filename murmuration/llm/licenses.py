@@ -4,23 +4,29 @@ Texts are read as runs of ASCII letters, digits and non-ASCII bytes, in lower ca
 ``K`` words make a hash; of every ``WINDOW`` neighbouring hashes the smallest is kept
 (winnowing), on both sides, so a run of ``K + WINDOW - 1`` words shared with a template always
 shares a kept hash. The templates' kept hashes form an inverted index (hash to template and
-position). A document's hits name candidate templates and diagonals; around each diagonal a
-local alignment limited to a band of ``BAND`` words reports how much of the template is matched
-and where. Coverage is the matched part of the template's words and the words put in between;
+position). A document's hits name candidate templates. Notices are aligned locally in a band of
+``BAND`` words around the diagonals of their hits. Longer templates are aligned along the longest
+chain of hits that increases in both texts, over all diagonals: two neighbouring hits bound the
+alignment between them, so words put in or left out, page marks or moved paragraphs, however long,
+do not lose what follows. An alignment reports how much of the template is matched and where.
+Coverage is the matched part of the template's words and the words put in between;
 matches below ``min_coverage`` are dropped. So are matches without a deciding word of the
 template (a license's name or version), or with one the template lacks ("Lesser", "NC"): these
 are a sibling. Of overlapping matches the one with the most matched words stays, less half a
-word for each word left out or put in. Long templates are aligned only around diagonals with a
-hit for every ``RARE`` of their kept hashes: chance phrases would cost an alignment each.
+word for each word left out or put in. A template is aligned only with a hit for every ``RARE`` of
+its kept hashes: chance phrases would cost an alignment each.
 
 The index is built from the template list alone (a parameter of known size, shipped with the
 task); documents stream through it whole, row by row, with no shuffle. Null and empty texts
-have no match. Repeated rows are scanned alike.
+have no match; texts of any length are scanned whole. Repeated rows are scanned alike. Of equal
+matches the first in the text, then the first template by name stays. Columns other than the id and
+the text do not take part, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -110,7 +116,8 @@ def _common() -> dict[str, str]:
         for full in versions.split():
             name, v = f"{kind}-{full}", full.removesuffix(".0")
             title = f"GNU {_GNU.get(name, _GNU[kind])} Public License"
-            named[name] = [f"{title}, version {v}", f"{title} v{full}", f"GNU {kind} version {v}"]
+            named[name] = [f"{title}, version {v}", f"{title} v{full}", f"GNU {kind} version {v}",
+                           f"GNU {kind} v{v}"]
             what = "library" if name in ("LGPL-2.0", "LGPL-2.1") else "program"
             out[f"{name}-notice#long"] = (
                 f"This {what} is free software: you can redistribute it and/or modify it under "
@@ -122,6 +129,7 @@ def _common() -> dict[str, str]:
                                        f"Creative Commons {title} {v} International License",
                                        f"Creative Commons {title} {v} License"]
     for name, titles in named.items():
+        out[f"{name}#spdx"] = f"SPDX-License-Identifier: {name}"
         for k, title in enumerate(titles):
             the = "" if title.startswith("CC") else "the " if "Creative" not in title else "a "
             for n, verb in enumerate(("Licensed", "Released", "This work is licensed")):
@@ -180,8 +188,9 @@ def same_license(template: np.ndarray, words: np.ndarray, given: frozenset[int],
     return all(x in want for x in got if x in extra)
 
 
-def winnow(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and values of the kept hashes of a word sequence (fewer words than K: none)."""
+def winnow(codes: np.ndarray, always: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and values of the kept hashes of a word sequence (fewer words than K: none), and
+    of all hashes in ``always``."""
     n = len(codes) - K + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -190,6 +199,8 @@ def winnow(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     w = min(WINDOW, n)
     views = np.lib.stride_tricks.sliding_window_view(h, w)
     at = np.unique(np.argmin(views, axis=1) + np.arange(len(views)))
+    if always is not None and len(always):
+        at = np.union1d(at, np.flatnonzero(np.isin(h, always)))
     return at, h[at]
 
 
@@ -202,6 +213,7 @@ class Index:
     position: np.ndarray
     need: list[int]             # hits around a diagonal that is aligned
     numbers: list[frozenset[int]]
+    always: np.ndarray          # the hashes of templates too short for winnowing to promise a hit
 
     @classmethod
     def build(cls, templates: Mapping[str, str]) -> Index:
@@ -214,11 +226,13 @@ class Index:
                    np.array([x[2] for x in found], dtype=np.int64),
                    [max(1, k // RARE) for k in np.bincount(
                        np.array([x[1] for x in found], dtype=np.int64), minlength=len(names))],
-                   [numbers(templates[x].encode()) for x in names])
+                   [numbers(templates[x].encode()) for x in names],
+                   np.array(sorted({h for h, t, _ in found if len(codes[t]) < K + WINDOW - 1}),
+                            dtype=np.uint64))
 
     def hits(self, codes: np.ndarray) -> np.ndarray:
         """Rows of (template, diagonal, document position)."""
-        at, h = winnow(codes)
+        at, h = winnow(codes, self.always)
         lo, hi = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, "right")
         size = hi - lo
         if not size.any():
@@ -265,15 +279,98 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
     return best[1:]
 
 
-def _diagonals(hits: np.ndarray, need: list[int]) -> list[tuple[int, int]]:
-    """(template, diagonal) of the bands to align: hits within half a band, if enough of them."""
+def _common_words(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence, by the matches of each word in turn."""
+    if a == b:
+        return len(a)
+    places: dict[int, list[int]] = {}
+    for k in range(len(a) - 1, -1, -1):
+        places.setdefault(a[k], []).append(k)
+    ends: list[int] = []
+    for x in b:
+        for k in places.get(x, ()):
+            at = bisect_left(ends, k)
+            ends[at:at + 1] = [k]
+    return len(ends)
+
+
+def _longest_chain(rows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The most hits (document, template position) that increase in both, from sorted hits."""
+    ends: list[int] = []
+    holder: list[int] = []
+    back = [-1] * len(rows)
+    for k, (_, p) in enumerate(rows):
+        at = bisect_left(ends, p)
+        back[k] = holder[at - 1] if at else -1
+        ends[at:at + 1], holder[at:at + 1] = [p], [k]
+    out, k = [], holder[-1]
+    while k >= 0:
+        out.append(rows[k])
+        k = back[k]
+    return out[::-1]
+
+
+def _best_part(chain: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The part of a chain with the best local score: new words of a hit count 1, words that one
+    side has more between two hits cost 1/2, and a score below 0 starts anew."""
+    best, score, begin, part = 0.0, 0.0, 0, (0, 0)
+    for k, (d, p) in enumerate(chain):
+        if k:
+            step, tstep = d - chain[k - 1][0], p - chain[k - 1][1]
+            score += min(K, step, tstep) - abs(step - tstep) / 2
+        if score <= 0:
+            score, begin = float(K), k
+        if score > best:
+            best, part = score, (begin, k + 1)
+    return chain[part[0]:part[1]]
+
+
+def chained(template: np.ndarray, words: np.ndarray, rows: list[tuple[int, int]], need: int
+            ) -> Iterator[tuple[int, int, int, int]]:
+    """Alignments along chains of hits, over all diagonals: matched template words, first and last
+    matched document word, words put in between. Between neighbouring hits of a chain, which bound
+    the alignment on both sides, it is exact, however many words were put in or left out; at its
+    ends it goes on while words are equal. Another chain is sought in the hits that are left."""
+    t, w = template.tolist(), words.tolist()
+    rows = sorted(set(rows), key=lambda x: (x[0], -x[1]))
+    while len(rows) >= need:
+        chain = _best_part(_longest_chain(rows))
+        if len(chain) < need:
+            return
+        (a, p), matched, more = chain[0], 0, 0
+        while a and p and w[a - 1] == t[p - 1]:
+            a, p, matched = a - 1, p - 1, matched + 1
+        for (d0, p0), (d1, p1) in zip(chain, chain[1:], strict=False):
+            matched += _common_words(t[p0:p1], w[d0:d1])
+            more += max(0, (d1 - d0) - (p1 - p0))
+        b, p = chain[-1]
+        while b < len(w) and p < len(t) and w[b] == t[p]:
+            b, p, matched = b + 1, p + 1, matched + 1
+        yield matched, a, b - 1, more
+        rows = [x for x in rows if not a <= x[0] < b]
+
+
+def _diagonals(rows: list[tuple[int, int]], need: int) -> list[int]:
+    """The diagonals of the bands to align: hits within half a band, if enough of them."""
     out: list[list[int]] = []
-    for t, diagonal, _ in hits.tolist():
-        if out and out[-1][0] == t and diagonal - out[-1][1] <= BAND // 2:
-            out[-1][2] += 1               # inside the band of that diagonal
+    for diagonal in sorted(d - p for d, p in rows):
+        if out and diagonal - out[-1][0] <= BAND // 2:
+            out[-1][1] += 1               # inside the band of that diagonal
         else:
-            out.append([t, diagonal, 1])
-    return [(t, d) for t, d, n in out if n >= need[t]]
+            out.append([diagonal, 1])
+    return [d for d, n in out if n >= need]
+
+
+def alignments(t: int, index: Index, codes: np.ndarray, rows: list[tuple[int, int]]
+               ) -> Iterator[tuple[int, int, int, int]]:
+    """Alignments of a template with a text: along diagonals for short ones, along chains of hits
+    for those of more than ``SHORT`` words, both ways up to ``LONG``."""
+    template, need = index.codes[t], index.need[t]
+    if len(template) > SHORT:
+        yield from chained(template, codes, rows, need)
+    if len(template) <= LONG:
+        for diagonal in _diagonals(rows, need):
+            yield align(template, codes, diagonal)
 
 
 def find_licenses(text: bytes, index: Index, min_coverage: float = MIN_COVERAGE
@@ -283,18 +380,21 @@ def find_licenses(text: bytes, index: Index, min_coverage: float = MIN_COVERAGE
     hits = index.hits(codes)
     if not len(hits):
         return []
+    by_template: dict[int, list[tuple[int, int]]] = {}
+    for t, diagonal, d in hits.tolist():
+        by_template.setdefault(t, []).append((d, d - diagonal))
     found: dict[tuple[int, int, int], tuple[float, float]] = {}    # rank, coverage
     digits: frozenset[int] | None = None
-    for t, diagonal in _diagonals(hits, index.need):
+    for t, rows in by_template.items():
         template = index.codes[t]
-        matched, a, b, more = align(template, codes, diagonal)
-        coverage = matched / (len(template) + more)
-        if coverage < min_coverage:
-            continue
-        digits = numbers(text) if digits is None else digits
-        if same_license(template, codes[a:b + 1], index.numbers[t], digits):
-            rank = matched - (len(template) - matched + more) / 2
-            found[t, a, b] = max(found.get((t, a, b), (0.0, 0.0)), (rank, coverage))
+        for matched, a, b, more in alignments(t, index, codes, rows):
+            coverage = matched / (len(template) + more)
+            if coverage < min_coverage:
+                continue
+            digits = numbers(text) if digits is None else digits
+            if same_license(template, codes[a:b + 1], index.numbers[t], digits):
+                rank = matched - (len(template) - matched + more) / 2
+                found[t, a, b] = max(found.get((t, a, b), (0.0, 0.0)), (rank, coverage))
     chosen: list[tuple[int, int, int]] = []
     for x in sorted(found, key=lambda x: (-found[x][0], -found[x][1], x[1], x[0])):
         if all(x[2] < y[1] or y[2] < x[1] for y in chosen):

@@ -282,6 +282,65 @@ def test_license_siblings(text, want):
     assert ",".join(x[0] for x in found) == want
 
 
+def sentence(rng, n):
+    return " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+
+
+def common_words(a, b):
+    """Longest common subsequence of two code arrays, unbanded, a row at a time."""
+    row = np.zeros(len(b) + 1, dtype=np.int64)
+    for x in a:
+        step = np.where(b == x, row[:-1] + 1, 0)
+        row[1:] = np.maximum.accumulate(np.maximum(step, row[1:]))
+    return int(row[-1])
+
+
+@pytest.mark.parametrize("name", ["MIT", "BSD-3-Clause", "MPL-2.0", "GPL-2.0", "GPL-3.0",
+                                  "Apache-2.0"])
+@pytest.mark.parametrize("edit", ["plain", "4", "10", "20", "60", "200", "pages", "moved", "twice"])
+def test_changed_license_bodies_match_as_in_full_alignment(name, edit):
+    """Bodies with insertions, page marks and moved paragraphs: what an unbanded alignment covers is
+    found, under its own name."""
+    index = licenses.Index.build(licenses.TEMPLATES)
+    rng = random.Random(edit)
+    body = licenses.TEMPLATES[f"{name}#text"].split()
+    words = list(body)
+    half = len(words) // 2
+    if edit.isdigit():
+        words[half:half] = [f"zz{rng.randrange(999)}" for _ in range(int(edit))]
+    elif edit == "pages":
+        for k in range(len(words) // 300, 0, -1):
+            words[300 * k:300 * k] = ["page", str(k)]
+    elif edit == "moved":
+        part = len(words) // 20
+        words = words[:half] + words[half + part:-part] + words[half:half + part] + words[-part:]
+    if edit == "twice":
+        words = [*words, *sentence(rng, 400).split(), *words]
+    text = " ".join([*sentence(rng, 50).split(), *words, *sentence(rng, 50).split()]).encode()
+    found = licenses.find_licenses(text, index)
+    template = licenses.word_codes(" ".join(body).encode())
+    if edit == "twice":
+        assert [x[0] for x in found] == [name, name] and all(x[3] > 0.99 for x in found)
+        return
+    put_in = len(licenses.word_codes(" ".join(words).encode())) - len(template)
+    best = common_words(template, licenses.word_codes(text)) / (len(template) + put_in)
+    if best >= licenses.MIN_COVERAGE + 0.03:
+        assert [x[0] for x in found] == [name]
+        assert best - 0.03 <= found[0][3] <= best + 1e-9 or edit == "moved"
+    elif best < licenses.MIN_COVERAGE:
+        assert name not in [x[0] for x in found]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("# SPDX-License-Identifier: MIT\nimport os", "MIT"),
+    ("SPDX-License-Identifier: LGPL-2.1-only", "LGPL-2.1"),
+    ("Licensed under the GNU GPL v3.", "GPL-3.0")])
+def test_short_license_lines(text, want):
+    index = licenses.Index.build(licenses.TEMPLATES)
+    assert [x[0] for x in licenses.find_licenses(text.encode(), index)] == [want]
+
+
 def test_license_bodies():
     index = licenses.Index.build(licenses.TEMPLATES)
     bodies = {k.removesuffix("#text"): v for k, v in licenses.TEMPLATES.items()
