@@ -105,4 +105,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                             op6_quality, op7_mixing, op8_sharding, op9_ann, op10_line_dedup,
                             op11_spelling, op12_pieces, op13_merkle)}
 ORACLE: dict[str, str] = {"op3_secrets": secrets.oracle(), "op5_topk": pivot_search.oracle(),
-                          "op13_merkle": merkle.oracle()}
+                          "op11_spelling": spelling.oracle(), "op13_merkle": merkle.oracle()}

@@ -237,3 +237,51 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return (words.join(near, "word", "left").join(root, "word", "left")
             .select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
                     "form", "form_n", F.coalesce("root", "word").alias("root")))
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``op11_spelling``: near words meet where one letter is left out. The crc32 is
+    computed from its table, which is computed from its polynomial."""
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(8), lambda v, i: xor(v >> 1, (v & 1) * 3988292384), b) AS v
+    FROM range(256) r(b))),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS k, translate(unnest(regexp_extract_all(text,
+    '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM documents WHERE text IS NOT NULL),
+per AS (SELECT k, w, count(*) AS c FROM runs WHERE length(w) >= {MIN_LETTERS} GROUP BY k, w),
+coded AS (
+  SELECT w, c, length(w) AS m, hex(encode(k || ':' || w)) AS x FROM per),
+hashed AS (
+  SELECT w, c, m, xor(4294967295, list_reduce(
+    list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+    lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1]), 4294967295)) AS h
+  FROM coded, crc),
+words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT c, CASE WHEN h % {TYPO_EVERY} = 0 THEN substr(w, 1, h % m) || substr(w, h % m + 2)
+                   ELSE w END AS word FROM hashed)
+  WHERE length(word) >= {MIN_LETTERS} GROUP BY word HAVING sum(c) >= {MIN_COUNT}),
+holes AS (
+  SELECT word, k, substr(word, 1, k - 1) || substr(word, k + 1) AS hole
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM words)),
+near AS (
+  SELECT DISTINCT a.word, b.word AS other FROM holes a JOIN holes b
+    ON a.hole = b.hole AND a.k = b.k AND a.word <> b.word
+  UNION SELECT DISTINCT h.word, w.word FROM holes h JOIN words w ON w.word = h.hole
+  UNION SELECT DISTINCT w.word, h.word FROM holes h JOIN words w ON w.word = h.hole),
+best AS (
+  SELECT near.word, any_value(w.n) AS n, count(*) AS n_near,
+         arg_min(other, struct_pack(a := -o.n, b := other)) AS form, max(o.n) AS form_n
+  FROM near JOIN words w ON w.word = near.word JOIN words o ON o.word = other GROUP BY near.word),
+forms AS (SELECT word, form, form_n FROM best WHERE form_n >= {FACTOR} * n),
+climb(word, root) AS (
+  SELECT word, form FROM forms
+  UNION ALL SELECT c.word, f.form FROM climb c JOIN forms f ON f.word = c.root)
+SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, f.form, f.form_n,
+       coalesce(r.root, w.word) AS root
+FROM words w LEFT JOIN best b ON b.word = w.word LEFT JOIN forms f ON f.word = w.word
+LEFT JOIN (SELECT word, root FROM climb WHERE root NOT IN (SELECT word FROM forms)) r
+  ON r.word = w.word"""
