@@ -31,7 +31,8 @@ from murmuration.llm.common import written
 from murmuration.llm.vectors import (best_of, block_rows, finite_vectors, padded, squared_norm,
                                      unpack)
 
-MIN_SHARDS, SHARD_ROWS, LEAF_ROWS, QUERY_ROWS = 8, 16384, 64, 256
+MIN_SHARDS, SHARD_ROWS, QUERY_ROWS = 8, 16384, 256
+LEAVES, LEAF_ROWS, MIN_LEAF_ROWS = 16, 512, 16     # a tree's leaves, and their bounds
 FACTOR = 4.0      # recall of the 20 nearest at least 0.99 in tests; 1 is exact
 NODE = 7      # columns of a node: begin, end, vantage, inner child, outer child, inner max, outer min
 
@@ -51,8 +52,9 @@ class VPTree:
     scanned: int = 0        # pairs of query and vector met in leaves
 
     @classmethod
-    def build(cls, ids: np.ndarray, vectors: np.ndarray, top: float, leaf: int = LEAF_ROWS,
-              seed: int = 0) -> VPTree:
+    def build(cls, ids: np.ndarray, vectors: np.ndarray, top: float,
+              leaf: int | None = None, seed: int = 0) -> VPTree:
+        leaf = leaf or min(LEAF_ROWS, max(MIN_LEAF_ROWS, len(ids) // LEAVES))
         lifted = np.column_stack(
             [vectors, np.sqrt(np.maximum(top - (vectors * vectors).sum(1), 0))])
         order = np.argsort(ids, kind="stable")
