@@ -8,7 +8,7 @@ k-row merge). Count ties break by key ascending.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmuration.functions.text import hashtags
@@ -50,8 +50,13 @@ def top_outlets(df: DataFrame, k: int = 10) -> DataFrame | None:
     return None
 
 
+def text_tags(df: DataFrame, text_col: str = "text") -> Column:
+    """The hashtags of the texts: those that preprocessing kept in their place, if it did."""
+    return F.col("text_tags") if "text_tags" in df.columns else hashtags(F.col(text_col))
+
+
 def with_hashtags(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return df.withColumn("hashtags", hashtags(F.col(text_col)))
+    return df.withColumn("hashtags", text_tags(df, text_col))
 
 
 def hashtag_counts(df: DataFrame, exclude_platform: str | None = "Media") -> DataFrame:
@@ -59,7 +64,7 @@ def hashtag_counts(df: DataFrame, exclude_platform: str | None = "Media") -> Dat
     if exclude_platform is not None:
         # A null platform is kept, as pandas' ``!=`` keeps NaN.
         df = df.where(~F.col("Platform").eqNullSafe(F.lit(exclude_platform)))
-    tags = df.select(F.explode(hashtags(F.col("text"))).alias("hashtag"))
+    tags = df.select(F.explode(text_tags(df)).alias("hashtag"))
     return tags.groupBy("hashtag").agg(F.count(F.lit(1)).alias("frequency"))
 
 
