@@ -62,3 +62,28 @@ def test_repeated_texts_from_digests(spark, tmp_path):
         with_texts=lambda ids: posts_from_fixture(spark, path, events=True, only=ids))
     rows = sorted(map(tuple, want.collect()), key=repr)
     assert rows and rows == sorted(map(tuple, got.collect()), key=repr)
+
+
+def test_terms_are_counted_without_a_shuffle_of_their_own(spark, sf001):
+    from murmuration.operators import narratives, tfidf
+
+    groups = tfidf.text_groups(narratives.similarity_input(posts_from_fixture(spark, sf001)))
+
+    def shuffles(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    assert shuffles(tfidf.term_counts(groups)) == shuffles(groups)
+
+
+def test_equal_texts_are_one_group(spark):
+    from murmuration.operators import tfidf
+
+    rows = [(3, "b a"), (1, "b a"), (2, "a"), (4, "")]
+    posts = spark.createDataFrame(rows, "post_id long, original_text string") \
+        .withColumn("post_order", F.struct("post_id"))
+    groups = tfidf.text_groups(posts)
+    assert sorted((r.tid.post_id, r.text, r.c) for r in groups.collect()) \
+        == [(1, "b a", 2), (2, "a", 1), (4, "", 1)]
+    assert sorted((r.post_id, r.tid.post_id) for r in
+                  tfidf.text_of_posts(posts, groups, "tid").collect()) \
+        == [(1, 1), (2, 2), (3, 1), (4, 4)]
