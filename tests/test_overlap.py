@@ -111,3 +111,15 @@ def test_a_url_that_everybody_shares(spark):
     assert pre.where("URL = 'hot'").count() == 0
     got = edges(signals.co_share_edges(df, 6.0, 3))
     assert got == {(f"a{i}", f"a{j}"): 4 for i, j in combinations(range(5), 2)}
+
+
+def test_pairs_are_not_joined_with_all_urls_of_an_account(spark):
+    """Accounts that share many URLs each: the meetings are formed once, and no pair of accounts
+    meets the whole list of one of them."""
+    import re
+
+    rows = [(f"a{k}", f"u{u}", (7 * k + 11 * u) % 9 * 1800) for k in range(12) for u in range(40)]
+    out = signals.co_share_edges(shares(spark, rows), 1.0, 3)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert not re.search(r"Join \w+, \(account1#\w+ = account1#", plan)
+    assert edges(out) == plain_co_shares(rows, 3600, 3)
