@@ -87,3 +87,24 @@ def test_equal_texts_are_one_group(spark):
     assert sorted((r.post_id, r.tid.post_id) for r in
                   tfidf.text_of_posts(posts, groups, "tid").collect()) \
         == [(1, 1), (2, 2), (3, 1), (4, 4)]
+
+
+def test_postings_are_made_in_their_blocks(spark):
+    """No window and one exchange by block at most holds postings; copies count as often as they are."""
+    import math
+
+    from murmuration.operators import tfidf
+
+    rows = [(0, "red fox red", 3), (1, "red hen", 1), (2, "the of", 5), (3, "", 2)]
+    groups = spark.createDataFrame(rows, "tid long, text string, c long")
+    out = tfidf.tfidf_postings(groups, stop_words=["the", "of"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and out.columns == ["tid", "term", "df", "w"]
+    idf = {t: math.log(12 / (df + 1)) + 1 for t, df in (("red", 4), ("fox", 3), ("hen", 1))}
+    raw = {0: {"red": 2 * idf["red"], "fox": idf["fox"]}, 1: {"red": idf["red"], "hen": idf["hen"]}}
+    want = {(i, t): w / math.sqrt(sum(x * x for x in ws.values()))
+            for i, ws in raw.items() for t, w in ws.items()}
+    got = {(r["tid"], r["term"]): r["w"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    top = {r["term"] for r in tfidf.tfidf_postings(groups, 1, ["the", "of"]).collect()}
+    assert top == {"red"}
